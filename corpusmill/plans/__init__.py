@@ -2,7 +2,7 @@
 
 from corpusmill.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("q_text", "q_labels", "q_splits", "q_metrics")
+_MODULES = ("q_text", "q_labels", "q_splits", "q_metrics", "q_parts")
 
 
 def load_all():
