@@ -107,6 +107,14 @@ def is_number(tok: Column) -> Column:
     return F.regexp_replace(tok, ",", "").rlike(NUMBER_PATTERN)
 
 
+def is_number_stripped(tok: Column) -> Column:
+    """X3 for tokens already stripped of punctuation: such a number starts
+    with a digit (signs and dots are punctuation) or is nan/inf/infinity.
+    The cheap first-character test skips the regex for ordinary words."""
+    first = F.substring(tok, 1, 1)
+    return ((first >= "0") & (first <= "9") & is_number(tok)) | tok.isin("nan", "inf", "infinity")
+
+
 def is_currency(tok: Column) -> Column:
     """Token starts with a dollar sign."""
     return tok.startswith("$")
@@ -118,7 +126,7 @@ def hyphens(tok: Column) -> Column:
 
 def is_chemical(tok: Column) -> Column:
     """More than three hyphens."""
-    return hyphens(tok) > 3
+    return tok.contains("-") & (hyphens(tok) > 3)
 
 
 def is_chemical_new(tok: Column) -> Column:
@@ -139,7 +147,7 @@ def plain_tokens(text: Column, min_size: int = 1) -> Column:
     toks = F.filter(toks, lambda s: s != "")
     toks = F.transform(
         toks,
-        lambda s: F.when(is_number(s), _lit(PLAIN_NUMBER))
+        lambda s: F.when(is_number_stripped(s), _lit(PLAIN_NUMBER))
         .when(is_currency(s), _lit(PLAIN_CURRENCY))
         .when(is_chemical(s), _lit(PLAIN_CHEMICAL))
         .otherwise(s))
@@ -164,7 +172,7 @@ def index_unigrams(text: Column, min_size: int = 3, stem_map=None) -> Column:
 
     toks = F.transform(
         toks,
-        lambda s: F.when(is_number(s), _lit(INDEX_NUMBER))
+        lambda s: F.when(is_number_stripped(s), _lit(INDEX_NUMBER))
         .when(is_currency(s), _lit(INDEX_CURRENCY))
         .when(is_chemical(s), _lit(INDEX_CHEMICAL))
         .when(is_stopword(s), F.lit(None).cast("string"))

@@ -23,18 +23,40 @@ def token_table(corpus: DataFrame, tokens: Column, id_col: str = "doc_id",
 
 
 def build_postings(corpus: DataFrame, terms: Column | None = None,
-                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, doc_id, tf) with tf = occurrences of term in doc."""
+                   id_col: str = "doc_id", text_col: str = "text",
+                   keep_length: bool = False) -> DataFrame:
+    """(term, doc_id, tf) with tf = occurrences of term in doc.
+
+    ``keep_length`` carries the document's character length on every
+    posting (it is known while tokenizing), so length-normalized weights
+    need no later join back to the documents."""
+    extra = [F.length(F.col(text_col)).cast("long").alias("length")] if keep_length else []
     if terms is None:
         # unigrams are materialized once as a column; bigrams read that
         # column instead of re-running the tokenizer
-        uni = corpus.select(F.col(id_col).alias("doc_id"),
+        uni = corpus.select(F.col(id_col).alias("doc_id"), *extra,
                             tx.index_unigrams(F.col(text_col)).alias("__u"))
-        exploded = uni.select("doc_id", F.explode(
+        exploded = uni.select("doc_id", *(["length"] if keep_length else []), F.explode(
             F.concat(F.col("__u"), tx.bigrams(F.col("__u")))).alias("term"))
     else:
-        exploded = corpus.select(F.col(id_col).alias("doc_id"), F.explode(terms).alias("term"))
-    return exploded.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+        exploded = corpus.select(F.col(id_col).alias("doc_id"), *extra,
+                                 F.explode(terms).alias("term"))
+    keys = ["term", "doc_id"] + (["length"] if keep_length else [])
+    return exploded.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
+
+
+def stored_postings(postings: DataFrame) -> DataFrame:
+    """The postings written once as a Parquet table in the shared checkpoint
+    folder, so tokenization runs exactly once however many branches of a
+    plan read the index (df, the weight join, the label join), and a lost
+    executor re-reads the stored postings instead of re-tokenizing.
+
+    No repartition is added: a file scan does not report a partitioning, so
+    a pre-shuffle by term would be paid and then forgotten.  df is a
+    partial + final aggregate and the frequent-term join is broadcast when
+    the measured term table is small (shuffled otherwise)."""
+    from corpusmill.session import materialize
+    return materialize(postings, "postings")
 
 
 def doc_freq(postings: DataFrame) -> DataFrame:

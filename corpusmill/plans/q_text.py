@@ -27,11 +27,13 @@ def _r(c):
 def index_stats(spark, sf_dir):
     """Shared index pieces: corpus, postings, df, N, frequent-term postings."""
     docs = fx.corpus(spark, sf_dir)
-    post = P.build_postings(docs)
+    # tokenized once and stored in the shared checkpoint folder; every
+    # branch below (df, filters, weights, label joins) reads the stored copy
+    post = P.stored_postings(P.build_postings(docs, keep_length=True))
     dfreq = P.doc_freq(post)
     n = P.n_docs(docs)
     freq = P.frequent_terms(dfreq, MIN_DOCUMENTS, n)
-    fpost = P.restrict_terms(post, freq)
+    fpost = post.join(freq.select("term", "df"), "term")
     return docs, post, dfreq, n, freq, fpost
 
 
@@ -91,9 +93,8 @@ bm AS (
 
 def _bm25(spark, sf_dir):
     docs, post, dfreq, n, freq, fpost = index_stats(spark, sf_dir)
-    lens = P.doc_lengths(docs, mode="chars")
-    avg = P.average_length(lens)
-    return Wt.bm25(fpost, freq, lens, n, avg)
+    avg = P.average_length(P.doc_lengths(docs, mode="chars"))
+    return Wt.bm25(fpost, freq, None, n, avg)
 
 
 @query("bm25_top_terms", f"""
@@ -179,7 +180,7 @@ nrm AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id)
 SELECT term, doc_id, round(w / norm, 6) AS weight FROM w JOIN nrm USING (doc_id)""")
 def l2_tfidf(spark, sf_dir):
     docs = fx.corpus(spark, sf_dir)
-    post = P.build_postings(docs, tx.plain_tokens(F.col("text")))
+    post = P.stored_postings(P.build_postings(docs, tx.plain_tokens(F.col("text"))))
     out = Wt.l2_tfidf(post, P.doc_freq(post), P.n_docs(docs), min_df=5)
     return out.select("term", "doc_id", _r(F.col("weight")).alias("weight"))
 
@@ -251,8 +252,8 @@ def doc_index(spark, sf_dir):
     fpost, freq, n, best = _chi_best(spark, sf_dir)
     dictionary = S.term_dictionary(best)
     reduced = P.restrict_terms(fpost, dictionary)
-    lens = P.doc_lengths(docs, mode="chars")
-    w = Wt.bm25(reduced, freq, lens, n, P.average_length(lens))
+    avg = P.average_length(P.doc_lengths(docs, mode="chars"))
+    w = Wt.bm25(reduced, freq, None, n, avg)
     return Wt.doc_index(w, dictionary).select("doc_id", "term_id", _r(F.col("weight")).alias("weight"))
 
 

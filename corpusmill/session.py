@@ -61,3 +61,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="corpusmill-ckpt-", dir=base)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def materialize(df, name: str = "stage"):
+    """Compute ``df`` once and cut its lineage by writing it as a Parquet
+    table under the shared checkpoint folder (``spark.checkpoint.dir``), then
+    reading it back.
+
+    This is the "written table" form of a checkpoint: one columnar write
+    (``Dataset.checkpoint`` would compute the plan twice and store
+    row-serialized blocks), later reads get column pruning, and a lost
+    executor re-reads the files instead of recomputing the stage."""
+    import uuid
+    spark = df.sparkSession
+    base = checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/corpusmill-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
