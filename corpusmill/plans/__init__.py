@@ -2,7 +2,7 @@
 
 from corpusmill.plans.registry import ORACLES, QUERIES
 
-_MODULES = ("q_text", "q_labels", "q_splits", "q_metrics", "q_parts", "q_vectors", "q_models")
+_MODULES = ("q_text", "q_labels", "q_splits", "q_metrics", "q_parts", "q_vectors", "q_models", "q_io")
 
 
 def load_all():

@@ -8,12 +8,15 @@ from corpusmill.operators import metrics as M
 from corpusmill.plans import fixtures as fx
 from corpusmill.plans import sql as q
 from corpusmill.plans.registry import query
+from corpusmill.session import materialize
 
 ROUND = 6
 
 
 def _preds(spark, sf_dir):
-    p = M.with_pred(fx.predictions_multi(spark, sf_dir), 0.0)
+    # the prediction table is a pipeline stage (classifier output): stored
+    # once, then read by every branch of the metric plan
+    p = materialize(M.with_pred(fx.predictions_multi(spark, sf_dir), 0.0), "predictions")
     n = p.select(F.countDistinct("doc_id")).scalar()
     return p, fx.section_universe(spark, sf_dir), n
 

@@ -9,6 +9,7 @@ from corpusmill.operators import splits as Sp
 from corpusmill.plans import fixtures as fx
 from corpusmill.plans import sql as q
 from corpusmill.plans.registry import query
+from corpusmill.session import materialize
 
 SEED = 10000
 ROUND = 6
@@ -45,8 +46,9 @@ splits AS (
 
 
 def _splits(spark, sf_dir):
+    # the split lists are a stored stage (read by several branches)
     dl = fx.doc_labels_single(spark, sf_dir)
-    return dl, Sp.split_assign(dl, seed=SEED)
+    return dl, materialize(Sp.split_assign(dl, seed=SEED), "splits")
 
 
 @query("split_assign", f"WITH {SPLIT_SQL} SELECT doc_id, first_label, split FROM splits")

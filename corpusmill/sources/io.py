@@ -51,11 +51,27 @@ def read_tuple_text(spark: SparkSession, path: str) -> DataFrame:
     pat = r"""^\(\s*[uU]?(['"])(.*?)\1\s*,\s*[uU]?(['"])(.*)\3\s*\)\s*$"""
     raw = spark.read.text(path)
     body = F.regexp_extract("value", pat, 4)
-    body = F.regexp_replace(F.regexp_replace(body, r"\\n", "\n"), r"\\(['\"\\])", "$1")
+    # single-pass unescape: protect escaped backslashes first
+    body = F.replace(body, F.lit("\\\\"), F.lit("\u0003"))
+    body = F.replace(body, F.lit("\\n"), F.lit("\n"))
+    body = F.replace(body, F.lit("\\r"), F.lit("\r"))
+    body = F.replace(body, F.lit("\\t"), F.lit("\t"))
+    body = F.replace(body, F.lit("\\'"), F.lit("'"))
+    body = F.replace(body, F.lit('\\"'), F.lit('"'))
+    body = F.replace(body, F.lit("\u0003"), F.lit("\\"))
     return raw.select(F.regexp_extract("value", pat, 2).alias("doc_id"),
                       body.alias("text"))
 
 
+def tuple_text_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """S2 sink: ``('id', 'text')`` lines with backslash escapes, the layout
+    :func:`read_tuple_text` parses."""
+    t = F.col(text_col)
+    for a, b in (("\\", "\\\\"), ("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return df.select(F.format_string("('%s', '%s')", F.col(id_col).cast("string"), t).alias("value"))
+
+
 def read_token_lines(spark: SparkSession, path: str) -> DataFrame:
     """S3: ``entity_id tok tok ...``: the first space separates the id."""
     parts = F.split(F.col("value"), " ", 2)
@@ -94,10 +110,13 @@ def write_long_json(df: DataFrame, path: str, key: str, map_key: str,
 def read_long_json(spark: SparkSession, path: str, key: str, key_type: str,
                    map_key: str, map_key_type: str, map_value: str) -> DataFrame:
     """S6 source: reload the export above back into a long table."""
-    schema = f"{key} {key_type}, postings map<{map_key_type},double>"
+    # JSON object keys are strings; they are cast to the key type after
+    # the map is exploded back into rows
+    schema = f"{key} {key_type}, postings map<string,double>"
     parsed = spark.read.text(path).select(F.from_json("value", schema).alias("r"))
     return parsed.select(F.col(f"r.{key}").alias(key),
-                         F.explode("r.postings").alias(map_key, map_value))
+                         F.explode("r.postings").alias(map_key, map_value)) \
+        .withColumn(map_key, F.col(map_key).cast(map_key_type))
 
 
 def write_parquet(df: DataFrame, path: str, partition_by=None,
