@@ -161,3 +161,12 @@ def coin_split(docs: DataFrame, seed: int) -> DataFrame:
     h = seeded_hash(seed, "doc_id")
     bit = F.conv(F.substring(h, 1, 1), 16, 10).cast("int") % 2
     return docs.select("doc_id", F.when(bit == 0, "test").otherwise("validation").alias("split"))
+
+
+def proportional_sample(doc_labels: DataFrame, ratio: float, seed: int = 10000) -> DataFrame:
+    """ceil(ratio * n) documents of every label, seeded order."""
+    dl = doc_labels.select("doc_id", "label").withColumn("h", seeded_hash(seed, "label", "doc_id"))
+    sizes = dl.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    ranked = rank_in_group(dl, ["label"], "h", "doc_id")
+    k = F.ceil(F.col("n") * F.lit(float(ratio))).cast("long")
+    return (ranked.join(sizes, "label").filter(F.col("rank") <= k).select("doc_id", "label"))

@@ -128,3 +128,14 @@ def class_weights(spark, sf_dir):
     return c.select("label", "n_pos",
                     F.round(n / (2.0 * F.col("n_pos")), ROUND).alias("w_pos"),
                     F.round(n / (2.0 * (n - F.col("n_pos"))), ROUND).alias("w_neg"))
+
+
+@query("date_range", """SELECT min(o_orderdate) AS first_date, max(o_orderdate) AS last_date,
+       count(*) AS n_docs FROM orders""")
+def date_range(spark, sf_dir):
+    """First and last document date (order dates stand in for patent
+    dates)."""
+    from corpusmill.sources.io import table
+    o = table(spark, sf_dir, "orders")
+    return o.agg(F.min("o_orderdate").alias("first_date"), F.max("o_orderdate").alias("last_date"),
+                 F.count(F.lit(1)).alias("n_docs"))

@@ -177,3 +177,15 @@ SELECT doc_id, label, rank FROM ranked""")
 def label_ranking(spark, sf_dir):
     """Per-document ranking of labels by score."""
     return M.ranked(_preds(spark, sf_dir)[0]).select("doc_id", "label", "rank")
+
+
+@query("coverage_binary", f"""WITH {q.PREDS_MULTI},
+mt AS (SELECT doc_id, min(y_pred) AS m FROM preds WHERE y_true = 1 GROUP BY doc_id),
+cv AS (SELECT doc_id, count(*) FILTER (WHERE y_pred >= m) AS cov FROM preds JOIN mt USING (doc_id) GROUP BY doc_id)
+SELECT round(sum(cov) / (SELECT n FROM nd), 6) AS coverage_error FROM cv""")
+def coverage_binary(spark, sf_dir):
+    """M7: coverage error computed on the 0/1 predictions instead of the
+    scores (the superseded variant)."""
+    p, _, n = _preds(spark, sf_dir)
+    cov = M.coverage_error(p.withColumn("score", F.col("y_pred").cast("double")), n)
+    return cov.select(F.round("coverage_error", ROUND).alias("coverage_error"))

@@ -184,3 +184,31 @@ def docs_only(spark, sf_dir):
     """Whole-document entities (ids without an underscore)."""
     d = fx.corpus(spark, sf_dir)
     return d.filter(~F.col("doc_id").cast("string").contains("_")).select("doc_id", "text")
+
+
+@query("entity_ids", f"""WITH p AS (SELECT doc_id, {PARAS_SQL} AS ps FROM documents),
+e AS (SELECT CAST(doc_id AS VARCHAR) || '_p' || CAST(unnest(range(1, len(ps) + 1)) AS VARCHAR) AS entity_id FROM p)
+SELECT entity_id, split_part(entity_id, '_', 1) AS doc_id, len(string_split(entity_id, '_')) AS level,
+       substr(split_part(entity_id, '_', 2), 1, 1) AS part_letter
+FROM e WHERE len(string_split(entity_id, '_')) = 2 AND substr(split_part(entity_id, '_', 2), 1, 1) = 'p'""")
+def entity_ids(spark, sf_dir):
+    """Paragraph entity ids ``<doc>_p<n>`` parsed back into the doc
+    id and the level (number of ``_`` parts), filtered by level and the
+    first letter of the part."""
+    d = fx.corpus(spark, sf_dir)
+    e = d.select("doc_id", F.posexplode(Pt.paragraphs(F.col("text"))).alias("i", "p")).select(
+        F.concat(F.col("doc_id").cast("string"), F.lit("_p"), (F.col("i") + 1).cast("string")).alias("entity_id"))
+    parts = F.split("entity_id", "_")
+    out = e.select("entity_id", parts[0].alias("doc_id"), F.size(parts).alias("level"),
+                   F.substring(parts[1], 1, 1).alias("part_letter"))
+    return out.filter((F.col("level") == 2) & (F.col("part_letter") == "p"))
+
+
+@query("split_subset", """SELECT d.doc_id, d.lang FROM documents d
+WHERE d.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)""")
+def split_subset(spark, sf_dir):
+    """The corpus rows of a document-id subset (here the documents
+    judged quality 1), taken with a left semi join."""
+    from corpusmill.sources.io import table
+    keep = table(spark, sf_dir, "labels").filter(F.col("quality") == 1).select("doc_id")
+    return table(spark, sf_dir, "documents").select("doc_id", "lang").join(keep, "doc_id", "left_semi")

@@ -160,3 +160,53 @@ SELECT doc_id, CASE WHEN ('0x' || substr({q.md5_hash(SEED, 'doc_id')}, 1, 1))::I
 def coin_split(spark, sf_dir):
     """Seeded coin flip between test and validation."""
     return Sp.coin_split(fx.corpus(spark, sf_dir), SEED)
+
+
+PATH_SAMPLE_RATIO = 0.01
+
+
+@query("path_sample", f"""WITH {q.LABEL_PATHS_MULTI},
+sub AS (SELECT DISTINCT doc_id, subclass FROM paths),
+sz AS (SELECT subclass, count(*) AS n FROM sub GROUP BY subclass),
+rk AS (SELECT doc_id, subclass, {rank_sql('subclass', q.md5_hash(SEED, 'subclass', 'doc_id'))} AS rank FROM sub)
+SELECT doc_id, subclass FROM rk JOIN sz USING (subclass)
+WHERE rank <= CAST(ceil(n * CAST({PATH_SAMPLE_RATIO} AS DOUBLE)) AS BIGINT)""")
+def path_sample(spark, sf_dir):
+    """ceil(1%) of the documents of every section/class/subclass path,
+    drawn in seeded order."""
+    paths = fx.label_paths_multi(spark, sf_dir).select("doc_id", F.col("subclass").alias("label")).distinct()
+    return Sp.proportional_sample(paths, PATH_SAMPLE_RATIO, seed=SEED).withColumnRenamed("label", "subclass")
+
+
+@query("docs_per_label", f"""WITH {SPLIT_SQL},
+tr AS (SELECT doc_id FROM splits WHERE split = 'train'),
+labs AS (SELECT DISTINCT label FROM doc_labels WHERE level = 3),
+c AS (SELECT label, count(*) AS n FROM doc_labels WHERE level = 3 AND doc_id IN (SELECT doc_id FROM tr) GROUP BY label)
+SELECT labs.label, coalesce(c.n, 0) AS n_docs FROM labs LEFT JOIN c USING (label)""")
+def docs_per_label(spark, sf_dir):
+    """Documents of every subclass inside the training split; labels
+    left without training documents are kept with 0."""
+    dl, sp = _splits(spark, sf_dir)
+    sub = dl.filter(F.col("level") == 3)
+    return L.docs_per_label(sub, sp.filter(F.col("split") == "train"), sub.select("label").distinct())
+
+
+@query("tfidf_train_split", f"""WITH {q.POSTINGS}, {SPLIT_SQL},
+tp AS (SELECT term, doc_id, tf FROM postings WHERE doc_id IN (SELECT doc_id FROM splits WHERE split = 'train')),
+tdf AS (SELECT term, count(*) AS df FROM tp GROUP BY term),
+tn AS (SELECT count(*) AS n FROM splits WHERE split = 'train')
+SELECT tp.term, tp.doc_id, round(tp.tf * log10((tn.n + 1) / (tdf.df + 1)), 6) AS weight
+FROM tp JOIN tdf USING (term), tn WHERE tdf.df > 5 AND tdf.df < tn.n""")
+def tfidf_train_split(spark, sf_dir):
+    """T13 + J5: tf-idf with df and N recomputed inside the training split
+    (postings restricted to the split by a left semi join)."""
+    from corpusmill.operators import postings as P
+    from corpusmill.operators import weights as Wt
+    _, sp = _splits(spark, sf_dir)
+    train = sp.filter(F.col("split") == "train").select("doc_id")
+    post = P.restrict_docs(P.build_postings(fx.corpus(spark, sf_dir)), train)
+    post = P.stored_postings(post)
+    n = train.select(F.count(F.lit(1))).scalar()
+    freq = P.frequent_terms(P.doc_freq(post), 5, n)
+    w = Wt.tfidf(post, freq, n)
+    return w.select("term", "doc_id", F.round("weight", ROUND).alias("weight"))

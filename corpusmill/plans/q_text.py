@@ -354,3 +354,45 @@ def natural_sort(spark, sf_dir):
                                    .otherwise(x)), "")
     return S.global_rank(urls.withColumn("k", key), [F.asc("k"), F.asc("url")], "position") \
         .select("url", "position")
+
+
+PUNCT_CLASS = r"[0-9!-/:-@\[-`{-~]"
+STOP_EXTRA_SQL = "[" + ", ".join(q.lit(w) for w in tx.STOPWORDS + tx.EXTRA_STOPWORDS) + "]"
+
+
+@query("tokens_nodigits", f"""
+WITH t AS (SELECT doc_id, list_filter(list_filter(regexp_split_to_array(
+              regexp_replace(lower(text), '{PUNCT_CLASS}', ' ', 'g'), {q.WS}), lambda x: x <> ''),
+              lambda s: NOT list_contains({STOP_EXTRA_SQL}, s)) AS toks FROM documents)
+SELECT doc_id, unnest(range(1, len(toks) + 1)) AS pos, unnest(toks) AS token FROM t""")
+def tokens_nodigits(spark, sf_dir):
+    """Digits and punctuation become spaces, split, stopwords (with the
+    extra list) dropped; no lemmatizer."""
+    docs = fx.corpus(spark, sf_dir)
+    return P.token_table(docs, tx.digit_punct_tokens(F.col("text")))
+
+
+@query("token_buckets", f"""
+WITH t AS (SELECT unnest(string_split(text, ' ')) AS tok FROM documents)
+SELECT CASE WHEN trim(tok) = '' THEN 'empty'
+            WHEN {q.is_number('tok')} THEN 'number'
+            WHEN list_contains({STOP_EXTRA_SQL}, tok) THEN 'stopword'
+            ELSE 'word' END AS bucket, count(*) AS n
+FROM t GROUP BY 1""")
+def token_buckets(spark, sf_dir):
+    """Raw space-separated tokens counted by bucket (empty, number,
+    stopword, word)."""
+    docs = fx.corpus(spark, sf_dir)
+    toks = docs.select(F.explode(F.split(F.col("text"), " ")).alias("tok"))
+    return toks.groupBy(tx.token_bucket(F.col("tok")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("valid_words", f"""
+WITH t AS (SELECT unnest({q.plain_tokens('text')}) AS word FROM documents)
+SELECT DISTINCT word FROM t
+WHERE length(word) > 1 AND NOT {q.is_number('word')} AND NOT regexp_matches(word, '^[0-9]')""")
+def valid_words(spark, sf_dir):
+    """The distinct words that pass the valid-stem test."""
+    docs = fx.corpus(spark, sf_dir)
+    w = docs.select(F.explode(tx.plain_tokens(F.col("text"))).alias("word"))
+    return w.filter(tx.is_valid_stem(F.col("word"))).distinct()
