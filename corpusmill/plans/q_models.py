@@ -117,3 +117,26 @@ def row_blocks(spark, sf_dir):
     return b.groupBy("block").agg(F.count(F.lit(1)).alias("n_rows"),
                                   F.min("l_orderkey").alias("first_key"),
                                   F.max("l_orderkey").alias("last_key"))
+
+
+@query("part_sequences")
+def part_sequences(spark, sf_dir):
+    """Per document a fixed-width sequence of part vectors
+    (document, first P paragraphs, four chunks; zero vectors where a part is
+    missing).  Part vectors are mean Word2Vec vectors of the part's tokens;
+    P is the median paragraph count (L10)."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    from corpusmill.operators import parts as Pt
+    from corpusmill.session import materialize
+    docs = fx.corpus(spark, sf_dir)
+    parts = materialize(Pt.part_table(docs, tx.plain_tokens, 4), "parts")
+    n_par = parts.filter(F.col("part_type") == "paragraph").groupBy("doc_id").count() \
+        .select(F.floor(F.percentile("count", 0.5)).cast("int")).first()[0] or 1
+    dim = 16
+    model = Word2Vec(vectorSize=dim, minCount=5, maxIter=1, seed=1, inputCol="tokens",
+                     outputCol="vec").fit(parts.filter(F.col("part_type") == "doc"))
+    vecs = model.transform(parts).select("doc_id", "part_type", "part_no",
+                                         vector_to_array("vec").alias("vector"))
+    return Pt.part_sequence_matrix(vecs, docs, n_par, 4, dim)
