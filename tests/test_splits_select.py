@@ -78,3 +78,48 @@ def test_chi_marginal_form_equals_direct(spark):
             p00 = 1 - p10 - p01 - p11
             chi += pc1 * n_docs * (p11 * p00 - p10 * p01) ** 2 / (pt1 * (1 - pt1) * pc1 * (1 - pc1))
         assert abs(got[term] - chi) < 1e-9 * max(1.0, chi)
+
+
+def test_split_repair_matches_sequential_loop(spark):
+    """P8 closed form against a restatement of the three move passes."""
+    import hashlib
+    from corpusmill.operators.models import repair_splits
+    rnd = random.Random(4)
+    labels = [f"s{i}" for i in range(8)]
+    doc_labels, split = [], {}
+    for d in range(300):
+        ls = rnd.sample(labels, 1 if rnd.random() < 0.7 else 2)
+        for lab in ls:
+            doc_labels.append((d, lab))
+        split[d] = rnd.choices(["train", "validation", "test"], weights=[0.8, 0.1, 0.1])[0]
+    dl = spark.createDataFrame(doc_labels, "doc_id long, label string")
+    sp = spark.createDataFrame(list(split.items()), "doc_id long, split string")
+    got = {r["doc_id"]: r["new_split"] for r in repair_splits(dl, sp, seed=3).collect()}
+
+    by_label, n_labels = {}, {}
+    for d, lab in doc_labels:
+        by_label.setdefault(lab, set()).add(d)
+        n_labels[d] = n_labels.get(d, 0) + 1
+    cur = dict(split)
+    mins = {"train": 0.3, "validation": 0.15, "test": 0.15}
+    order = lambda d: (hashlib.md5(f"3:{d}".encode()).hexdigest(), d)
+
+    def problem(lab, s, add=0):
+        docs = by_label[lab]
+        return (float(sum(1 for x in docs if cur[x] == s)) - add) / len(docs) < mins[s]
+    for lab in labels:
+        docs = by_label[lab]
+        if len(docs) < 3:
+            continue
+        single = {s: sorted((x for x in docs if n_labels[x] == 1 and split[x] == s), key=order)
+                  for s in mins}
+        for src, targets in (("train", ("validation", "test")), ("test", ("validation", "train")),
+                             ("validation", ("test", "train"))):
+            for x in single[src]:
+                if not problem(lab, src, add=1):
+                    for t in targets:
+                        if problem(lab, t):
+                            cur[x] = t
+                            break
+    for d, s in got.items():
+        assert s == cur[d], d
