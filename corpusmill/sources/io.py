@@ -92,13 +92,20 @@ def read_connector(spark: SparkSession, fmt: str, resource: str,
 
 
 def write_long_json(df: DataFrame, path: str, key: str, map_key: str,
-                    map_value: str, partitions: int | None = None) -> None:
-    """S6 sink: one JSON line ``{key, postings: {k: v}}`` per key.
+                    map_value: str, partitions: int | None = None,
+                    max_entries: int = 100_000) -> None:
+    """S6 sink: JSON lines ``{key, postings: {k: v}}``.
 
     The map is only assembled here at export time; inside the engine the
-    table stays long.
-    """
-    out = (df.groupBy(key)
+    table stays long.  A key with more than ``max_entries`` entries (a
+    frequent term) is written as several lines, each holding one hash chunk
+    of its entries, so no single row or task ever holds a whole hot key;
+    the reader merges the lines back (it explodes every line)."""
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    chunks = F.greatest(F.ceil(F.col("__n") / F.lit(max_entries)), F.lit(1))
+    keyed = df.join(sizes, key).withColumn(
+        "__chunk", F.pmod(F.xxhash64(F.col(map_key)), chunks.cast("long")))
+    out = (keyed.groupBy(key, "__chunk")
            .agg(F.map_from_entries(F.collect_list(
                F.struct(F.col(map_key), F.col(map_value)))).alias("postings")))
     if partitions:

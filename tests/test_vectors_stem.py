@@ -38,3 +38,15 @@ def test_epsilon_join_and_components_match_brute_force(spark):
         groups.setdefault(r, []).append(i)
     for members in groups.values():
         assert {comp[m] for m in members} == {min(members)}
+
+
+def test_long_json_export_chunks_hot_keys(spark, tmp_path):
+    from corpusmill.sources import io
+    rows = [("hot", d, 1.0) for d in range(250)] + [("cold", 1, 2.0)]
+    df = spark.createDataFrame(rows, "term string, doc_id long, tf double")
+    path = str(tmp_path / "j")
+    io.write_long_json(df, path, "term", "doc_id", "tf", max_entries=100)
+    lines = spark.read.text(path).count()
+    assert lines == 4  # 250 hot entries in 3 chunks, 1 cold line
+    back = io.read_long_json(spark, path, "term", "string", "doc_id", "bigint", "tf")
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
