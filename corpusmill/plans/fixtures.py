@@ -34,7 +34,14 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    """(doc_id, text) spread over the cores for per-document work."""
+    return spread(documents(spark, sf_dir), "doc_id")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) as scanned: for corpus-wide scalars (N, average
+    length), which need no spreading and so no text shuffle."""
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def doc_labels_single(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def _features(spark, sf_dir):
     docs = fx.corpus(spark, sf_dir)
     fpost, freq, n, best = QT._chi_best(spark, sf_dir)
     dictionary = S.term_dictionary(best)
-    avg = P.average_length(P.doc_lengths(docs, mode="chars"))
+    avg = P.average_length(P.doc_lengths(fx.documents(spark, sf_dir), mode="chars"))
     w = Wt.bm25(P.restrict_terms(fpost, dictionary), freq, None, n, avg)
     return Md.sparse_features(Wt.doc_index(w, dictionary), QT.TOP_N_FEATURES)
 

@@ -90,7 +90,7 @@ SELECT level, label, n_docs, n_split, round(n_docs / n.n, 6) AS share_corpus,
        round(n_split / ns.n, 6) AS share_split FROM c, n, ns""")
 def split_divergence(spark, sf_dir):
     dl, sp = _splits(spark, sf_dir)
-    n = fx.corpus(spark, sf_dir).select(F.count(F.lit(1))).scalar()
+    n = fx.documents(spark, sf_dir).select(F.count(F.lit(1))).scalar()
     return (Sp.split_divergence(dl, sp, n)
             .withColumn("share_corpus", F.round("share_corpus", ROUND))
             .withColumn("share_split", F.round("share_split", ROUND)))

@@ -31,7 +31,7 @@ def index_stats(spark, sf_dir):
     # branch below (df, filters, weights, label joins) reads the stored copy
     post = P.stored_postings(P.build_postings(docs, keep_length=True))
     dfreq = P.doc_freq(post)
-    n = P.n_docs(docs)
+    n = P.n_docs(fx.documents(spark, sf_dir))
     freq = P.frequent_terms(dfreq, MIN_DOCUMENTS, n)
     fpost = post.join(freq.select("term", "df"), "term")
     return docs, post, dfreq, n, freq, fpost
@@ -93,7 +93,7 @@ bm AS (
 
 def _bm25(spark, sf_dir):
     docs, post, dfreq, n, freq, fpost = index_stats(spark, sf_dir)
-    avg = P.average_length(P.doc_lengths(docs, mode="chars"))
+    avg = P.average_length(P.doc_lengths(fx.documents(spark, sf_dir), mode="chars"))
     return Wt.bm25(fpost, freq, None, n, avg)
 
 
@@ -181,7 +181,7 @@ SELECT term, doc_id, round(w / norm, 6) AS weight FROM w JOIN nrm USING (doc_id)
 def l2_tfidf(spark, sf_dir):
     docs = fx.corpus(spark, sf_dir)
     post = P.stored_postings(P.build_postings(docs, tx.plain_tokens(F.col("text"))))
-    out = Wt.l2_tfidf(post, P.doc_freq(post), P.n_docs(docs), min_df=5)
+    out = Wt.l2_tfidf(post, P.doc_freq(post), P.n_docs(fx.documents(spark, sf_dir)), min_df=5)
     return out.select("term", "doc_id", _r(F.col("weight")).alias("weight"))
 
 
@@ -252,7 +252,7 @@ def doc_index(spark, sf_dir):
     fpost, freq, n, best = _chi_best(spark, sf_dir)
     dictionary = S.term_dictionary(best)
     reduced = P.restrict_terms(fpost, dictionary)
-    avg = P.average_length(P.doc_lengths(docs, mode="chars"))
+    avg = P.average_length(P.doc_lengths(fx.documents(spark, sf_dir), mode="chars"))
     w = Wt.bm25(reduced, freq, None, n, avg)
     return Wt.doc_index(w, dictionary).select("doc_id", "term_id", _r(F.col("weight")).alias("weight"))
 
