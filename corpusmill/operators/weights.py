@@ -100,12 +100,12 @@ def doc_index(weights: DataFrame, dictionary: DataFrame) -> DataFrame:
         .select("doc_id", "term_id", "weight")
 
 
-def sparse_vectors(doc_idx: DataFrame, size: Column | int) -> DataFrame:
-    """T12 export form: one ``SparseVector`` per document (ML side).
+def sparse_vectors(doc_idx: DataFrame) -> DataFrame:
+    """T12 export form: (doc_id, indices, values) per document, sorted by
+    term id (the arrays of a sparse vector).
 
     Built with ``collect_list`` per document: a document's vector is bounded
     by its vocabulary, never by the corpus."""
-    from pyspark.ml.functions import array_to_vector  # noqa: F401 (import check)
     entries = F.array_sort(F.collect_list(F.struct("term_id", "weight")))
     return doc_idx.groupBy("doc_id").agg(entries.alias("entries")).select(
         "doc_id",
