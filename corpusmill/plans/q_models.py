@@ -17,6 +17,7 @@ from corpusmill.plans import q_text as QT
 from corpusmill.plans.registry import query
 from corpusmill.sources import io
 from corpusmill.sources.io import table
+from corpusmill.session import materialize
 
 BLOCK_ROWS = 100_000
 
@@ -140,3 +141,15 @@ def part_sequences(spark, sf_dir):
     vecs = model.transform(parts).select("doc_id", "part_type", "part_no",
                                          vector_to_array("vec").alias("vector"))
     return Pt.part_sequence_matrix(vecs, docs, n_par, 4, dim)
+
+
+@query("split_repair_multilabel")
+def split_repair_multilabel(spark, sf_dir):
+    """Round-based repair of subclass shares on the multi-label order
+    mapping (orders split with the closed-form stratified split first);
+    returns the moved documents with their old and new split."""
+    from corpusmill.operators import splits as Sp
+    dl = fx.doc_labels_multi(spark, sf_dir)
+    sp = materialize(Sp.split_assign(dl), "order-splits")
+    moves, _ = Md.repair_splits_multilabel(dl.filter(F.col("level") == 3), sp)
+    return moves
