@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusmill.functions import stem as St
@@ -17,7 +19,7 @@ from corpusmill.plans import q_text as QT
 from corpusmill.plans.registry import query
 from corpusmill.sources import io
 from corpusmill.sources.io import table
-from corpusmill.session import materialize
+from corpusmill.session import checkpoint_dir, materialize
 
 BLOCK_ROWS = 100_000
 
@@ -40,9 +42,22 @@ def svm_margins(spark, sf_dir):
     sections = dl.filter(F.col("level") == 1)
     labels = [r["label"] for r in sections.select("label").distinct().orderBy("label").collect()]
     feats = _features(spark, sf_dir)
+    registry = f"{checkpoint_dir(spark).rstrip('/')}/corpusmill-models-{uuid.uuid4().hex}"
     return Md.one_vs_rest_margins(feats, sections, labels,
                                   sp.filter(F.col("split") == "train"),
-                                  sp.filter(F.col("split") == "test"), max_iter=20)
+                                  sp.filter(F.col("split") == "test"), max_iter=20,
+                                  model_dir=registry)
+
+
+@query("svm_training_error")
+def svm_training_error(spark, sf_dir):
+    """L4: training error of every per-section LinearSVC."""
+    dl, sp = QS._splits(spark, sf_dir)
+    sections = dl.filter(F.col("level") == 1)
+    labels = [r["label"] for r in sections.select("label").distinct().orderBy("label").collect()]
+    train = sp.filter(F.col("split") == "train")
+    return Md.one_vs_rest_margins(_features(spark, sf_dir), sections, labels, train, train,
+                                  max_iter=20, with_training_error=True)
 
 
 @query("lda_topics")
@@ -130,7 +145,7 @@ def part_sequences(spark, sf_dir):
     from pyspark.ml.functions import vector_to_array
 
     from corpusmill.operators import parts as Pt
-    from corpusmill.session import materialize
+    from corpusmill.session import checkpoint_dir, materialize
     docs = fx.corpus(spark, sf_dir)
     parts = materialize(Pt.part_table(docs, tx.plain_tokens, 4), "parts")
     n_par = parts.filter(F.col("part_type") == "paragraph").groupBy("doc_id").count() \
@@ -140,7 +155,9 @@ def part_sequences(spark, sf_dir):
                      outputCol="vec").fit(parts.filter(F.col("part_type") == "doc"))
     vecs = model.transform(parts).select("doc_id", "part_type", "part_no",
                                          vector_to_array("vec").alias("vector"))
-    return Pt.part_sequence_matrix(vecs, docs, n_par, 4, dim)
+    seq = Pt.part_sequence_matrix(vecs, docs, n_par, 4, dim)
+    # The same sequence flattened (parts x dims) for non-sequence models
+    return seq.withColumn("flat", F.flatten("sequence"))
 
 
 @query("split_repair_multilabel")

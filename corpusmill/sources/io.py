@@ -164,3 +164,18 @@ def dense_text(df: DataFrame, vector_col: str, id_col: str | None = None,
 def row_blocks(df: DataFrame, row_index_col: str, block_rows: int = 100_000) -> DataFrame:
     """Block number of a row from its 0-based global index."""
     return df.withColumn("block", F.floor(F.col(row_index_col) / block_rows).cast("long"))
+
+
+# Fixed value: distance written for an unreachable point by the reference.
+UNREACHABLE_DISTANCE = 100.0
+
+
+def parse_reachability(lines: DataFrame, col: str = "value") -> DataFrame:
+    """``ID=<n> ... reachdist=<x | Infinity>`` lines of an external
+    clustering tool's output -> (elem_id, reachdist), Infinity mapped to the
+    fixed distance 100."""
+    raw = F.regexp_extract(F.col(col), r"reachdist=([^ ]+)", 1)
+    dist = F.when(raw.isin("Infinity", "inf", "Inf"), F.lit(UNREACHABLE_DISTANCE)) \
+        .otherwise(F.expr(f"try_cast(regexp_extract({col}, 'reachdist=([^ ]+)', 1) AS DOUBLE)"))
+    return lines.select(F.regexp_extract(F.col(col), r"ID=([^ ]+)", 1).alias("elem_id"),
+                        dist.alias("reachdist"))

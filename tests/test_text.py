@@ -47,3 +47,10 @@ def test_chunk_bounds(spark):
         b = df.select(tx.chunk_bounds(F.col("n"), parts).alias("b")).first()["b"]
         assert [x["len"] for x in b] == expect
         assert sum(x["len"] for x in b) == n
+
+
+def test_parse_reachability(spark):
+    from corpusmill.sources.io import parse_reachability
+    df = spark.createDataFrame([("ID=12 core=0.5 reachdist=0.25 pre=3",), ("ID=7 reachdist=Infinity",)], "value string")
+    got = [(r["elem_id"], r["reachdist"]) for r in parse_reachability(df).collect()]
+    assert got == [("12", 0.25), ("7", 100.0)]
