@@ -22,14 +22,15 @@ from corpusmill.sources.io import table
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition by ``key`` when the scan yields fewer partitions than
-    the cluster has cores (a single large row group cannot be split).  On
-    a real multi-file corpus the scan is already parallel and this is a
-    no-op, so no shuffle is added."""
+    """Hash-partition by ``key`` (into twice as many partitions as cores, so
+    documents of very different lengths balance) when the scan yields fewer
+    partitions than the cluster has cores: a single large row group cannot
+    be split.  On a real multi-file corpus the scan is already parallel and
+    this is a no-op, so no shuffle is added."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
+        return df.repartition(2 * cores, key)
     return df
 
 
