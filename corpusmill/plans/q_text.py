@@ -324,19 +324,20 @@ SELECT target, context, count(*) AS n FROM p GROUP BY target, context""")
 def context_pairs(spark, sf_dir):
     """(target, context) pairs within a fixed window, counted.
 
-    Pairs are formed inside each document's token array (no self join, no
-    shuffle) and counted with a partial aggregate."""
+    For every offset o in 1..w the pairs are two shifted zips of the
+    document's token array (forward and backward), so pairs are formed
+    inside the row (no self join, no shuffle) and counted with a partial
+    aggregate."""
     docs = fx.corpus(spark, sf_dir)
     t = docs.select(tx.plain_tokens(F.col("text")).alias("toks"))
-    w = CONTEXT_WINDOW
-    n = F.size("toks")
-    pairs = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.transform(
-            F.filter(F.sequence(F.greatest(F.lit(1), i - w), F.least(n, i + w)), lambda j: j != i),
-            lambda j: F.struct(F.element_at("toks", i).alias("target"),
-                               F.element_at("toks", j).alias("context")))))
-    e = t.filter(n > 0).select(F.explode(pairs).alias("p"))
+    toks, n = F.col("toks"), F.size("toks")
+    parts = []
+    for o in range(1, CONTEXT_WINDOW + 1):
+        m = F.greatest(n - o, F.lit(0))
+        head, tail = F.slice(toks, 1, m), F.slice(toks, 1 + o, m)
+        parts.append(F.zip_with(head, tail, lambda a, b: F.struct(a.alias("target"), b.alias("context"))))
+        parts.append(F.zip_with(tail, head, lambda a, b: F.struct(a.alias("target"), b.alias("context"))))
+    e = t.select(F.explode(F.concat(*parts)).alias("p"))
     return e.groupBy(F.col("p.target").alias("target"), F.col("p.context").alias("context")) \
         .agg(F.count(F.lit(1)).alias("n"))
 
