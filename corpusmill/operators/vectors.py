@@ -84,6 +84,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
     und = edges.select("a", "b").unionByName(
         edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
     labels = nodes.select("id", F.col("id").alias("cluster")).checkpoint()
+    cached = None
     for r in range(1, max_rounds + 1):
         msgs = und.join(labels.withColumnRenamed("id", "b"), "b") \
             .select(F.col("a").alias("id"), "cluster")
@@ -91,6 +92,11 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1
         new = new.checkpoint() if r % checkpoint_every == 0 else new.cache()
         changed = new.join(labels.withColumnRenamed("cluster", "old"), "id") \
             .filter(F.col("cluster") != F.col("old")).limit(1).count()
+        # the previous round's cached labels are no longer needed once this
+        # round is computed (a recompute after eviction stays correct)
+        if cached is not None:
+            cached.unpersist()
+        cached = new if r % checkpoint_every else None
         labels = new
         if changed == 0:
             return labels
