@@ -54,3 +54,25 @@ def test_parse_reachability(spark):
     df = spark.createDataFrame([("ID=12 core=0.5 reachdist=0.25 pre=3",), ("ID=7 reachdist=Infinity",)], "value string")
     got = [(r["elem_id"], r["reachdist"]) for r in parse_reachability(df).collect()]
     assert got == [("12", 0.25), ("7", 100.0)]
+
+
+def test_sentence_word_tokens(spark):
+    text = "See Fig. 3, then stop. Numbers: 1,234 and (x)!"
+    out = _one(spark, tx.sentence_word_tokens, text)
+    # abbreviations keep their dot, sentence punctuation becomes its own
+    # token; single letters are abbreviations too, so "(x)!" keeps its "!"
+    assert out == ["see", "fig.", "num_indic", "then", "stop", ".", "numbers", "num_indic",
+                   "and", "x!"]
+
+
+def test_stage_reuses_finished_output(spark, tmp_path):
+    from corpusmill.sources.io import stage
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(5).withColumnRenamed("id", "x")
+    path = str(tmp_path / "st")
+    a = stage(spark, path, build)
+    b = stage(spark, path, build)
+    assert a.count() == b.count() == 5 and len(calls) == 1
