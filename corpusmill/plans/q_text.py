@@ -397,3 +397,33 @@ def valid_words(spark, sf_dir):
     docs = fx.corpus(spark, sf_dir)
     w = docs.select(F.explode(tx.plain_tokens(F.col("text"))).alias("word"))
     return w.filter(tx.is_valid_stem(F.col("word"))).distinct()
+
+
+SENT_STRIP_SQL = q.lit(tx.SENTENCE_STRIP)
+ABBR_SQL = "[" + ", ".join(q.lit(a) for a in tx.ABBREVIATIONS) + "]"
+SW_PAT = q.lit(r"^([.,!?;:]*)(.+?)([.,!?;:]?)$")
+
+
+def _sentence_words_sql(text: str) -> str:
+    base = (f"list_filter(list_transform(list_filter(regexp_split_to_array({text}, {q.WS}), "
+            f"lambda t: t <> ''), lambda t: trim(lower(t), {SENT_STRIP_SQL})), lambda s: s <> '')")
+    mid = f"trim(regexp_extract(s, {SW_PAT}, 2), {SENT_STRIP_SQL})"
+    lead = f"trim(regexp_extract(s, {SW_PAT}, 1), {SENT_STRIP_SQL})"
+    tail = f"trim(regexp_extract(s, {SW_PAT}, 3), {SENT_STRIP_SQL})"
+    split3 = (f"[{lead}, CASE WHEN list_contains({ABBR_SQL}, {mid}) THEN {mid} || {tail} ELSE {mid} END, "
+              f"CASE WHEN list_contains({ABBR_SQL}, {mid}) THEN '' ELSE {tail} END]")
+    per = (f"list_transform({base}, lambda s: CASE WHEN {q.is_number('s')} THEN ['num_indic'] "
+           f"WHEN starts_with(s, '$') THEN ['curr_indic'] "
+           f"WHEN ({q.hyphens('s')} > 2 AND length(s) >= 25) OR length(s) >= 40 THEN ['chem_indic'] "
+           f"ELSE {split3} END)")
+    return f"list_filter(flatten({per}), lambda x: x <> '')"
+
+
+@query("tokens_sentence_words", f"""
+WITH t AS (SELECT doc_id, {_sentence_words_sql('text')} AS toks FROM documents)
+SELECT doc_id, unnest(range(1, len(toks) + 1)) AS pos, unnest(toks) AS token FROM t""")
+def tokens_sentence_words(spark, sf_dir):
+    """Words with their sentence punctuation as separate tokens;
+    abbreviations keep the dot."""
+    docs = fx.corpus(spark, sf_dir)
+    return P.token_table(docs, tx.sentence_word_tokens(F.col("text")))
