@@ -13,7 +13,7 @@ from corpusmill.session import materialize
 
 SEED = 10000
 ROUND = 6
-# Fixed values of the reference's sampling notebooks.
+# Fixed values of the reference's sampling procedures.
 TRAINING_SAMPLE_PERCENTAGE = 0.001
 MIN_TRAINING_SAMPLES = 20
 MIN_DOCUMENTS_FOR_TRAINING_SAMPLE = 10
