@@ -50,3 +50,17 @@ def test_long_json_export_chunks_hot_keys(spark, tmp_path):
     assert lines == 4  # 250 hot entries in 3 chunks, 1 cold line
     back = io.read_long_json(spark, path, "term", "string", "doc_id", "bigint", "tf")
     assert sorted(map(tuple, back.collect())) == sorted(rows)
+
+
+def test_model_registry_skips_existing(spark, tmp_path):
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.linalg import Vectors
+
+    from corpusmill.operators.models import fit_or_load, model_name
+    data = spark.createDataFrame([(Vectors.dense([float(i), 1.0]), float(i % 2)) for i in range(20)],
+                                 "features vector, y double")
+    est = LinearSVC(featuresCol="features", labelCol="y", maxIter=5)
+    path = str(tmp_path / model_name("LinearSVC", "A-01/x", 5, 0.01))
+    m1 = fit_or_load(est, data, path)
+    m2 = fit_or_load(est.setMaxIter(1), data, path)  # loaded, not refitted
+    assert list(m1.coefficients) == list(m2.coefficients)
