@@ -54,11 +54,13 @@ def test_long_json_export_chunks_hot_keys(spark, tmp_path):
 
 def test_model_registry_skips_existing(spark, tmp_path):
     from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.linalg import Vectors
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.sql import types as T
 
     from corpusmill.operators.models import fit_or_load, model_name
+    schema = T.StructType([T.StructField("features", VectorUDT()), T.StructField("y", T.DoubleType())])
     data = spark.createDataFrame([(Vectors.dense([float(i), 1.0]), float(i % 2)) for i in range(20)],
-                                 "features vector, y double")
+                                 schema)
     est = LinearSVC(featuresCol="features", labelCol="y", maxIter=5)
     path = str(tmp_path / model_name("LinearSVC", "A-01/x", 5, 0.01))
     m1 = fit_or_load(est, data, path)
