@@ -163,3 +163,18 @@ def test_multilabel_repair_invariants(spark):
     assert bad(after) <= bad(before)
     assert left.count() == bad(after)
     assert moves.count() > 0 and not math.isnan(moves.count())
+
+
+def test_rank_in_group_hot_group_is_split(spark):
+    """A group holding a third of all rows is still ranked exactly, and its
+    rows are spread over many (group, hash-prefix) window partitions."""
+    from corpusmill.operators.ranking import seeded_hash
+    rows = [("hot" if i % 3 == 0 else f"g{i % 50}", i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, id long").withColumn("h", seeded_hash(7, "id"))
+    ranked = rank_in_group(df, ["g"], "h", "id", prefix_len=2)
+    hot = ranked.filter(F.col("g") == "hot")
+    assert hot.select(F.substring("h", 1, 2)).distinct().count() > 100
+    got = [r["id"] for r in hot.orderBy("rank").collect()]
+    expect = [r["id"] for r in df.filter(F.col("g") == "hot").orderBy("h", "id").collect()]
+    assert got == expect
+    assert [r["rank"] for r in hot.orderBy("rank").collect()] == list(range(1, len(expect) + 1))
