@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -57,12 +58,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = os.environ.get("TMPDIR", "/tmp")
         configured = tempfile.mkdtemp(prefix="corpusmill-ckpt-", dir=base)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's sources to the Python workers, once per context,
+    so that functions in tasks import it wherever the driver was started."""
+    sc = spark.sparkContext
+    if getattr(sc, "_corpusmill_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = os.path.join(tempfile.mkdtemp(prefix="corpusmill-src-"), "corpusmill.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "corpusmill")):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    sc._corpusmill_shipped = True
+
+
 def materialize(df, name: str = "stage"):
     """Compute ``df`` once and cut its lineage by writing it as a Parquet
     table under the shared checkpoint folder (``spark.checkpoint.dir``), then
