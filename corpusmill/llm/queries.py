@@ -65,7 +65,7 @@ dup AS (SELECT r, g FROM tri GROUP BY r, g HAVING count(*) > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM tri JOIN dup USING (r, g), (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
 ln AS (SELECT r, translate(regexp_replace(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g'),
        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
-       len([x FOR x IN string_split_regex(l, '[\x20\x09-\x0D]+') IF x <> '')] AS n
+       len([x FOR x IN string_split_regex(l, '[\x20\x09-\x0D]+') IF x <> '']) AS n
        FROM (SELECT r, unnest(ls) AS l FROM w)),
 hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
 freq AS (SELECT d.source, h FROM ln JOIN d USING (r) JOIN hosts ON hosts.source IS NOT DISTINCT FROM d.source
