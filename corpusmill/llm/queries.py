@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import text_of
+from corpusmill.llm.decontaminate import decontaminate
 from corpusmill.llm.quality import quality
 from corpusmill.llm.urlfilter import host_of, judge_urls, path_of
 from corpusmill.sources.io import table
@@ -63,8 +63,7 @@ tri AS (SELECT r, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS g
         FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 dup AS (SELECT r, g FROM tri GROUP BY r, g HAVING count(*) > 1),
 rep AS (SELECT r, count(DISTINCT i + k) AS n FROM tri JOIN dup USING (r, g), (SELECT unnest([0, 1, 2]) AS k) GROUP BY r),
-ln AS (SELECT r, translate(regexp_replace(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), '[0-9]+', '0', 'g'),
-       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h,
+ln AS (SELECT r, regexp_replace(lower(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')), '[0-9]+', '0', 'g') AS h,
        len([x FOR x IN string_split_regex(l, '[\x20\x09-\x0D]+') IF x <> '']) AS n
        FROM (SELECT r, unnest(ls) AS l FROM w)),
 hosts AS (SELECT source, count(DISTINCT t) AS n FROM d GROUP BY source),
@@ -87,3 +86,34 @@ def op7(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality(docs).select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols",
                                 "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+# ---- op1 ----------------------------------------------------------------
+
+LEAK_SQL = r"""
+WITH lo AS (SELECT row_number() OVER () AS r, doc_id, [x FOR x IN string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
+it AS (SELECT item_id, [x FOR x IN string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM benchmark),
+iw AS (SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(10, len(w)) AS n, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS g
+       FROM (SELECT item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM it WHERE len(w) > 0)),
+spans AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+       FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM lo, spans)),
+hit AS (SELECT r, dw.n, i, item FROM dw JOIN iw ON iw.g = dw.g AND iw.n = dw.n),
+agg AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM (SELECT r, i, unnest(range(0, n)) AS k FROM hit) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM lo LEFT JOIN agg USING (r) LEFT JOIN its USING (r)
+"""
+
+
+@query("op1_decontamination", LEAK_SQL)
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    got = decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return got.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
+                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
