@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.decontaminate import decontaminate
 from corpusmill.llm.quality import quality
+from corpusmill.llm.sharding import shard_by_size
 from corpusmill.llm.urlfilter import host_of, judge_urls, path_of
+from corpusmill.llm.warc import archive_pages
 from corpusmill.sources.io import table
 
 QUERIES, ORACLES = {}, {}
@@ -117,3 +119,35 @@ def op1(spark, sf_dir):
     got = decontaminate(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
     return got.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
                       F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+# ---- op9 ----------------------------------------------------------------
+
+@query("op9_sharding")
+def op9(spark, sf_dir):
+    got = shard_by_size(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=24)
+    return got.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+                      "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# ---- op10 ---------------------------------------------------------------
+
+WARC_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+m AS (SELECT d, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, p.d AS payload_digest,
+       CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM p LEFT JOIN m ON m.d = p.d AND p.n >= 1000
+"""
+
+
+@query("op10_warc", WARC_SQL)
+def op10(spark, sf_dir):
+    """Digest and size of a response come from the payload read back, those
+    of a revisit from its headers."""
+    got = archive_pages(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return got.select(F.col("id").alias("page_id"),
+                      F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
+                      F.coalesce(F.sha1("payload"), "payload_digest").alias("payload_digest"),
+                      F.col("type").alias("record_type"), "refers_to")
