@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusmill.llm.decontaminate import decontaminate
+from corpusmill.llm.jaccard import jaccard_classes
+from corpusmill.llm.pieces import encode_decode
 from corpusmill.llm.quality import quality
 from corpusmill.llm.sharding import shard_by_size
 from corpusmill.llm.urlfilter import host_of, judge_urls, path_of
@@ -151,3 +153,22 @@ def op10(spark, sf_dir):
                       F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
                       F.coalesce(F.sha1("payload"), "payload_digest").alias("payload_digest"),
                       F.col("type").alias("record_type"), "refers_to")
+
+
+# ---- op6 ----------------------------------------------------------------
+
+@query("op6_pieces")
+def op6(spark, sf_dir, model: str = "piece_bpe_32k.model"):
+    import public_tokenizers
+    got = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(model))
+    return got.select(F.col("id").alias("doc_id"), F.size("ids").cast("long").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# ---- op8 ----------------------------------------------------------------
+
+@query("op8_jaccard_join")
+def op8(spark, sf_dir):
+    got = jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
