@@ -9,6 +9,7 @@ from corpusmill.llm.decontaminate import decontaminate
 from corpusmill.llm.jaccard import jaccard_classes
 from corpusmill.llm.pieces import encode_decode
 from corpusmill.llm.quality import quality
+from corpusmill.llm.secrets import find_secrets
 from corpusmill.llm.sharding import shard_by_size
 from corpusmill.llm.urlfilter import host_of, judge_urls, path_of
 from corpusmill.llm.warc import archive_pages
@@ -172,3 +173,20 @@ def op6(spark, sf_dir, model: str = "piece_bpe_32k.model"):
 def op8(spark, sf_dir):
     got = jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
+
+
+# ---- op4 ----------------------------------------------------------------
+
+@query("op4_secret_scan")
+def op4(spark, sf_dir):
+    got = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def n(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return got.select(F.col("id").alias("doc_id"), n("assign"), n("access"), n("hex"),
+                      F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
