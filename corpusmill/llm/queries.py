@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.decontaminate import decontaminate
 from corpusmill.llm.jaccard import jaccard_classes
+from corpusmill.llm.common import text_of
+from corpusmill.llm.ngramlm import score, train
 from corpusmill.llm.pieces import encode_decode
 from corpusmill.llm.quality import quality
 from corpusmill.llm.secrets import find_secrets
@@ -190,3 +192,17 @@ def op4(spark, sf_dir):
 
     return got.select(F.col("id").alias("doc_id"), n("assign"), n("access"), n("hex"),
                       F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
+# ---- op3 ----------------------------------------------------------------
+
+@query("op3_lm_score")
+def op3(spark, sf_dir, order: int = 2):
+    """Trains on the documents that the hold-out rule leaves, scores all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(text_of(F.col("doc_id").cast("string")).cast("binary")) % 7 == 2
+    model = train(docs.filter(~held), order=order)
+    got = score(docs, model).withColumnRenamed("id", "doc_id")
+    back = F.crc32(text_of(F.col("doc_id").cast("string")).cast("binary")) % 7 == 2
+    return got.select("doc_id", back.alias("held_out"), "n_tokens", "n_known",
+                      F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
