@@ -11,6 +11,7 @@ from corpusmill.llm.common import text_of
 from corpusmill.llm.ngramlm import score, train
 from corpusmill.llm.pieces import encode_decode
 from corpusmill.llm.quality import quality
+from corpusmill.llm.repeats import remove_repeats
 from corpusmill.llm.secrets import find_secrets
 from corpusmill.llm.sharding import shard_by_size
 from corpusmill.llm.urlfilter import host_of, judge_urls, path_of
@@ -206,3 +207,13 @@ def op3(spark, sf_dir, order: int = 2):
     back = F.crc32(text_of(F.col("doc_id").cast("string")).cast("binary")) % 7 == 2
     return got.select("doc_id", back.alias("held_out"), "n_tokens", "n_known",
                       F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+# ---- op5 ----------------------------------------------------------------
+
+@query("op5_repeats")
+def op5(spark, sf_dir):
+    got = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return got.select(F.col("id").alias("doc_id"), "n_bytes",
+                      (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
