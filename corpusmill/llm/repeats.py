@@ -11,7 +11,8 @@ on the input.
    one key.  Only hashes are shuffled at this step.
 2. Copies are folded first: equal texts into one, equal segments of a key into
    one.  A segment found twice is repeated as a whole.
-3. Keys with two or more different segments are dealt to shards of about
+3. Keys with two or more different segments, or whose gram occurs twice in
+   one, are dealt to shards of about
    ``shard_bytes``.  A shard builds the Burrows-Wheeler transform of its segments
    in run-compressed form, with the suffix positions sampled at both ends of
    every run.  Matching statistics are streamed in text order: at a run end the
@@ -159,8 +160,8 @@ def repeated_spans(texts: list[bytes], length: int) -> list[list[tuple[int, int]
 
 # ---- candidate segments ---------------------------------------------------
 
-def _window_least(data: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Least gram hash of every window."""
+def _window_least(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(gram hashes, the least of every window)."""
     x = _words8(data)
     h = np.zeros(len(data) - gram + 1, np.uint64)
     for i, a in zip(range(0, gram, 8), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
@@ -175,18 +176,20 @@ def _window_least(data: np.ndarray, length: int, gram: int) -> np.ndarray:
     grid = pad.reshape(-1, w)
     fore = np.minimum.accumulate(grid, axis=1).ravel()
     back = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], fore[w - 1:w - 1 + n])
+    return h, np.minimum(back[:n], fore[w - 1:w - 1 + n])
 
 
-def segments(data: bytes, length: int, gram: int) -> list[tuple[int, int, int, int]]:
-    """(key, start, bytes, content hash) of each segment of a text."""
+def segments(data: bytes, length: int, gram: int) -> list[tuple[int, int, int, int, bool]]:
+    """(key, start, bytes, content hash, whether the least gram occurs twice in
+    it, as it must if the segment repeats a window of its own)."""
     if len(data) < length:
         return []
-    least = _window_least(np.frombuffer(data, np.uint8), length, gram)
+    grams, least = _window_least(np.frombuffer(data, np.uint8), length, gram)
     start = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
     end = np.r_[start[1:], len(least)] + length - 1
     keys = least[start].view(np.int64).tolist()
-    return [(k, a, b - a, int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8).digest(), "big", signed=True))
+    return [(k, a, b - a, int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8).digest(), "big", signed=True),
+             np.count_nonzero(grams[a:b - gram + 1] == least[a]) > 1)
             for k, a, b in zip(keys, start.tolist(), end.tolist(), strict=True)]
 
 
@@ -209,10 +212,10 @@ def _segment_rows(length: int, gram: int):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows = [segments(t, length, gram) if t else [] for t in part.column(3).to_pylist()]
-                flat = list(zip(*[s for r in rows for s in r], strict=True)) or [[]] * 4
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
+                flat = list(zip(*[s for r in rows for s in r], strict=True)) or [[]] * 5
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
                 items = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds, strict=True)],
-                                                   ["h", "s", "len", "sh"])
+                                                   ["h", "s", "len", "sh", "own"])
                 offsets = pa.array(np.cumsum([0] + [len(r) for r in rows]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(offsets, items)],
                                                  ["id", "md5", "n", "segs"])
@@ -260,19 +263,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     src = docs.select(F.col(id_col).alias("id"), F.md5(raw).alias("md5"), raw.alias("data"))
     found = materialize(src.select("id", "md5", F.octet_length("data").alias("n"), "data").mapInArrow(
         _segment_rows(length, gram),
-        f"id {id_type}, md5 string, n int, segs array<struct<h:long,s:int,len:int,sh:long>>"), "segments")
+        f"id {id_type}, md5 string, n int, segs array<struct<h:long,s:int,len:int,sh:long,own:boolean>>"), "segments")
     texts = found.filter(F.col("n") >= length).groupBy("md5").agg(
         F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"),
         F.first("segs").alias("segs"))
     texts = materialize(texts, "texts")
     seg = texts.select("md5", "id", F.explode("segs").alias("x")).select("md5", "id", "x.*")
-    twice = seg.groupBy("h").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("h")
+    twice = seg.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("own")) \
+        .filter("m > 1 or own").select("h")
     cand = materialize(seg.join(twice, "h", "left_semi"), "candidates")
-    folded = cand.groupBy("h", "sh").agg(F.count(F.lit(1)).alias("m"),
+    folded = cand.groupBy("h", "sh").agg(F.count(F.lit(1)).alias("m"), F.max("own").alias("own"),
                                          F.min(F.struct("md5", "id", "s", "len")).alias("at"))
     folded = materialize(folded, "folded")
-    keys = materialize(folded.groupBy("h").agg(F.count(F.lit(1)).alias("d"),
-                                               F.sum("at.len").alias("bytes")).filter("d > 1"), "keys")
+    keys = materialize(folded.groupBy("h").agg(F.count(F.lit(1)).alias("d"), F.max("own").alias("own"),
+                                               F.sum("at.len").alias("bytes"))
+                       .filter("d > 1 or own").select("h", "bytes"), "keys")
     total = keys.filter(F.col("bytes") <= key_bytes).agg(F.sum("bytes")).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     shard = F.when(F.col("bytes") <= key_bytes, F.pmod(F.xxhash64("h"), F.lit(shards))).otherwise(-1).cast("int")
