@@ -3,6 +3,7 @@ SQL of those that SQL can express."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from corpusmill.llm.decontaminate import decontaminate
@@ -217,3 +218,10 @@ def op5(spark, sf_dir):
     return got.select(F.col("id").alias("doc_id"), "n_bytes",
                       (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# ---- pipeline -----------------------------------------------------------
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
