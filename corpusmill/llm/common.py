@@ -54,10 +54,11 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 
 
 def null_safe(a: DataFrame, b: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Equi-join on ``keys`` where null equals null; the keys of ``a`` stay."""
-    c = b.select(*[F.col(k).alias(f"__r_{k}") if k in keys else F.col(k) for k in b.columns])
-    cond = None
-    for k in keys:
-        e = F.col(k).eqNullSafe(F.col(f"__r_{k}"))
-        cond = e if cond is None else cond & e
-    return a.join(c, cond, how).drop(*[f"__r_{k}" for k in keys])
+    """Equi-join on ``keys`` where null equals null; the keys of ``a`` stay.
+    Other columns of ``b`` must have names of their own."""
+    own = dict(zip(keys, fresh(a, *[f"__r_{k}" for k in keys]), strict=True))
+    c = b.withColumnsRenamed(own)
+    cond = F.lit(True)
+    for k, r in own.items():
+        cond = cond & F.col(k).eqNullSafe(F.col(r))
+    return a.join(c, cond, how).drop(*own.values())
