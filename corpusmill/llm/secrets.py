@@ -17,7 +17,8 @@ group per kind is inferred in a task, and the automata (at most that
 many states) are the only thing collected.
 
 Defined cases: null and empty texts have no spans; repeated rows are each
-scanned; a kind without samples has no automaton; without a background sample
+scanned; a kind with
+fewer than ``min_samples`` has no automaton; without a background sample
 or any base match no span is added; an empty table gives an empty result.
 Positions are code points, ends are exclusive.  Only the named columns are read;
 ``redact`` returns all columns of its input.
@@ -177,15 +178,23 @@ def log_likelihood(states: list[dict], s: str, unseen: float = 1e-4) -> float:
 
 
 class Grammars:
-    """Automata by kind plus the background; scores tokens."""
+    """Automata by kind plus the background; scores tokens.
 
-    def __init__(self, automata: dict[str, list[dict]], samples: list[str], quantile: float, min_ratio: float):
+    The background sample is unlabelled, so it may hold credentials: samples
+    that a kind explains better than the background are left out and the
+    background is inferred once more from the rest."""
+
+    def __init__(self, automata: dict[str, list[dict]], samples: list[str], alpha: float, quantile: float,
+                 min_ratio: float):
         self.automata = {k: a for k, a in automata.items() if k != "word"}
         self.word = automata.get("word")
         self.threshold = math.inf
         if self.word and self.automata:
-            ratios = sorted(self.ratio(s) for s in samples)
-            self.threshold = max(min_ratio, ratios[min(len(ratios) - 1, int(quantile * len(ratios)))])
+            ordinary = [s for s in samples if self.ratio(s) <= 0]
+            if ordinary:
+                self.word = infer(ordinary, alpha)
+                ratios = sorted(map(self.ratio, ordinary))
+                self.threshold = max(min_ratio, ratios[min(len(ratios) - 1, int(quantile * len(ratios)))])
 
     def ratio(self, s: str) -> float:
         own = max(log_likelihood(a, s) for a in self.automata.values())
@@ -222,9 +231,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
              "tokens array<struct<start:int,s:string>>"), "secret-scan")
 
 
-def learn(scanned: DataFrame, max_samples: int = 400, alpha: float = 0.05, quantile: float = 0.999,
-          min_ratio: float = 10.0) -> Grammars:
-    """Automata from the ``max_samples`` strings of least hash of each kind."""
+def learn(scanned: DataFrame, max_samples: int = 400, min_samples: int = 20, alpha: float = 0.05,
+          quantile: float = 0.999, min_ratio: float = 10.0) -> Grammars:
+    """Automata from the ``max_samples`` strings of least hash of each kind that
+    has ``min_samples``."""
     base = scanned.select(F.explode("base").alias("x")).select("x.kind", "x.s")
     words = scanned.select(F.explode("tokens").alias("x")).select(F.lit("word").alias("kind"), "x.s")
     strings = base.unionByName(words).distinct()
@@ -239,8 +249,9 @@ def learn(scanned: DataFrame, max_samples: int = 400, alpha: float = 0.05, quant
 
     rows = sample.select("kind", "s").groupBy("kind") \
         .applyInPandas(one, "kind string, automaton string, samples array<string>").collect()
+    rows = [r for r in rows if len(r["samples"]) >= min_samples]
     return Grammars({r["kind"]: json.loads(r["automaton"]) for r in rows},
-                    [s for r in rows if r["kind"] == "word" for s in r["samples"]], quantile, min_ratio)
+                    [s for r in rows if r["kind"] == "word" for s in r["samples"]], alpha, quantile, min_ratio)
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
