@@ -46,7 +46,7 @@ def choose_bands(threshold: float, recall: float, max_hashes: int = 64) -> tuple
     best = None
     for rows in range(1, max_hashes + 1):
         p = threshold ** rows
-        bands = 1 if p >= recall else math.ceil(math.log(1 - recall) / math.log(1 - p))
+        bands = 1 if p >= recall else math.ceil(math.log1p(-recall) / math.log1p(-p))
         if rows * bands <= max_hashes:
             best = (rows, bands)
     if best is None:
