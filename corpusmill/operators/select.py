@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.session import materialize
+
 
 def class_sizes(doc_labels: DataFrame) -> DataFrame:
     """(label, s): documents per label."""
@@ -88,9 +90,9 @@ def global_rank(df: DataFrame, order_cols, rank_col: str, start: int = 1) -> Dat
     """Dense 0/1-based position of each row in a total order, without a
     single-partition window: range-partitioned sort, per-partition counts,
     prefix offsets over the partition count table, row number inside each
-    partition."""
-    sorted_df = df.orderBy(*order_cols)
-    with_pid = sorted_df.withColumn("__pid", F.spark_partition_id())
+    partition.  The rows are stored with their partition number, so counts and
+    ranks come from the same partitions whatever other columns there are."""
+    with_pid = materialize(df.orderBy(*order_cols).withColumn("__pid", F.spark_partition_id()), "ranked")
     counts = with_pid.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     offs = counts.withColumn(
         "__off", F.coalesce(F.sum("__n").over(

@@ -13,10 +13,8 @@ one cell and the join degenerates to all pairs of that cell; the cells are
 then split further by a salt so no single task holds the whole cell.
 
 **Single link** at distance t is exactly the connected components of the
-graph of pairs within t.  Components are found by iterative min-label
-propagation; the lineage is cut with ``checkpoint()`` (the cluster's
-``spark.checkpoint.dir``) every few rounds, and the loop raises if it does
-not converge within the round limit.
+graph of pairs within t, found by large-star and small-star rounds
+(:mod:`corpusmill.operators.components`).
 """
 
 from __future__ import annotations
@@ -26,6 +24,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.operators import components
 from corpusmill.operators.ranking import top_k
 
 
@@ -73,34 +72,12 @@ def epsilon_pairs(vecs: DataFrame, t: float, grid_dims: int = 2, salt: int = 2)
     return j.select("a", "b", F.sqrt(d2).alias("dist")).filter(F.col("dist") <= t)
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100,
-                         checkpoint_every: int = 2) -> DataFrame:
-    """(id, cluster) where cluster = smallest id of the component.
-
-    ``edges`` has (a, b).  Each round a node takes the smallest label among
-    itself and its neighbours."""
-    # the edge list is materialized once in the shared checkpoint folder, so
-    # rounds (and retries after a lost executor) never recompute the join
-    und = edges.select("a", "b").unionByName(
-        edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = nodes.select("id", F.col("id").alias("cluster")).checkpoint()
-    cached = None
-    for r in range(1, max_rounds + 1):
-        msgs = und.join(labels.withColumnRenamed("id", "b"), "b") \
-            .select(F.col("a").alias("id"), "cluster")
-        new = labels.unionByName(msgs).groupBy("id").agg(F.min("cluster").alias("cluster"))
-        new = new.checkpoint() if r % checkpoint_every == 0 else new.cache()
-        changed = new.join(labels.withColumnRenamed("cluster", "old"), "id") \
-            .filter(F.col("cluster") != F.col("old")).limit(1).count()
-        # the previous round's cached labels are no longer needed once this
-        # round is computed (a recompute after eviction stays correct)
-        if cached is not None:
-            cached.unpersist()
-        cached = new if r % checkpoint_every else None
-        labels = new
-        if changed == 0:
-            return labels
-    raise RuntimeError(f"connected components did not converge in {max_rounds} rounds")
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, cluster) where cluster = smallest id of the component; a node
+    without an edge is its own cluster.  ``edges`` has (a, b)."""
+    comp = components.connected_components(edges)
+    return nodes.select("id").join(comp, "id", "left").select(
+        "id", F.coalesce("root", "id").alias("cluster"))
 
 
 def cosine_neighbours(vecs: DataFrame, min_cos: float, k: int) -> DataFrame:

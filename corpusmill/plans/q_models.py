@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import functions as F
 
 from corpusmill.functions import stem as St
 from corpusmill.functions import text as tx
 from corpusmill.operators import markup as Mk
+from corpusmill.operators import metrics as M
 from corpusmill.operators import models as Md
 from corpusmill.operators import postings as P
 from corpusmill.operators import select as S
@@ -22,60 +23,82 @@ from corpusmill.sources.io import table
 from corpusmill.session import checkpoint_dir, materialize
 
 BLOCK_ROWS = 100_000
+SVM_ITERATIONS = 100
+LDA_PASSES = 50
 
 
-def _features(spark, sf_dir):
-    """BM25 doc index over the chi-selected dictionary as sparse vectors."""
-    docs = fx.corpus(spark, sf_dir)
+def _index(spark, sf_dir):
+    """BM25 doc index over the chi-selected dictionary, stored."""
     fpost, freq, n, best = QT._chi_best(spark, sf_dir)
-    dictionary = S.term_dictionary(best)
     avg = P.average_length(P.doc_lengths(fx.documents(spark, sf_dir), mode="chars"))
-    w = Wt.bm25(P.restrict_terms(fpost, dictionary), freq, None, n, avg)
-    return Md.sparse_features(Wt.doc_index(w, dictionary), QT.TOP_N_FEATURES)
+    w = Wt.bm25(fpost, freq, None, n, avg)
+    return materialize(Wt.doc_index(w, S.term_dictionary(best)), "doc-index")
 
 
-@query("svm_margins")
-def svm_margins(spark, sf_dir):
-    """L1/L3: one LinearSVC per section trained on the train split, raw
-    margins on the test split."""
+def _sections(spark, sf_dir):
+    """(section labels per document, the few section names, splits)."""
     dl, sp = QS._splits(spark, sf_dir)
     sections = dl.filter(F.col("level") == 1)
-    labels = [r["label"] for r in sections.select("label").distinct().orderBy("label").collect()]
-    feats = _features(spark, sf_dir)
-    registry = f"{checkpoint_dir(spark).rstrip('/')}/corpusmill-models-{uuid.uuid4().hex}"
-    return Md.one_vs_rest_margins(feats, sections, labels,
-                                  sp.filter(F.col("split") == "train"),
-                                  sp.filter(F.col("split") == "test"), max_iter=20,
-                                  model_dir=registry)
+    return sections, [r["label"] for r in sections.select("label").distinct().orderBy("label").collect()], sp
+
+
+def _models(spark, sf_dir):
+    """(doc index, per-section models, section labels, splits).  Models are kept
+    in the session's registry under a digest of the input's path and the
+    parameters, so that the queries share them."""
+    idx = _index(spark, sf_dir)
+    sections, labels, sp = _sections(spark, sf_dir)
+    feats = materialize(Md.sparse_features(idx, fx.documents(spark, sf_dir), QT.TOP_N_FEATURES), "features")
+    key = hashlib.sha1(f"{sf_dir} {QT.TOP_N_FEATURES} {SVM_ITERATIONS}".encode()).hexdigest()
+    models = Md.one_vs_rest_models(feats, sections, labels, sp.filter(F.col("split") == "train"),
+                                   max_iter=SVM_ITERATIONS,
+                                   model_dir=f"{checkpoint_dir(spark).rstrip('/')}/corpusmill-models-{key}")
+    return idx, models, sections, sp
+
+
+@query("svm_margins")
+def svm_margins(spark, sf_dir):
+    """One LinearSVC per section trained on the train split, raw
+    margins of every document of the test split."""
+    idx, models, _, sp = _models(spark, sf_dir)
+    return Md.margins(idx, models, sp.filter(F.col("split") == "test"))
 
 
 @query("svm_training_error")
 def svm_training_error(spark, sf_dir):
     """L4: training error of every per-section LinearSVC."""
-    dl, sp = QS._splits(spark, sf_dir)
-    sections = dl.filter(F.col("level") == 1)
-    labels = [r["label"] for r in sections.select("label").distinct().orderBy("label").collect()]
-    train = sp.filter(F.col("split") == "train")
-    return Md.one_vs_rest_margins(_features(spark, sf_dir), sections, labels, train, train,
-                                  max_iter=20, with_training_error=True)
+    idx, models, sections, sp = _models(spark, sf_dir)
+    return Md.training_error(Md.margins(idx, models, sp.filter(F.col("split") == "train")), sections)
+
+
+@query("svm_coverage_error")
+def svm_coverage_error(spark, sf_dir):
+    """L3 into M5: coverage error of the section margins on the test split."""
+    idx, models, sections, sp = _models(spark, sf_dir)
+    scores = materialize(Md.margins(idx, models, sp.filter(F.col("split") == "test")), "margins")
+    true = sections.select("doc_id", "label").distinct().withColumn("y_true", F.lit(1))
+    preds = scores.join(true, ["doc_id", "label"], "left").fillna(0, ["y_true"])
+    return M.coverage_error(preds, scores.select(F.countDistinct("doc_id")).scalar())
 
 
 @query("lda_topics")
 def lda_topics(spark, sf_dir):
-    """Online LDA (10 topics) on term counts of the selected terms."""
-    docs = fx.corpus(spark, sf_dir)
+    """Online LDA (10 topics) on term counts of the selected terms, fitted on
+    the train split in full passes and applied to all three splits."""
     fpost, _, _, best = QT._chi_best(spark, sf_dir)
-    dictionary = S.term_dictionary(best)
-    counts = Wt.doc_index(P.restrict_terms(fpost, dictionary).withColumn("weight", F.col("tf").cast("double")),
-                          dictionary)
-    return Md.lda_topics(Md.sparse_features(counts, QT.TOP_N_FEATURES), k=10, max_iter=5)
+    counts = Wt.doc_index(fpost.withColumn("weight", F.col("tf").cast("double")), S.term_dictionary(best))
+    feats = materialize(Md.sparse_features(counts, fx.documents(spark, sf_dir), QT.TOP_N_FEATURES), "lda-counts")
+    _, sp = QS._splits(spark, sf_dir)
+    model = Md.lda_model(feats.join(sp.filter(F.col("split") == "train").select("doc_id"), "doc_id"), k=10,
+                         passes=LDA_PASSES)
+    return Md.strongest_topics(model, feats).join(sp.select("doc_id", "split"), "doc_id", "left")
 
 
 @query("word2vec_docs")
 def word2vec_docs(spark, sf_dir):
     """Mean word vectors per document (Word2Vec on plain tokens)."""
     docs = fx.corpus(spark, sf_dir).select("doc_id", tx.plain_tokens(F.col("text")).alias("tokens"))
-    return Md.word2vec_docs(docs, size=32)
+    return Md.word2vec_docs(materialize(docs, "tokens"))
 
 
 @query("bisecting_kmeans")
@@ -105,11 +128,17 @@ def split_repair(spark, sf_dir):
     return Md.repair_splits(dl.filter(F.col("level") == 3), sp)
 
 
-@query("sparse_export")
+@query("sparse_export", f"""WITH {QT.DOC_INDEX_SQL},
+lines AS (SELECT doc_id, string_agg(CAST(term_id + 1 AS VARCHAR) || ':' || printf('%.4f', round(weight, 4)), ' ' ORDER BY term_id) AS l
+          FROM idx GROUP BY doc_id)
+SELECT d.doc_id, '0' || coalesce(' ' || l, '') AS line FROM documents d LEFT JOIN lines USING (doc_id)""")
 def sparse_export(spark, sf_dir):
-    """The doc index as one sparse vector per document (the layout the
-    libsvm writer takes: label + features)."""
-    return _features(spark, sf_dir).withColumn("label", F.lit(0.0))
+    """The doc index as libsvm lines (label, then 1-based index:value),
+    one for every document."""
+    e = Md.sparse_entries(_index(spark, sf_dir), fx.documents(spark, sf_dir))
+    parts = F.zip_with("indices", "values", lambda i, v: F.concat(
+        (i + 1).cast("string"), F.lit(":"), F.format_string("%.4f", F.round(v, 4))))
+    return e.select("doc_id", F.array_join(F.concat(F.array(F.lit("0")), parts), " ").alias("line"))
 
 
 @query("dense_export", """
@@ -141,18 +170,15 @@ def part_sequences(spark, sf_dir):
     (document, first P paragraphs, four chunks; zero vectors where a part is
     missing).  Part vectors are mean Word2Vec vectors of the part's tokens;
     P is the median paragraph count (L10)."""
-    from pyspark.ml.feature import Word2Vec
     from pyspark.ml.functions import vector_to_array
 
     from corpusmill.operators import parts as Pt
-    from corpusmill.session import checkpoint_dir, materialize
     docs = fx.corpus(spark, sf_dir)
     parts = materialize(Pt.part_table(docs, tx.plain_tokens, 4), "parts")
     n_par = parts.filter(F.col("part_type") == "paragraph").groupBy("doc_id").count() \
         .select(F.floor(F.percentile("count", 0.5)).cast("int")).first()[0] or 1
-    dim = 16
-    model = Word2Vec(vectorSize=dim, minCount=5, maxIter=1, seed=1, inputCol="tokens",
-                     outputCol="vec").fit(parts.filter(F.col("part_type") == "doc"))
+    dim = 200
+    model = Md.word2vec(parts.filter(F.col("part_type") == "doc"), dim, min_count=5, max_iter=1)
     vecs = model.transform(parts).select("doc_id", "part_type", "part_no",
                                          vector_to_array("vec").alias("vector"))
     seq = Pt.part_sequence_matrix(vecs, docs, n_par, 4, dim)
@@ -168,5 +194,13 @@ def split_repair_multilabel(spark, sf_dir):
     from corpusmill.operators import splits as Sp
     dl = fx.doc_labels_multi(spark, sf_dir)
     sp = materialize(Sp.split_assign(dl), "order-splits")
-    moves, _ = Md.repair_splits_multilabel(dl.filter(F.col("level") == 3), sp)
-    return moves
+    return Md.repair_splits_multilabel(dl.filter(F.col("level") == 3), sp)[0]
+
+
+@query("split_repair_leftovers")
+def split_repair_leftovers(spark, sf_dir):
+    """The subclasses that are still below a minimum after the repair."""
+    from corpusmill.operators import splits as Sp
+    dl = fx.doc_labels_multi(spark, sf_dir)
+    sp = materialize(Sp.split_assign(dl), "order-splits")
+    return Md.repair_splits_multilabel(dl.filter(F.col("level") == 3), sp)[1]

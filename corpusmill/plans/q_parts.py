@@ -25,7 +25,8 @@ SENT_TRIM_SQL = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 
 
 def sentences_sql(text: str) -> str:
-    prot = f"regexp_replace({text}, {q.lit(Pt.ABBREV_PATTERN)}, '\\1\\2' || chr(2), 'g')"
+    known = r"(?i)(^|[ \t\n\r\f\x0B(])(" + Pt.ABBREVIATION_ALTS + r")\."
+    prot = f"regexp_replace({text}, {q.lit(known)}, '\\1\\2' || chr(2), 'g')"
     cut = f"regexp_replace({prot}, '([.!?])[ \\t\\n\\r\\f\\x0B]+', '\\1' || chr(1), 'g')"
     return (f"list_filter(list_transform(string_split({cut}, chr(1)), "
             f"lambda s: trim(replace(s, chr(2), '.'), {SENT_TRIM_SQL})), lambda s: s <> '')")

@@ -15,7 +15,7 @@ from corpusmill.plans.registry import query
 from corpusmill.sources.io import table
 
 MIN_DOCUMENTS = 5          # F4: df strictly greater than this
-TOP_N_FEATURES = 500       # K1 cut for the driver fixture (10,000 on the full corpus)
+TOP_N_FEATURES = 10_000    # K1 cut
 TOP_TERMS_PER_DOC = 10
 ROUND = 6
 
@@ -238,23 +238,24 @@ def term_dictionary(spark, sf_dir):
     return S.term_dictionary(_chi_best(spark, sf_dir)[3])
 
 
-@query("doc_index", f"""WITH {CHI_SQL},
+DOC_INDEX_SQL = f"""{CHI_SQL},
 lens AS (SELECT doc_id, length(text) AS len FROM documents),
 avgl AS (SELECT avg(len) AS a FROM lens),
-dict AS (SELECT term, rank - 1 AS term_id FROM best WHERE rank <= {TOP_N_FEATURES})
-SELECT fp.doc_id, dict.term_id,
-       round(greatest(0.0, log10((ndocs.n - fp.df + 0.5) / (fp.df + 0.5)))
-       * (2.5 * fp.tf) / (1.5 * (0.25 + 0.75 * (lens.len / avgl.a)) + fp.tf), 6) AS weight
-FROM fpost fp JOIN dict USING (term) JOIN lens USING (doc_id), ndocs, avgl""")
+dict AS (SELECT term, rank - 1 AS term_id FROM best WHERE rank <= {TOP_N_FEATURES}),
+idx AS (SELECT fp.doc_id, dict.term_id,
+        greatest(0.0, log10((ndocs.n - fp.df + 0.5) / (fp.df + 0.5)))
+        * (2.5 * fp.tf) / (1.5 * (0.25 + 0.75 * (lens.len / avgl.a)) + fp.tf) AS weight
+        FROM fpost fp JOIN dict USING (term) JOIN lens USING (doc_id), ndocs, avgl)"""
+
+
+@query("doc_index", f"WITH {DOC_INDEX_SQL} SELECT doc_id, term_id, round(weight, 6) AS weight FROM idx")
 def doc_index(spark, sf_dir):
     """T11+T12: chi-selected dictionary, reduced postings, BM25 doc index."""
-    docs = fx.corpus(spark, sf_dir)
     fpost, freq, n, best = _chi_best(spark, sf_dir)
-    dictionary = S.term_dictionary(best)
-    reduced = P.restrict_terms(fpost, dictionary)
     avg = P.average_length(P.doc_lengths(fx.documents(spark, sf_dir), mode="chars"))
-    w = Wt.bm25(reduced, freq, None, n, avg)
-    return Wt.doc_index(w, dictionary).select("doc_id", "term_id", _r(F.col("weight")).alias("weight"))
+    # the join that numbers the terms is also the one that drops the others
+    w = Wt.bm25(fpost, freq, None, n, avg)
+    return Wt.doc_index(w, S.term_dictionary(best)).select("doc_id", "term_id", _r(F.col("weight")).alias("weight"))
 
 
 @query("feature_reorder", f"""WITH {BM25_SQL},
@@ -345,14 +346,17 @@ def context_pairs(spark, sf_dir):
 @query("natural_sort", """
 WITH u AS (SELECT DISTINCT url FROM pages),
 k AS (SELECT url, array_to_string(list_transform(regexp_extract_all(url, '[0-9]+|[^0-9]+'),
-        lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(x, 20, '0') ELSE x END), '') AS k FROM u)
+        lambda x: CASE WHEN regexp_full_match(x, '[0-9]+') THEN lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 10, '0') || ltrim(x, '0')
+                  ELSE x END), '') AS k FROM u)
 SELECT url, row_number() OVER (ORDER BY k, url) AS position FROM k""")
 def natural_sort(spark, sf_dir):
-    """K3: natural order of page urls (digit runs compared as numbers)."""
+    """K3: natural order of page urls.  A digit run is keyed by its number of
+    digits without leading zeros and then those digits, so runs of any length
+    compare as numbers."""
     urls = table(spark, sf_dir, "pages").select("url").distinct()
     runs = F.regexp_extract_all(F.col("url"), F.lit(r"([0-9]+|[^0-9]+)"), 1)
-    key = F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^[0-9]+$"), F.lpad(x, 20, "0"))
-                                   .otherwise(x)), "")
+    key = F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^[0-9]+$"), F.concat(
+        F.lpad(F.length(F.ltrim(x, F.lit("0"))).cast("string"), 10, "0"), F.ltrim(x, F.lit("0")))).otherwise(x)), "")
     return S.global_rank(urls.withColumn("k", key), [F.asc("k"), F.asc("url")], "position") \
         .select("url", "position")
 

@@ -53,15 +53,15 @@ def bigrams(u: str) -> str:
 
 # Common CTEs ---------------------------------------------------------------
 
-UNIGRAMS = f"uni AS (SELECT doc_id, {index_unigrams('text')} AS u FROM documents)"
-TERMS = (UNIGRAMS + ", terms AS (SELECT doc_id, unnest(list_concat(u, " + bigrams("u")
+UNIGRAMS = f"uni AS MATERIALIZED (SELECT doc_id, {index_unigrams('text')} AS u FROM documents)"
+TERMS = (UNIGRAMS + ", terms AS MATERIALIZED (SELECT doc_id, unnest(list_concat(u, " + bigrams("u")
          + ")) AS term FROM uni)")
-POSTINGS = TERMS + ", postings AS (SELECT term, doc_id, count(*) AS tf FROM terms GROUP BY term, doc_id)"
-DFREQ = POSTINGS + ", dfreq AS (SELECT term, count(*) AS df FROM postings GROUP BY term)"
+POSTINGS = TERMS + ", postings AS MATERIALIZED (SELECT term, doc_id, count(*) AS tf FROM terms GROUP BY term, doc_id)"
+DFREQ = POSTINGS + ", dfreq AS MATERIALIZED (SELECT term, count(*) AS df FROM postings GROUP BY term)"
 NDOCS = "ndocs AS (SELECT count(*) AS n FROM documents)"
 # terms kept for weighting: df > 5 and df < N
-FREQ = (DFREQ + ", " + NDOCS + ", freq AS (SELECT d.term, d.df FROM dfreq d, ndocs "
-        "WHERE d.df > 5 AND d.df < ndocs.n), fpost AS (SELECT p.term, p.doc_id, p.tf, f.df "
+FREQ = (DFREQ + ", " + NDOCS + ", freq AS MATERIALIZED (SELECT d.term, d.df FROM dfreq d, ndocs "
+        "WHERE d.df > 5 AND d.df < ndocs.n), fpost AS MATERIALIZED (SELECT p.term, p.doc_id, p.tf, f.df "
         "FROM postings p JOIN freq f USING (term))")
 
 DOC_LABELS_SINGLE = """doc_labels AS (

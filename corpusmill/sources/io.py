@@ -45,22 +45,31 @@ def read_patents_json(spark: SparkSession, path: str) -> DataFrame:
 def read_tuple_text(spark: SparkSession, path: str) -> DataFrame:
     """Lines holding a literal ``(doc_id, text)`` pair.
 
-    Parsed with a pattern, never evaluated.  Supports single or double
-    quoted strings with backslash escapes for quotes and newlines.
+    Parsed with a pattern, never evaluated: the quoted text is rewritten as a
+    JSON string (``\\xNN`` becomes ``\\u00NN``, quotes are adjusted) and read as
+    such, which undoes all escapes.  Lines that are no such pair are left
+    out; :func:`tuple_text_rejects` returns them.
     """
+    parsed = _tuple_text(spark.read.text(path))
+    return parsed.filter("text is not null").select("doc_id", "text")
+
+
+def tuple_text_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The lines (column ``value``) that :func:`read_tuple_text` leaves out."""
+    return _tuple_text(spark.read.text(path)).filter("text is null").select("value")
+
+
+def _tuple_text(raw: DataFrame) -> DataFrame:
     pat = r"""^\(\s*[uU]?(['"])(.*?)\1\s*,\s*[uU]?(['"])(.*)\3\s*\)\s*$"""
-    raw = spark.read.text(path)
     body = F.regexp_extract("value", pat, 4)
-    # single-pass unescape: protect escaped backslashes first
-    body = F.replace(body, F.lit("\\\\"), F.lit("\u0003"))
-    body = F.replace(body, F.lit("\\n"), F.lit("\n"))
-    body = F.replace(body, F.lit("\\r"), F.lit("\r"))
-    body = F.replace(body, F.lit("\\t"), F.lit("\t"))
-    body = F.replace(body, F.lit("\\'"), F.lit("'"))
-    body = F.replace(body, F.lit('\\"'), F.lit('"'))
-    body = F.replace(body, F.lit("\u0003"), F.lit("\\"))
-    return raw.select(F.regexp_extract("value", pat, 2).alias("doc_id"),
-                      body.alias("text"))
+    even = r"(?<!\\)((?:\\\\)*)"           # an even number of backslashes before
+    body = F.regexp_replace(body, even + r"\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    body = F.regexp_replace(body, even + r"\\'", "$1'")
+    body = F.regexp_replace(body, even + '"', r'$1\\"')
+    text = F.from_json(F.concat(F.lit('["'), body, F.lit('"]')), "array<string>",
+                       {"allowUnquotedControlChars": "true"})[0]
+    ok = F.col("value").rlike(pat)
+    return raw.select("value", F.regexp_extract("value", pat, 2).alias("doc_id"), F.when(ok, text).alias("text"))
 
 
 def tuple_text_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -94,23 +103,23 @@ def read_connector(spark: SparkSession, fmt: str, resource: str,
 def write_long_json(df: DataFrame, path: str, key: str, map_key: str,
                     map_value: str, partitions: int | None = None,
                     max_entries: int = 100_000) -> None:
-    """S6 sink: JSON lines ``{key, postings: {k: v}}``.
+    """S6 sink: JSON lines ``{key, chunk, postings: {k: v}}``.
 
     The map is only assembled here at export time; inside the engine the
-    table stays long.  A key with more than ``max_entries`` entries (a
-    frequent term) is written as several lines, each holding one hash chunk
-    of its entries, so no single row or task ever holds a whole hot key;
-    the reader merges the lines back (it explodes every line)."""
-    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    chunks = F.greatest(F.ceil(F.col("__n") / F.lit(max_entries)), F.lit(1))
-    keyed = df.join(sizes, key).withColumn(
-        "__chunk", F.pmod(F.xxhash64(F.col(map_key)), chunks.cast("long")))
-    out = (keyed.groupBy(key, "__chunk")
+    table stays long.  Every key is written in the same layout: its entries
+    are dealt to chunks by a hash of the entry, the number of chunks being
+    that of ``max_entries`` rows each in the whole table.  So no line and no
+    task holds more than about ``max_entries`` entries, whatever a key's share,
+    and the reader merges the lines back (it explodes every line)."""
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    chunks = F.greatest(F.ceil(rows / F.lit(max_entries)), F.lit(1))
+    keyed = df.withColumn("chunk", F.pmod(F.xxhash64(F.col(map_key)), chunks.cast("long")))
+    out = (keyed.groupBy(key, "chunk")
            .agg(F.map_from_entries(F.collect_list(
                F.struct(F.col(map_key), F.col(map_value)))).alias("postings")))
     if partitions:
         out = out.repartition(partitions, key)
-    out.select(F.to_json(F.struct(key, "postings")).alias("value")) \
+    out.select(F.to_json(F.struct(key, "chunk", "postings")).alias("value")) \
         .write.mode("overwrite").text(path)
 
 

@@ -16,23 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.postings import build_postings, doc_freq
-from corpusmill.session import checkpoint_dir
 
 DOC_SCHEMA = "doc_id long, text string"
 
 
 def start_ingest(spark: SparkSession, source_dir: str, postings_path: str,
-                 checkpoint: str | None = None, available_now: bool = True,
+                 checkpoint: str, available_now: bool = True,
                  schema: str = DOC_SCHEMA):
-    """Start the stream; returns the StreamingQuery."""
-    ckpt = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/ingest-{abs(hash(postings_path))}"
+    """Start the stream; returns the StreamingQuery.  ``checkpoint`` belongs to
+    ``postings_path`` and must stay the same over restarts: the epoch
+    numbers that name the postings' directories continue from it."""
     docs = spark.readStream.schema(schema).parquet(source_dir)
 
     def merge(batch: DataFrame, epoch_id: int) -> None:
         build_postings(batch.select("doc_id", "text")).write.mode("overwrite") \
             .parquet(f"{postings_path}/epoch={epoch_id}")
 
-    writer = docs.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt)
+    writer = docs.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
 
