@@ -1,8 +1,7 @@
-"""V1: Porter stemmer applied as a job over the distinct-term table.
+"""V1: Porter stemmer over token arrays.
 
-The stemmer runs once per distinct term (a vectorized pandas UDF over
-Arrow batches), and the result is joined back to the postings, which hold
-one row per (term, document) - never once per token.
+A document's tokens are stemmed in one Arrow UDF call per batch, with a bounded
+cache of words per worker; everything before and after stays in the JVM.
 
 The algorithm is the published one (M.F. Porter, "An algorithm for suffix
 stripping", 1980); its suffix tables below are the paper's.
@@ -10,10 +9,14 @@ stripping", 1980); its suffix tables below are the paper's.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions import text as tx
+
 # Suffix rules of the Porter (1980) paper, steps 2, 3 and 4.
 STEP2 = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"),
          ("izer", "ize"), ("abli", "able"), ("alli", "al"), ("entli", "ent"), ("eli", "e"),
@@ -113,25 +116,28 @@ def porter(word: str) -> str:
     return w
 
 
-def _stem_series(words: pd.Series) -> pd.Series:
-    return words.map(lambda s: porter(s) if s is not None else None)
+INDICATORS = frozenset((tx.INDEX_NUMBER, tx.INDEX_CURRENCY, tx.INDEX_CHEMICAL))
+_cached_porter = lru_cache(200_000)(porter)
+
+
+def _stem_lists(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda ws: [w if w in INDICATORS else _cached_porter(w) for w in ws])
+
 
+def stemmed_unigrams(text: Column, min_size: int = 3) -> Column:
+    """The index tokens of a text, stemmed.
 
-def stem_table(terms: DataFrame, col: str = "term") -> DataFrame:
-    """(term, stem) for the distinct terms of ``terms``."""
-    udf = F.pandas_udf(_stem_series, "string")
-    return terms.select(col).distinct().select(col, udf(F.col(col)).alias("stem"))
+    Tokens of any length come from the JVM tokenizer; one Arrow UDF stems each
+    document's token array (distinct words are cached per worker, indicators stay
+    as they are); then the stem is stripped again and short ones are
+    dropped."""
+    udf = F.pandas_udf(_stem_lists, "array<string>")
+    stems = udf(tx.index_unigrams(text, min_size=1))
+    return F.filter(F.transform(stems, lambda s: tx.strip_chars(s)), lambda s: F.length(s) >= min_size)
 
 
-def stemmed_postings(postings: DataFrame) -> DataFrame:
-    """Unigram postings re-keyed by stem: tf summed over terms sharing a
-    stem.  Bigram terms (containing a space) are stemmed word by word."""
-    words = postings.select(F.explode(F.split("term", " ")).alias("term"))
-    stems = stem_table(words)
-    parts = postings.select("term", "doc_id", "tf", F.posexplode(F.split("term", " ")).alias("i", "w"))
-    j = parts.join(stems.withColumnRenamed("term", "w"), "w")
-    joined = (j.groupBy("term", "doc_id", "tf")
-              .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "stem"))),
-                                            lambda s: s["stem"]), " ").alias("stem")))
-    return joined.groupBy("stem", "doc_id").agg(F.sum("tf").alias("tf")) \
-        .withColumnRenamed("stem", "term")
+def stemmed_postings(corpus: DataFrame, min_size: int = 3) -> DataFrame:
+    """V1: (term, doc_id, tf) over stems and pairs of neighbouring kept stems."""
+    uni = corpus.select("doc_id", stemmed_unigrams(F.col("text"), min_size).alias("u"))
+    terms = uni.select("doc_id", F.explode(F.concat("u", tx.bigrams(F.col("u")))).alias("term"))
+    return terms.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))

@@ -154,32 +154,31 @@ def plain_tokens(text: Column, min_size: int = 1) -> Column:
     return F.filter(toks, lambda s: F.length(s) >= min_size)
 
 
-def index_unigrams(text: Column, min_size: int = 3, stem_map=None) -> Column:
-    """X7/X11 without a stemmer: lower, strip, indicators, drop stopwords,
-    keep tokens of at least ``min_size`` characters.
-
-    ``stem_map`` (a map<string,string> column) replaces a kept word by its
-    stem when given; see :mod:`corpusmill.functions.stem`.
-    """
+def index_unigrams(text: Column, min_size: int = 3) -> Column:
+    """X7 without its stemmer: lower, strip, indicators, drop stopwords,
+    keep tokens of at least ``min_size`` characters.  The stemmed form is
+    :func:`corpusmill.functions.stem.stemmed_unigrams`."""
     toks = F.transform(whitespace_split(text),
                        lambda t: strip_chars(F.lower(t)))
     toks = F.filter(toks, lambda s: s != "")
 
-    def word(s):
-        if stem_map is None:
-            return s
-        return strip_chars(F.coalesce(F.element_at(stem_map, s), s))
-
     toks = F.transform(
         toks,
         lambda s: F.when(is_number_stripped(s), _lit(INDEX_NUMBER))
         .when(is_currency(s), _lit(INDEX_CURRENCY))
         .when(is_chemical(s), _lit(INDEX_CHEMICAL))
         .when(is_stopword(s), F.lit(None).cast("string"))
-        .otherwise(word(s)))
+        .otherwise(s))
     return F.filter(toks, lambda s: s.isNotNull() & (F.length(s) >= min_size))
 
 
+def word_unigrams(text: Column, min_size: int = 3) -> Column:
+    """X11: lower, strip, drop stopwords, keep tokens of at least
+    ``min_size`` characters; numbers, currency and chemicals stay as they are."""
+    toks = F.transform(whitespace_split(text), lambda t: strip_chars(F.lower(t)))
+    return F.filter(toks, lambda s: (F.length(s) >= min_size) & ~is_stopword(s))
+
+
 def bigrams(unigrams: Column) -> Column:
     """Previous kept unigram + space + current (a dropped token does not
     break the pair, because the input holds kept tokens only)."""

@@ -377,6 +377,15 @@ def tokens_nodigits(spark, sf_dir):
     return P.token_table(docs, tx.digit_punct_tokens(F.col("text")))
 
 
+@query("tokens_words", f"""
+WITH t AS (SELECT doc_id, list_filter({q.stripped_list('text')}, lambda s: length(s) >= 3
+             AND NOT list_contains({q.STOP}, s)) AS toks FROM documents)
+SELECT doc_id, unnest(range(1, len(toks) + 1)) AS pos, unnest(toks) AS token FROM t""")
+def tokens_words(spark, sf_dir):
+    """X11: stripped words without stopwords and without indicators."""
+    return P.token_table(fx.corpus(spark, sf_dir), tx.word_unigrams(F.col("text")))
+
+
 @query("token_buckets", f"""
 WITH t AS (SELECT unnest(string_split(text, ' ')) AS tok FROM documents)
 SELECT CASE WHEN trim(tok) = '' THEN 'empty'
