@@ -4,130 +4,211 @@ Each page is parsed by the standard-library HTML parser inside
 ``mapInPandas`` (Arrow batches, one task per partition); the per-page pass
 is the only Python in the path and it sees one page at a time.
 
-Rules (as in the reference's description extractor):
-* block nodes are headings, paragraphs, list items and drawing blocks;
-  script, style and navigation content is skipped;
-* a heading is joined to the next block;
-* a block shorter than 50 characters absorbs the next block;
-* a list item ends as a sentence (a dot is added when it has no final
-  punctuation);
-* a drawing-description block is one paragraph;
-* then runs of one-sentence paragraphs are merged together; a lone
-  one-sentence paragraph joins the previous paragraph, or the next one when
-  it is first.
+Rules:
+
+* Page frames (``html``, ``body``, ``article``, ...) are looked through; every
+  other element in them is one node with all the text inside it, and text that
+  stands in a frame itself is a node too.  Scripts, styles and the head are no
+  text.
+* A list is one node; each of its items ends as a sentence.
+* A ``p`` joins the heading before it, and any node joins the node before it
+  when that one alone is shorter than 50 characters.
+* A drawings block is one paragraph: each ``p`` in it ends as a sentence, or
+  joins the heading before it.
+* Then paragraphs of one sentence (X16 and X17) are joined: runs of them
+  into one, a lone one to the paragraph before it, or to the next if it is first.
+
+Malformed markup is read as the parser reads it; a null or empty page has no
+paragraphs.
 """
 
 from __future__ import annotations
 
-import re
 from html.parser import HTMLParser
 
+import regex
 from pyspark.sql import DataFrame
 
-MIN_NODE = 50
-BLOCKS = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "heading", "description-of-drawings"}
-SKIP = {"script", "style", "nav", "head", "title"}
-_SENT_END = re.compile(r"[.!?](\s|$)")
+from corpusmill.functions import text as tx
+from corpusmill.operators.parts import SENTENCE_GAP
 
+MIN_NODE = 50           # fixed value: a shorter node takes the next one in
+FRAMES = {"html", "body", "article", "main", "section"}
+HEADINGS = {"heading", "h1", "h2", "h3", "h4", "h5", "h6"}
+DRAWINGS = "description-of-drawings"
+SILENT = {"script", "style", "head", "title"}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+_GAP = regex.compile(SENTENCE_GAP)
+
+
+def as_sentence(text: str) -> str:
+    return text.strip().strip(";.") + ". " if text.strip() else text
+
+
+class _Nodes(HTMLParser):
+    """Top-level nodes as (tag, text); for a drawings block the text is made
+    of its own children."""
 
-class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.blocks: list[tuple[str, str]] = []
-        self._skip = 0
-        self._tag: str | None = None
-        self._buf: list[str] = []
-
-    def _flush(self):
-        if self._tag is not None:
-            text = " ".join("".join(self._buf).split())
+        self.nodes: list[tuple[str, str]] = []
+        self.stack: list[str] = []          # open tags from the node down
+        self.silent = 0
+        self.text: list[str] = []
+        self.inner: list[tuple[str, str]] = []
+
+    def _store(self):
+        tag, text = (self.stack or [""])[0], "".join(self.text).strip()
+        self.text = []
+        if tag == DRAWINGS:
             if text:
-                self.blocks.append((self._tag, text))
-        self._tag, self._buf = None, []
+                self.inner.append(("", text))
+            self.nodes.append((tag, drawings_text(self.inner)))
+            self.inner = []
+        elif text or tag:
+            self.nodes.append((tag, text))
+
+    def _store_inner(self, tag):
+        if (text := "".join(self.text).strip()) or tag:
+            self.inner.append((tag, text))
+        self.text = []
 
     def handle_starttag(self, tag, attrs):
-        if tag in SKIP:
-            self._skip += 1
-        elif tag in BLOCKS and self._skip == 0:
-            if self._tag != "description-of-drawings":
-                self._flush()
-                self._tag = tag
+        if tag in SILENT:
+            self.silent += 1
+        if self.silent:
+            return
+        if tag in VOID:
+            self.text.append(" ")
+            return
+        if self.stack and tag in ("p", "li") and self.stack[-1] == tag:
+            self.handle_endtag(tag)         # such a tag closes the one before it
+        if not self.stack:
+            self._store()                   # text that stands in the frame
+            if tag in FRAMES:
+                return
+        elif len(self.stack) == 1 and self.stack[0] == DRAWINGS:
+            self._store_inner("")
+        self.stack.append(tag)
+        self.fresh_item = tag == "li"
+
+    fresh_item = False
 
     def handle_endtag(self, tag):
-        if tag in SKIP:
-            self._skip = max(0, self._skip - 1)
-        elif tag in BLOCKS and self._tag == tag:
-            self._flush()
+        if tag in SILENT:
+            self.silent = max(0, self.silent - 1)
+            return
+        if self.silent or tag not in self.stack:
+            if not self.stack and tag in FRAMES:
+                self._store()
+            return
+        self.fresh_item = False
+        while self.stack:
+            top = self.stack[-1]
+            if len(self.stack) == 2 and self.stack[0] == DRAWINGS:
+                self._store_inner(top)
+            if len(self.stack) == 1:
+                self._store()
+            self.stack.pop()
+            if top == tag:
+                break
 
     def handle_data(self, data):
-        if self._skip == 0 and self._tag is not None:
-            self._buf.append(data)
+        if not self.silent:
+            self.text.append(as_sentence(data) if self.fresh_item else data.replace("\n", " "))
+            self.fresh_item = False
 
     def close(self):
         super().close()
-        self._flush()
-
-
-def _n_sentences(text: str) -> int:
-    return max(1, len(_SENT_END.findall(text)))
-
-
-def extract_paragraphs(html: str) -> list[str]:
-    parser = _Blocks()
-    try:
-        parser.feed(html or "")
-        parser.close()
-    except Exception:  # noqa: BLE001 - malformed markup keeps what was parsed
-        parser._flush()
-    merged: list[str] = []
-    carry = ""
-    for tag, text in parser.blocks:
-        if tag == "li" and not text.endswith((".", "!", "?")):
-            text += "."
-        text = (carry + " " + text).strip() if carry else text
-        if tag.startswith("h") and tag not in ("head",) or len(text) < MIN_NODE:
-            carry = text
-            continue
-        carry = ""
-        merged.append(text)
-    if carry:
-        if merged:
-            merged[-1] = merged[-1] + " " + carry
-        else:
-            merged.append(carry)
-    # Join one-sentence paragraphs
+        while self.stack:
+            self.handle_endtag(self.stack[-1])
+        self._store()
+
+
+def drawings_text(children: list[tuple[str, str]]) -> str:
     out: list[str] = []
-    run: list[str] = []
-    for para in merged:
-        if _n_sentences(para) == 1:
-            run.append(para)
-            continue
-        if run:
-            if len(run) > 1:
-                out.append(" ".join(run))
-            elif out:
-                out[-1] = out[-1] + " " + run[0]
-            else:
-                para = run[0] + " " + para
-            run = []
-        out.append(para)
-    if run:
-        if len(run) > 1 or not out:
-            out.append(" ".join(run))
+    before = None
+    for tag, text in children:
+        if tag == "p" and before in HEADINGS and out:
+            out[-1] += " " + text
         else:
-            out[-1] = out[-1] + " " + run[0]
+            out.append(as_sentence(text) if tag == "p" else text)
+        before = tag
+    return " ".join(out)
+
+
+def sentence_count(text: str) -> int:
+    """Sentences of a paragraph after short ones have joined the one before."""
+    found: list[str] = []
+    lead = None
+    for s in filter(None, (x.strip(" \t\n\r\x0b\x0c") for x in _GAP.split(text))):
+        short = len(s) < tx.MIN_SENTENCE_LENGTH or (len(s) < tx.MAX_TABLE_ROW_LENGTH and s.count(".") > 2)
+        if not short:
+            found.append(s)
+        elif found:
+            found[-1] += " " + s
+        else:
+            lead = f"{lead or ''} {s}"
+    if lead is not None and not (found and len(lead) < tx.MIN_SENTENCE_LENGTH):
+        return len(found) + 1
+    return len(found)
+
+
+def _join(a: str, b: str) -> str:
+    return a.strip(".") + ". " + b
+
+
+def join_single_sentences(paragraphs: list[str]) -> list[str]:
+    """X19.  After a paragraph has joined the one before it, the scan goes on
+    behind the next paragraph, as in the reference's order of visits."""
+    out = list(paragraphs)
+    single = [sentence_count(p) == 1 for p in out]
+    i = 0
+    while i < len(out):
+        if single[i]:
+            if i + 1 < len(out) and single[i + 1]:
+                while i + 1 < len(out) and single[i + 1]:
+                    out[i] = _join(out[i], out.pop(i + 1))
+                    single.pop(i + 1)
+                single[i] = sentence_count(out[i]) == 1
+            elif i:
+                out[i - 1] = _join(out[i - 1], out.pop(i))
+                single.pop(i)
+                single[i - 1] = sentence_count(out[i - 1]) == 1
+            elif i + 1 < len(out):
+                out[i] = _join(out[i], out.pop(i + 1))
+                single.pop(i + 1)
+                single[i] = sentence_count(out[i]) == 1
+        i += 1
     return out
 
 
+def extract_paragraphs(html: str | None) -> list[str]:
+    parser = _Nodes()
+    parser.feed(html or "")
+    parser.close()
+    out: list[str] = []
+    before_tag, before = "", ""
+    for tag, text in parser.nodes:
+        if tag == DRAWINGS:
+            out.append(text)
+        elif text:
+            joins = (tag == "p" and before_tag in HEADINGS) or 0 < len(before) < MIN_NODE
+            if joins and out:
+                out[-1] += " " + text
+            else:
+                out.append(text)
+        before_tag, before = tag, text
+    return join_single_sentences(out)
+
+
 def page_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """(page_id, para_no, paragraph) for every page."""
     def run(batches):
         import pandas as pd
         for pdf in batches:
-            rows = []
-            for pid, html in zip(pdf[id_col], pdf[html_col]):
-                for i, p in enumerate(extract_paragraphs(html), start=1):
-                    rows.append((pid, i, p))
+            rows = [(pid, i, p) for pid, html in zip(pdf[id_col], pdf[html_col], strict=True)
+                    for i, p in enumerate(extract_paragraphs(html), start=1)]
             yield pd.DataFrame(rows, columns=[id_col, "para_no", "paragraph"])
 
     return pages.select(id_col, html_col).mapInPandas(
