@@ -40,11 +40,6 @@ def at_level(doc_labels: DataFrame, level: int) -> DataFrame:
     return doc_labels.filter(F.col("level") == level)
 
 
-def label_order(df: DataFrame) -> DataFrame:
-    """K2: labels ordered by level (the length rule of the reference) then
-    text."""
-    return df.orderBy("level", "label")
-
 
 def label_counts(doc_labels: DataFrame, n: Column) -> DataFrame:
     """A5: (level, label, n_docs, share of the corpus)."""

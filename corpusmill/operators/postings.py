@@ -112,10 +112,6 @@ def restrict_docs(postings: DataFrame, docs: DataFrame) -> DataFrame:
     return postings.join(docs.select("doc_id"), "doc_id", "left_semi")
 
 
-def with_term_ids(postings: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """Replace term by term_id (inner join on the dictionary)."""
-    return postings.join(dictionary.select("term", "term_id"), "term")
-
 
 def word_search(postings: DataFrame, word: str) -> DataFrame:
     """Ids of documents containing a word."""

@@ -98,16 +98,3 @@ def doc_index(weights: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Term-doc weights pivoted to (doc_id, term_id, weight)."""
     return weights.join(dictionary.select("term", "term_id"), "term") \
         .select("doc_id", "term_id", "weight")
-
-
-def sparse_vectors(doc_idx: DataFrame) -> DataFrame:
-    """T12 export form: (doc_id, indices, values) per document, sorted by
-    term id (the arrays of a sparse vector).
-
-    Built with ``collect_list`` per document: a document's vector is bounded
-    by its vocabulary, never by the corpus."""
-    entries = F.array_sort(F.collect_list(F.struct("term_id", "weight")))
-    return doc_idx.groupBy("doc_id").agg(entries.alias("entries")).select(
-        "doc_id",
-        F.col("entries.term_id").alias("indices"),
-        F.col("entries.weight").alias("values"))

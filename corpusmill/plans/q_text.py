@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
 from corpusmill.operators import postings as P
 from corpusmill.operators import select as S
 from corpusmill.operators import weights as Wt
-from corpusmill.operators.ranking import top_k
 from corpusmill.plans import fixtures as fx
 from corpusmill.plans import sql as q
 from corpusmill.plans.registry import query
@@ -106,8 +106,10 @@ SELECT doc_id, rank, term, weight FROM r WHERE rank <= {TOP_TERMS_PER_DOC}""")
 def bm25_top_terms(spark, sf_dir):
     """The flagship: BM25 weights of frequent terms, 10 best per document."""
     bm = _bm25(spark, sf_dir).withColumn("weight", _r(F.col("weight")))
-    best = top_k(bm, ["doc_id"], [F.desc("weight"), F.asc("term")], TOP_TERMS_PER_DOC,
-                 salt_cols=["term"])
+    # a document's rows are bounded by its vocabulary: one window, whose limit
+    # Spark also applies before the shuffle
+    w = Window.partitionBy("doc_id").orderBy(F.desc("weight"), F.asc("term"))
+    best = bm.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= TOP_TERMS_PER_DOC)
     return best.select("doc_id", "rank", "term", "weight")
 
 

@@ -13,7 +13,6 @@ streaming state (state would grow with the vocabulary).
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from corpusmill.operators.postings import build_postings, doc_freq
 
@@ -42,8 +41,3 @@ def read_index(spark: SparkSession, postings_path: str) -> tuple[DataFrame, Data
     once, so postings of different epochs never share a (term, doc)."""
     post = spark.read.parquet(postings_path).select("term", "doc_id", "tf")
     return post, doc_freq(post)
-
-
-def merge_postings(old: DataFrame, new: DataFrame) -> DataFrame:
-    """U1 + A1: union of two postings tables, tf summed per (term, doc)."""
-    return old.unionByName(new).groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
