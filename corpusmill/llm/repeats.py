@@ -304,7 +304,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     whole = cand.join(folded.filter("m > 1").select("h", "sh"), ["h", "sh"], "left_semi") \
         .select("md5", F.col("s").alias("a"), (F.col("s") + F.col("len")).alias("b"))
     copied = texts.filter("copies > 1").select("md5", F.lit(0).alias("a"), F.col("n").alias("b"))
-    cuts = parts.unionByName(whole).unionByName(copied).groupBy("md5").agg(F.collect_set(own).alias("cuts"))
+    # stored, so that the join has an exchange of its own, whose large keys can be split
+    cuts = materialize(parts.unionByName(whole).unionByName(copied).groupBy("md5")
+                       .agg(F.collect_set(own).alias("cuts")), "cuts")
     return src.join(cuts, "md5", "left").select("id", "data", "cuts").mapInArrow(
         _cut_rows(), f"id {id_type}, n_bytes long, spans array<struct<a:int,b:int>>, kept binary")
 
