@@ -40,18 +40,24 @@ def tfidf(postings: DataFrame, dfreq: DataFrame, n: Column,
     return _with_df(postings, dfreq).select("term", "doc_id", "tf", w.alias("weight"))
 
 
+def bm25_weight(tf: Column, df: Column, n: Column, length: Column, avg_len: Column,
+                k: float = BM25_K, b: float = BM25_B) -> Column:
+    """T5 as an expression."""
+    idf = F.greatest(F.lit(0.0), F.log10((n - df + 0.5) / (df + 0.5)))
+    tf = tf.cast("double")
+    return (k + 1) * tf / (k * ((1 - b) + b * (length / avg_len)) + tf) * idf
+
+
 def bm25(postings: DataFrame, dfreq: DataFrame, lengths: DataFrame | None, n: Column,
          avg_len: Column, k: float = BM25_K, b: float = BM25_B) -> DataFrame:
     """T5: max(0, log10((N-df+.5)/(df+.5))) * (k+1) tf / (k((1-b)+b len/avg) + tf).
 
     ``lengths`` may be None when the postings already carry ``length``."""
-    idf = F.greatest(F.lit(0.0), F.log10((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    tf = F.col("tf").cast("double")
-    tf_comp = (k + 1) * tf / (k * ((1 - b) + b * (F.col("length") / avg_len)) + tf)
     j = _with_df(postings, dfreq)
     if lengths is not None:
         j = j.drop("length").join(lengths.select("doc_id", "length"), "doc_id")
-    return j.select("term", "doc_id", "tf", (tf_comp * idf).alias("weight"))
+    weight = bm25_weight(F.col("tf"), F.col("df"), n, F.col("length"), avg_len, k, b)
+    return j.select("term", "doc_id", "tf", weight.alias("weight"))
 
 
 def relevance_frequency(postings: DataFrame, doc_labels: DataFrame,

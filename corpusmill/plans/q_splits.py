@@ -210,3 +210,34 @@ def tfidf_train_split(spark, sf_dir):
     freq = P.frequent_terms(P.doc_freq(post), 5, n)
     w = Wt.tfidf(post, freq, n)
     return w.select("term", "doc_id", F.round("weight", ROUND).alias("weight"))
+
+
+@query("weights_per_split", f"""WITH {q.FREQ}, {SPLIT_SQL},
+lens AS (SELECT doc_id, length(text) AS len FROM documents),
+avgl AS (SELECT avg(len) AS a FROM lens),
+sn AS (SELECT split, count(*) AS n FROM splits GROUP BY split),
+sp AS (SELECT s.split, p.term, p.doc_id, p.tf FROM fpost p JOIN splits s USING (doc_id)),
+sdf AS (SELECT split, term, count(*) AS sdf FROM sp GROUP BY split, term)
+SELECT split, term, doc_id, tf, round(tf * log10((sn.n + 1) / (sdf + 1)), 6) AS tfidf,
+       round(greatest(0.0, log10((sn.n - sdf + 0.5) / (sdf + 0.5)))
+       * (2.5 * tf) / (1.5 * (0.25 + 0.75 * (lens.len / avgl.a)) + tf), 6) AS bm25
+FROM sp JOIN sdf USING (split, term) JOIN sn USING (split) JOIN lens USING (doc_id), avgl""")
+def weights_per_split(spark, sf_dir):
+    """T13 + J7: tf-idf and BM25 of the corpus's frequent terms in the training,
+    validation and test documents, with df and N counted inside each split and
+    the corpus's average length."""
+    from corpusmill.operators import postings as P
+    from corpusmill.operators import weights as Wt
+    from corpusmill.plans import q_text as QT
+    _, sp = _splits(spark, sf_dir)
+    sp = materialize(sp.select("doc_id", "split"), "splits")
+    _, _, _, _, _, fpost = QT.index_stats(spark, sf_dir)
+    post = materialize(fpost.drop("df").join(sp, "doc_id"), "split-postings")
+    df = post.groupBy("split", "term").agg(F.count(F.lit(1)).alias("df"))
+    n = sp.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    avg = P.average_length(P.doc_lengths(fx.documents(spark, sf_dir), mode="chars"))
+    j = post.join(df, ["split", "term"]).join(n, "split")
+    tfidf = F.col("tf") * F.log10(Wt.idf_quotient(F.col("df"), F.col("n")))
+    bm25 = Wt.bm25_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), avg)
+    return j.select("split", "term", "doc_id", "tf", F.round(tfidf, ROUND).alias("tfidf"),
+                    F.round(bm25, ROUND).alias("bm25"))
