@@ -138,9 +138,22 @@ def sentences(spark, sf_dir):
         .withColumn("pos", F.col("pos") + 1)
 
 
-@query("merged_sentences")
+MERGED_SQL = f"""
+WITH d AS (SELECT doc_id, {sentences_sql('text')} AS ss FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(ss) + 1)) AS pos, unnest(ss) AS x FROM d),
+k AS (SELECT *, sum(CASE WHEN length(x) < {tx.MIN_SENTENCE_LENGTH} OR (length(x) < {tx.MAX_TABLE_ROW_LENGTH}
+        AND length(x) - length(replace(x, '.', '')) > 2) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS g FROM s),
+t AS (SELECT doc_id, g, CASE WHEN g = 0 THEN ' ' ELSE '' END || string_agg(x, ' ' ORDER BY pos) AS txt FROM k GROUP BY doc_id, g),
+lead AS (SELECT doc_id, txt FROM t WHERE g = 0 AND length(txt) < {tx.MIN_SENTENCE_LENGTH}
+         AND doc_id IN (SELECT doc_id FROM t WHERE g = 1)),
+m AS (SELECT t.doc_id, g, CASE WHEN g = 1 AND lead.txt IS NOT NULL THEN lead.txt || ' ' || t.txt ELSE t.txt END AS sentence
+      FROM t LEFT JOIN lead USING (doc_id) WHERE NOT (g = 0 AND lead.txt IS NOT NULL))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS pos, sentence FROM m"""
+
+
+@query("merged_sentences", MERGED_SQL)
 def merged_sentences(spark, sf_dir):
-    """Short sentences merged into their neighbours (rows-only)."""
+    """Short sentences merged into their neighbours."""
     return Pt.merge_short_sentences(sentences(spark, sf_dir))
 
 
