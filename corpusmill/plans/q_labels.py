@@ -80,12 +80,12 @@ def valid_labels(spark, sf_dir):
     return L.valid_labels(fx.doc_labels_multi(spark, sf_dir), MIN_LABEL_DOCS)
 
 
-@query("min_size_labels", f"""WITH {q.DOC_LABELS_MULTI}
+@query("min_size_labels", f"""WITH {q.DOC_LABELS_SINGLE}
 SELECT level, label, count(DISTINCT doc_id) AS n_docs FROM doc_labels
 GROUP BY level, label HAVING count(DISTINCT doc_id) = 2""")
 def min_size_labels(spark, sf_dir):
     """A10: labels with exactly two documents."""
-    return L.exact_size_labels(fx.doc_labels_multi(spark, sf_dir), 2)
+    return L.exact_size_labels(fx.doc_labels_single(spark, sf_dir), 2)
 
 
 @query("unlabelled_docs", f"""WITH {q.DOC_LABELS_SINGLE},
