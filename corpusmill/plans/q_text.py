@@ -240,6 +240,14 @@ def term_dictionary(spark, sf_dir):
     return S.term_dictionary(_chi_best(spark, sf_dir)[3])
 
 
+@query("dictionary_postings", f"""WITH {CHI_SQL}
+SELECT term, doc_id, tf FROM fpost WHERE term IN (SELECT term FROM best WHERE rank <= {TOP_N_FEATURES})""")
+def dictionary_postings(spark, sf_dir):
+    """Postings of the selected terms (left semi join)."""
+    fpost, _, _, best = _chi_best(spark, sf_dir)
+    return P.restrict_terms(fpost, S.term_dictionary(best)).select("term", "doc_id", "tf")
+
+
 DOC_INDEX_SQL = f"""{CHI_SQL},
 lens AS (SELECT doc_id, length(text) AS len FROM documents),
 avgl AS (SELECT avg(len) AS a FROM lens),
