@@ -199,7 +199,7 @@ def op4(spark, sf_dir):
 # ---- op3 ----------------------------------------------------------------
 
 @query("op3_lm_score")
-def op3(spark, sf_dir, order: int = 2):
+def op3(spark, sf_dir, order: int = 3):
     """Trains on the documents that the hold-out rule leaves, scores all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(text_of(F.col("doc_id").cast("string")).cast("binary")) % 7 == 2

@@ -1,11 +1,13 @@
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
 
 from corpusmill.llm.ngramlm import EliasFano, ef_build, score, split_text, train
+from corpusmill.llm.queries import QUERIES
 
 
 @pytest.mark.parametrize("universe,n", [(1 << 64, 5000), (1 << 30, 20000), (1000, 400), (50, 50), (10 ** 12, 1), (9, 0)])
@@ -87,6 +89,17 @@ def test_held_out_text_scores_above_the_unigram(docs, rows):
     assert r[8]["score"] > r[8]["base_score"]
 
 
+def test_the_registered_query_scores_trigrams(spark, tmp_path):
+    texts = ["a b c", "x b d"] * 40 + ["a b d", "x b c"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    fit = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 7 != 2]
+    got = sorted(QUERIES["op3_lm_score"](spark, str(tmp_path)).collect(), key=lambda r: r["doc_id"])
+    for r, exp in zip(got, brute(fit, texts, 3, 50.0), strict=True):
+        assert r["score"] == pytest.approx(exp[3], abs=2e-3)
+    assert got[0]["score"] > got[80]["score"] + 0.1                 # the bigrams are alike
+
+
 def test_empty(empty, docs):
     model = train(empty)
     assert score(empty, model).count() == 0
