@@ -5,20 +5,22 @@ labelled credentials: for each kind a probabilistic automaton is inferred by
 state merging.  A prefix tree over character classes is folded from the root;
 two states merge when the frequencies of ending and of every next class agree
 within the Hoeffding bound, all the way down.  The other long tokens of the
-corpus train a background automaton in the same way.  Every remaining token is
+corpus, all of them, train a background automaton in the same way.  Every remaining token is
 scored by its log-likelihood ratio against the background, and
 becomes a span of kind ``grammar`` when that exceeds the ratio of nearly all
-(``quantile``) background samples and ``min_ratio``.
+(``quantile``) background tokens and ``min_ratio``.
 
 Texts are scanned once into a written table of base matches and tokens; the
-training sample is the ``max_samples`` distinct strings of least hash per kind
-(a documented bound; two-round top-k, so no kind meets in one task), one small
-group per kind is inferred in a task, and the automata (at most that
-many states) are the only thing collected.
+labelled sample is the ``max_samples`` distinct strings of least hash per kind
+(a documented bound; two-round top-k, so no kind meets in one task) and one small
+group per kind is inferred in a task.  The background has no such bound: its
+distinct tokens are counted by class path (an automaton sees nothing else of a
+token), and one task infers from the paths and their counts, which are far fewer
+than the tokens.  Only automata and the threshold are collected.
 
 Defined cases: null and empty texts have no spans; repeated rows are each
 scanned; a kind with
-fewer than ``min_samples`` has no automaton; without a background sample
+fewer than ``min_samples`` has no automaton; without that many background tokens
 or any base match no span is added; an empty table gives an empty result.
 Positions are code points, ends are exclusive.  Only the named columns are read;
 ``redact`` returns all columns of its input.
@@ -29,9 +31,10 @@ from __future__ import annotations
 import json
 import math
 import re
+import string
 from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.operators.ranking import top_k
@@ -90,24 +93,30 @@ def _class(c: str) -> str:
 CLASS_SIZE = {"0": 10, "a": 6, "g": 20, "A": 6, "G": 20}
 
 
-def infer(samples: list[str], alpha: float = 0.05) -> list[dict]:
+def class_path(s: Column) -> Column:
+    """The classes of a token's characters; the path of a path is itself."""
+    chars = string.digits + string.ascii_letters
+    return F.translate(s, chars, "".join(map(_class, chars)))
+
+
+def infer(samples: list[str], alpha: float = 0.05, counts: list[int] | None = None) -> list[dict]:
     """States ``{"n", "end", "next": {class: [state, count]}}`` merged from the
-    prefix tree of the samples."""
+    prefix tree of the samples, each taken ``counts`` times."""
     bound = math.sqrt(0.5 * math.log(2 / alpha))
     n, end, kids = [0], [0], [{}]
-    for s in samples:
+    for s, k in zip(samples, counts or [1] * len(samples), strict=True):
         at = 0
-        n[0] += 1
+        n[0] += k
         for c in map(_class, s):
             if c not in kids[at]:
                 kids[at][c] = [len(n), 0]
                 n.append(0)
                 end.append(0)
                 kids.append({})
-            kids[at][c][1] += 1
+            kids[at][c][1] += k
             at = kids[at][c][0]
-            n[at] += 1
-        end[at] += 1
+            n[at] += k
+        end[at] += k
 
     def differ(f1, n1, f2, n2):
         return abs(f1 / n1 - f2 / n2) > bound * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
@@ -143,9 +152,9 @@ def infer(samples: list[str], alpha: float = 0.05) -> list[dict]:
                 else:
                     kids[x][c] = [t, k]
 
-    red = [0]
+    red, done = [0], {0}
     while True:
-        blue = next(((r, c) for r in red for c in sorted(kids[r]) if kids[r][c][0] not in red), None)
+        blue = next(((r, c) for r in red for c in sorted(kids[r]) if kids[r][c][0] not in done), None)
         if blue is None:
             break
         r, c = blue
@@ -153,6 +162,7 @@ def infer(samples: list[str], alpha: float = 0.05) -> list[dict]:
         into = next((x for x in red if compatible(x, b)), None)
         if into is None:
             red.append(b)
+            done.add(b)
         else:
             kids[r][c][0] = into
             fold(into, b)
@@ -178,23 +188,10 @@ def log_likelihood(states: list[dict], s: str, unseen: float = 1e-4) -> float:
 
 
 class Grammars:
-    """Automata by kind plus the background; scores tokens.
-
-    The background sample is unlabelled, so it may hold credentials: samples
-    that a kind explains better than the background are left out and the
-    background is inferred once more from the rest."""
-
-    def __init__(self, automata: dict[str, list[dict]], samples: list[str], alpha: float, quantile: float,
-                 min_ratio: float):
-        self.automata = {k: a for k, a in automata.items() if k != "word"}
-        self.word = automata.get("word")
-        self.threshold = math.inf
-        if self.word and self.automata:
-            ordinary = [s for s in samples if self.ratio(s) <= 0]
-            if ordinary:
-                self.word = infer(ordinary, alpha)
-                ratios = sorted(map(self.ratio, ordinary))
-                self.threshold = max(min_ratio, ratios[min(len(ratios) - 1, int(quantile * len(ratios)))])
+    """Automata by kind plus the background; scores tokens."""
+
+    def __init__(self, automata: dict[str, list[dict]], word: list[dict] | None, threshold: float = math.inf):
+        self.automata, self.word, self.threshold = automata, word, threshold
 
     def ratio(self, s: str) -> float:
         own = max(log_likelihood(a, s) for a in self.automata.values())
@@ -234,10 +231,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
 def learn(scanned: DataFrame, max_samples: int = 400, min_samples: int = 20, alpha: float = 0.05,
           quantile: float = 0.999, min_ratio: float = 10.0) -> Grammars:
     """Automata from the ``max_samples`` strings of least hash of each kind that
-    has ``min_samples``."""
-    base = scanned.select(F.explode("base").alias("x")).select("x.kind", "x.s")
-    words = scanned.select(F.explode("tokens").alias("x")).select(F.lit("word").alias("kind"), "x.s")
-    strings = base.unionByName(words).distinct()
+    has ``min_samples``, and the background from all other tokens.
+
+    The background is unlabelled, so it may hold credentials: tokens that a kind
+    explains better than the background are left out and the background is
+    inferred once more from the rest, whose ratios give the threshold."""
+    strings = scanned.select(F.explode("base").alias("x")).select("x.kind", "x.s").distinct()
     order = [F.xxhash64("s"), F.col("s")]
     sample = top_k(strings, ["kind"], order, max_samples, ["s"])
 
@@ -245,13 +244,43 @@ def learn(scanned: DataFrame, max_samples: int = 400, min_samples: int = 20, alp
         import pandas as pd
         s = sorted(pdf["s"])
         return pd.DataFrame({"kind": [pdf["kind"].iloc[0]], "automaton": [json.dumps(infer(s, alpha))],
-                             "samples": [s]})
+                             "n": [len(s)]})
 
     rows = sample.select("kind", "s").groupBy("kind") \
-        .applyInPandas(one, "kind string, automaton string, samples array<string>").collect()
-    rows = [r for r in rows if len(r["samples"]) >= min_samples]
-    return Grammars({r["kind"]: json.loads(r["automaton"]) for r in rows},
-                    [s for r in rows if r["kind"] == "word" for s in r["samples"]], alpha, quantile, min_ratio)
+        .applyInPandas(one, "kind string, automaton string, n long").collect()
+    automata = {r["kind"]: json.loads(r["automaton"]) for r in rows if r["n"] >= min_samples}
+    paths = materialize(scanned.select(F.explode("tokens.s").alias("s")).distinct()
+                        .groupBy(class_path(F.col("s")).alias("path")).agg(F.count(F.lit(1)).alias("n")),
+                        "secret-paths")
+    first = Grammars(automata, _background(paths, min_samples, alpha))
+    if not automata or first.word is None:
+        return first
+    ordinary = materialize(_ratios(paths, first).filter("ratio <= 0").drop("ratio"), "ordinary-paths")
+    second = Grammars(automata, _background(ordinary, 1, alpha))
+    if second.word is not None:
+        top = _ratios(ordinary, second).agg(F.percentile("ratio", quantile, F.col("n"))).first()[0]
+        second.threshold = max(min_ratio, top)
+    return second
+
+
+def _background(paths: DataFrame, min_samples: int, alpha: float) -> list[dict] | None:
+    """The automaton of all (path, n), or None below ``min_samples`` tokens."""
+    def one(pdf):
+        import pandas as pd
+        pdf = pdf.sort_values("path")
+        states = infer(pdf["path"].tolist(), alpha, pdf["n"].tolist())
+        return pd.DataFrame({"n": [pdf["n"].sum()], "automaton": [json.dumps(states)]})
+
+    rows = paths.groupBy().applyInPandas(one, "n long, automaton string").collect()
+    return json.loads(rows[0]["automaton"]) if rows and rows[0]["n"] >= min_samples else None
+
+
+def _ratios(paths: DataFrame, grammars: Grammars) -> DataFrame:
+    def run(frames):
+        for pdf in frames:
+            yield pdf.assign(ratio=[grammars.ratio(p) for p in pdf["path"]])
+
+    return paths.mapInPandas(run, "path string, n long, ratio double")
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:

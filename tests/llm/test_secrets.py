@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from corpusmill.llm.secrets import base_spans, find_secrets, infer, log_likelihood, redact, tokens
+from corpusmill.llm.secrets import base_spans, find_secrets, infer, learn, log_likelihood, redact, scan, tokens
 
 
 def random_keys(rng, n, alphabet, size, head=""):
@@ -75,6 +75,23 @@ def test_held_out_credentials_are_found(spark):
         assert [s["start"] for s in r["spans"]] == sorted(s["start"] for s in r["spans"])
 
 
+def test_background_is_every_other_token(spark):
+    df, rows, planted = corpus(spark)
+    rng = random.Random(3)
+    rare = ["".join(rng.choice(UPPER[:26]) + rng.choice("ghijkl") + rng.choice("0123456789") for _ in range(8))
+            for _ in range(12)]                                     # clean, and of one format
+    df = df.union(spark.createDataFrame([(2000 + i, x) for i, x in enumerate(rare)], df.schema))
+    every = {s for _, t in rows for _, s in tokens(t or "", base_spans(t or ""))} | set(rare)
+    grammars = learn(scan(df), max_samples=50)
+    assert sum(q["end"] for q in grammars.word) > 0.99 * (len(every) - len(planted))
+    found = find_secrets(df.filter("doc_id >= 2000 or doc_id < 900"), max_samples=50).filter("id >= 2000").collect()
+    assert len(found) == 12 and not any(r["spans"] for r in found)
+
+
+def test_counts_stand_for_repeated_samples():
+    assert infer(["ab" * 6, "99" * 6], counts=[100, 70]) == infer(["ab" * 6] * 100 + ["99" * 6] * 70)
+
+
 def test_redact(spark, docs, empty):
     df, _, planted = corpus(spark)
     out = redact(df, max_samples=200).collect()
