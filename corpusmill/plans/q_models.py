@@ -25,6 +25,7 @@ from corpusmill.session import checkpoint_dir, materialize
 BLOCK_ROWS = 100_000
 SVM_ITERATIONS = 100
 LDA_PASSES = 50
+LDA_TOPICS = 1000
 
 
 def _index(spark, sf_dir):
@@ -83,14 +84,14 @@ def svm_coverage_error(spark, sf_dir):
 
 @query("lda_topics")
 def lda_topics(spark, sf_dir):
-    """Online LDA (10 topics) on term counts of the selected terms, fitted on
+    """Online LDA (1,000 topics) on term counts of the selected terms, fitted on
     the train split in full passes and applied to all three splits."""
     fpost, _, _, best = QT._chi_best(spark, sf_dir)
     counts = Wt.doc_index(fpost.withColumn("weight", F.col("tf").cast("double")), S.term_dictionary(best))
     feats = materialize(Md.sparse_features(counts, fx.documents(spark, sf_dir), QT.TOP_N_FEATURES), "lda-counts")
     _, sp = QS._splits(spark, sf_dir)
-    model = Md.lda_model(feats.join(sp.filter(F.col("split") == "train").select("doc_id"), "doc_id"), k=10,
-                         passes=LDA_PASSES)
+    model = Md.lda_model(feats.join(sp.filter(F.col("split") == "train").select("doc_id"), "doc_id"),
+                         k=LDA_TOPICS, passes=LDA_PASSES)
     return Md.strongest_topics(model, feats).join(sp.select("doc_id", "split"), "doc_id", "left")
 
 
