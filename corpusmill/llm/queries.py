@@ -1,4 +1,4 @@
-"""Registered queries ``op1_`` to ``op10_`` over whole tables, with the oracle
+"""Registered queries ``op1_`` to ``op13_`` over whole tables, with the oracle
 SQL of those that SQL can express."""
 
 from __future__ import annotations
@@ -10,11 +10,14 @@ from corpusmill.llm.decontaminate import decontaminate
 from corpusmill.llm.jaccard import jaccard_classes
 from corpusmill.llm.common import text_of
 from corpusmill.llm.ngramlm import score, train
+from corpusmill.llm.phrases import collocations, phrase_counts
 from corpusmill.llm.pieces import encode_decode
+from corpusmill.llm.pivots import near_vectors
 from corpusmill.llm.quality import quality
 from corpusmill.llm.repeats import remove_repeats
 from corpusmill.llm.secrets import find_secrets
 from corpusmill.llm.sharding import shard_by_size
+from corpusmill.llm.turns import damage, every_conversation, repair, summaries
 from corpusmill.llm.urlfilter import host_of, judge_urls, path_of
 from corpusmill.llm.warc import archive_pages
 from corpusmill.sources.io import table
@@ -217,7 +220,75 @@ def op5(spark, sf_dir):
     got = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select(F.col("id").alias("doc_id"), "n_bytes",
                       (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
-                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+                      (F.size("spans") > 0).alias("repeats"))
+
+
+# ---- op11 ---------------------------------------------------------------
+
+NEAR_SQL = """
+WITH RECURSIVE src AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT row_number() OVER () AS r, vec_id, v FROM src WHERE v IS NOT NULL AND len(v) > 0
+       AND len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0 AND list_dot_product(v, v) > 0),
+links AS (SELECT a.r AS a, b.r AS b FROM ok a JOIN ok b ON a.r <> b.r AND len(a.v) = len(b.v)
+          AND list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.95),
+reach AS (SELECT r AS a, r AS b FROM ok UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+comp AS (SELECT reach.a AS r, min(vec_id) AS component_id FROM reach JOIN ok ON ok.r = reach.b GROUP BY reach.a),
+n AS (SELECT a AS r, count(*) AS n_links FROM links GROUP BY a),
+good AS (SELECT ok.vec_id, coalesce(n_links, 0) AS n_links, component_id
+         FROM ok JOIN comp USING (r) LEFT JOIN n USING (r)),
+bad AS (SELECT vec_id, 0 AS n_links, vec_id AS component_id FROM src WHERE NOT coalesce(len(v) > 0
+        AND len([x FOR x IN v IF x IS NULL OR NOT isfinite(x)]) = 0 AND list_dot_product(v, v) > 0, false))
+SELECT vec_id, n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM (SELECT * FROM good UNION ALL SELECT * FROM bad)
+"""
+
+
+@query("op11_pivot_index", NEAR_SQL)
+def op11(spark, sf_dir):
+    got = near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return got.select(F.col("id").alias("vec_id"), "n_links", "component_id",
+                      F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+# ---- op12 ---------------------------------------------------------------
+
+@query("op12_conversation_repair")
+def op12(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    got = every_conversation(summaries(repair(damage(turns))), turns)
+    return got.withColumnsRenamed({"conv": "conv_id", "digest": "repaired_sha256"})
+
+
+# ---- op13 ---------------------------------------------------------------
+
+PHRASE_SQL = r"""
+WITH p AS (SELECT lang, [x FOR x IN string_split_regex(piece, '[\x20\x09]+') IF x <> ''] AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+tot AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS c FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2),
+        lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM p, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)
+      GROUP BY lang, k, phrase HAVING count(*) >= 10),
+cand AS (SELECT lang, phrase, k AS m, c AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, m, a, w, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:m], ' ') AS y
+         FROM (SELECT *, unnest(range(1, m)) AS k FROM cand)),
+scored AS (SELECT cuts.lang, cuts.phrase, a, min({'s': (1000000::HUGEINT * a * a) // (l.c::HUGEINT * r.c), 'k': cuts.k, 'l': l.c, 'r': r.c}) AS b
+           FROM cuts JOIN f l ON l.lang = cuts.lang AND l.phrase = x JOIN f r ON r.lang = cuts.lang AND r.phrase = y
+           GROUP BY cuts.lang, cuts.phrase, a),
+around AS (SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM cand WHERE m = 3)
+    GROUP BY lang, phrase),
+ranked AS (SELECT s.lang, s.phrase, s.a, b, row_number() OVER (PARTITION BY s.lang ORDER BY b.s DESC, s.a DESC, s.phrase) AS rank
+           FROM scored s LEFT JOIN around USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * s.a)
+SELECT lang, rank, phrase, a, b.l AS l, b.r AS r, n, b.s::BIGINT AS score FROM ranked JOIN tot USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_mining", PHRASE_SQL)
+def op13(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations(phrase_counts(docs)).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 # ---- pipeline -----------------------------------------------------------
