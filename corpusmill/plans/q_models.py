@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from corpusmill.functions import stem as St
 from corpusmill.functions import text as tx
+from corpusmill.operators import linear as Ln
 from corpusmill.operators import markup as Mk
 from corpusmill.operators import metrics as M
 from corpusmill.operators import models as Md
@@ -17,69 +16,98 @@ from corpusmill.operators import weights as Wt
 from corpusmill.plans import fixtures as fx
 from corpusmill.plans import q_splits as QS
 from corpusmill.plans import q_text as QT
+from corpusmill.plans import sql as q
 from corpusmill.plans.registry import query
 from corpusmill.sources import io
 from corpusmill.sources.io import table
-from corpusmill.session import checkpoint_dir, materialize
+from corpusmill.session import materialize
 
 BLOCK_ROWS = 100_000
 SVM_ITERATIONS = 100
+SVM_REG = 0.01
 LDA_PASSES = 50
 LDA_TOPICS = 1000
 
 
 def _index(spark, sf_dir):
-    """BM25 doc index over the chi-selected dictionary, stored."""
-    fpost, freq, n, best = QT._chi_best(spark, sf_dir)
-    avg = P.average_length(P.doc_lengths(fx.documents(spark, sf_dir), mode="chars"))
-    w = Wt.bm25(fpost, freq, None, n, avg)
-    return materialize(Wt.doc_index(w, S.term_dictionary(best)), "doc-index")
-
-
-def _sections(spark, sf_dir):
-    """(section labels per document, the few section names, splits)."""
-    dl, sp = QS._splits(spark, sf_dir)
-    sections = dl.filter(F.col("level") == 1)
-    return sections, [r["label"] for r in sections.select("label").distinct().orderBy("label").collect()], sp
-
-
-def _models(spark, sf_dir):
-    """(doc index, per-section models, section labels, splits).  Models are kept
-    in the session's registry under a digest of the input's path and the
-    parameters, so that the queries share them."""
-    idx = _index(spark, sf_dir)
-    sections, labels, sp = _sections(spark, sf_dir)
-    feats = materialize(Md.sparse_features(idx, fx.documents(spark, sf_dir), QT.TOP_N_FEATURES), "features")
-    key = hashlib.sha1(f"{sf_dir} {QT.TOP_N_FEATURES} {SVM_ITERATIONS}".encode()).hexdigest()
-    models = Md.one_vs_rest_models(feats, sections, labels, sp.filter(F.col("split") == "train"),
-                                   max_iter=SVM_ITERATIONS,
-                                   model_dir=f"{checkpoint_dir(spark).rstrip('/')}/corpusmill-models-{key}")
-    return idx, models, sections, sp
+    """BM25 doc index over the chi-selected dictionary, a stored stage."""
+    def build():
+        fpost, freq, n, best = QT._chi_best(spark, sf_dir)
+        return Wt.doc_index(Wt.bm25(fpost, freq, None, n, QT.average_chars(spark, sf_dir)), S.term_dictionary(best))
+    return QT.stored(spark, sf_dir, "doc-index", build, ("documents", "labels"), features=QT.TOP_N_FEATURES)
+
+
+def _label_ids(spark, sf_dir):
+    """(label_id, level, label): all labels of the three levels, numbered by level and name."""
+    dl = fx.doc_labels_single(spark, sf_dir)
+
+    def build():
+        ranked = S.global_rank(dl.select("level", "label").distinct(), [F.asc("level"), F.asc("label")], "label_id", start=0)
+        return ranked.select(F.col("label_id").cast("int").alias("label_id"), "level", "label")
+    return dl, QT.stored(spark, sf_dir, "label-ids", build, ("documents", "labels"))
+
+
+def _svm(spark, sf_dir):
+    """(entries of all documents, weights of all labels, label ids, labels per document, splits).  The weights are a stage
+    under a manifest of the input's files and the parameters (L5), so that the queries share them."""
+    dl, names = _label_ids(spark, sf_dir)
+    sp = QS.stored_splits(spark, sf_dir)
+    entries = QT.stored(spark, sf_dir, "entries", lambda: Md.sparse_entries(_index(spark, sf_dir), fx.documents(spark, sf_dir)),
+                        ("documents", "labels"), features=QT.TOP_N_FEATURES)
+
+    def build():
+        known = dl.join(names, ["level", "label"]).select("doc_id", "label_id")
+        train = Ln.training_table(entries, known, sp.filter(F.col("split") == "train"))
+        return Ln.train_all(train, QT.TOP_N_FEATURES, names.count(), iterations=SVM_ITERATIONS, reg=SVM_REG)
+    weights = QT.stored(spark, sf_dir, "svm-weights", build, ("documents", "labels"), features=QT.TOP_N_FEATURES,
+                        iterations=SVM_ITERATIONS, reg=SVM_REG)
+    return entries, weights, names, dl, sp
+
+
+def _svm_predictions(spark, sf_dir, split):
+    """(level, doc_id, label, y_true, score) of a split's documents and every label."""
+    entries, weights, names, dl, sp = _svm(spark, sf_dir)
+    mine = entries.join(sp.filter(F.col("split") == split).select("doc_id"), "doc_id")
+    true = dl.select("doc_id", "level", "label").distinct().withColumn("y_true", F.lit(1))
+    return Ln.score_all(mine, weights, QT.TOP_N_FEATURES).join(names, "label_id") \
+        .join(true, ["doc_id", "level", "label"], "left") \
+        .select("level", "doc_id", "label", F.coalesce("y_true", F.lit(0)).alias("y_true"), "score")
 
 
 @query("svm_margins")
 def svm_margins(spark, sf_dir):
-    """One LinearSVC per section trained on the train split, raw
+    """One linear SVM per section, class and subclass trained on the train split, raw
     margins of every document of the test split."""
-    idx, models, _, sp = _models(spark, sf_dir)
-    return Md.margins(idx, models, sp.filter(F.col("split") == "test"))
+    return _svm_predictions(spark, sf_dir, "test").select("level", "doc_id", "label", "score")
 
 
 @query("svm_training_error")
 def svm_training_error(spark, sf_dir):
-    """L4: training error of every per-section LinearSVC."""
-    idx, models, sections, sp = _models(spark, sf_dir)
-    return Md.training_error(Md.margins(idx, models, sp.filter(F.col("split") == "train")), sections)
+    """L4: training error of every label's classifier."""
+    wrong = (F.col("score") > 0) != (F.col("y_true") == 1)
+    return _svm_predictions(spark, sf_dir, "train").groupBy("level", "label") \
+        .agg(F.avg(wrong.cast("double")).alias("training_error"))
 
 
 @query("svm_coverage_error")
 def svm_coverage_error(spark, sf_dir):
-    """L3 into M5: coverage error of the section margins on the test split."""
-    idx, models, sections, sp = _models(spark, sf_dir)
-    scores = materialize(Md.margins(idx, models, sp.filter(F.col("split") == "test")), "margins")
-    true = sections.select("doc_id", "label").distinct().withColumn("y_true", F.lit(1))
-    preds = scores.join(true, ["doc_id", "label"], "left").fillna(0, ["y_true"])
-    return M.coverage_error(preds, scores.select(F.countDistinct("doc_id")).scalar())
+    """L3 into M5: coverage error of the margins on the test split, per level."""
+    return svm_metrics(spark, sf_dir).select("level", "coverage_error")
+
+
+@query("svm_metrics")
+def svm_metrics(spark, sf_dir):
+    """L3 into M2, M5 and M6: micro precision, recall and F1, coverage error and top-N shares of the margins
+    on the test split, per level."""
+    preds = materialize(M.with_pred(_svm_predictions(spark, sf_dir, "test")), "svm-predictions")
+    out = None
+    for level in (1, 2, 3):
+        p = preds.filter(F.col("level") == level)
+        row = M.prf_micro(p).select("precision_micro", "recall_micro", "f1_micro") \
+            .join(M.coverage_error(p, p.select(F.countDistinct("doc_id")).scalar())) \
+            .join(M.topn_share(p)).withColumn("level", F.lit(level))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("lda_topics")
@@ -131,7 +159,36 @@ def paragraphs(spark, sf_dir):
     return Mk.page_paragraphs(pages)
 
 
-@query("split_repair")
+def _min_count_sql(n: str, share: float) -> str:
+    up = f"ceil({n} * {share!r}::DOUBLE)"
+    return f"CAST(CASE WHEN ({up} - 1) / {n} >= {share!r}::DOUBLE THEN {up} - 1 ELSE {up} END AS BIGINT)"
+
+
+# The three passes of the repair, each a row of counts after the one before.
+REPAIR_SQL = f"""WITH {QS.SPLIT_SQL},
+one AS (SELECT dl.doc_id, dl.label, s.split FROM doc_labels dl JOIN splits s USING (doc_id) WHERE dl.level = 3),
+c0 AS (SELECT label, count(*) AS n, count(*) FILTER (WHERE split = 'train') AS tr, count(*) FILTER (WHERE split = 'validation') AS va,
+              count(*) FILTER (WHERE split = 'test') AS te FROM one GROUP BY label HAVING count(*) >= 3),
+m AS (SELECT *, tr AS s_tr, va AS s_va, te AS s_te, {_min_count_sql("n", 0.3)} AS mtr, {_min_count_sql("n", 0.15)} AS mva,
+             {_min_count_sql("n", 0.15)} AS mte FROM c0),
+p1 AS (SELECT *, least(greatest(mva - va, 0), greatest(tr - mtr, 0), s_tr) AS m1v FROM m),
+p2 AS (SELECT *, least(greatest(mte - te, 0), greatest(tr - mtr, 0) - m1v, s_tr - m1v) AS m1t FROM p1),
+q1 AS (SELECT * REPLACE (tr - m1v - m1t AS tr, va + m1v AS va, te + m1t AS te) FROM p2),
+p3 AS (SELECT *, least(greatest(mva - va, 0), greatest(te - mte, 0), s_te) AS m2v FROM q1),
+p4 AS (SELECT *, least(greatest(mtr - tr, 0), greatest(te - mte, 0) - m2v, s_te - m2v) AS m2r FROM p3),
+q2 AS (SELECT * REPLACE (te - m2v - m2r AS te, va + m2v AS va, tr + m2r AS tr) FROM p4),
+p5 AS (SELECT *, least(greatest(mte - te, 0), greatest(va - mva, 0), s_va) AS m3t FROM q2),
+p6 AS (SELECT *, least(greatest(mtr - tr, 0), greatest(va - mva, 0) - m3t, s_va - m3t) AS m3r FROM p5),
+rk AS (SELECT *, row_number() OVER (PARTITION BY label, split ORDER BY {q.md5_hash(10000, "doc_id")}, doc_id) AS rank FROM one)
+SELECT doc_id, rk.label, split, CASE
+    WHEN split = 'train' AND rank <= m1v THEN 'validation' WHEN split = 'train' AND rank <= m1v + m1t THEN 'test'
+    WHEN split = 'test' AND rank <= m2v THEN 'validation' WHEN split = 'test' AND rank <= m2v + m2r THEN 'train'
+    WHEN split = 'validation' AND rank <= m3t THEN 'test' WHEN split = 'validation' AND rank <= m3t + m3r THEN 'train'
+    ELSE split END AS new_split
+FROM rk LEFT JOIN p6 ON p6.label = rk.label"""
+
+
+@query("split_repair", REPAIR_SQL)
 def split_repair(spark, sf_dir):
     """Minimum-share repair of the splits for single-label documents."""
     dl, sp = QS._splits(spark, sf_dir)
@@ -209,7 +266,7 @@ def split_repair_multilabel(spark, sf_dir):
 
 @query("split_repair_leftovers")
 def split_repair_leftovers(spark, sf_dir):
-    """The subclasses that are still below a minimum after the repair."""
+    """The subclasses that are still below a minimum after the repair, with the split and both counts."""
     from corpusmill.operators import splits as Sp
     dl = fx.doc_labels_multi(spark, sf_dir)
     sp = materialize(Sp.split_assign(dl), "order-splits")

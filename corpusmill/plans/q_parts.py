@@ -154,7 +154,9 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) AS pos, senten
 @query("merged_sentences", MERGED_SQL)
 def merged_sentences(spark, sf_dir):
     """Short sentences merged into their neighbours."""
-    return Pt.merge_short_sentences(sentences(spark, sf_dir))
+    d = fx.corpus(spark, sf_dir)
+    return d.select("doc_id", F.posexplode(Pt.merge_short(Pt.sentences(F.col("text")))).alias("pos", "sentence")) \
+        .withColumn("pos", F.col("pos") + 1)
 
 
 @query("sentence_stats", f"""WITH s AS (SELECT doc_id, {sentences_sql('text')} AS ss FROM documents)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from corpusmill.operators import labels as L
@@ -10,6 +12,7 @@ from corpusmill.plans import fixtures as fx
 from corpusmill.plans import sql as q
 from corpusmill.plans.registry import query
 from corpusmill.session import materialize
+from corpusmill.sources.stages import stage
 
 SEED = 10000
 ROUND = 6
@@ -45,10 +48,15 @@ splits AS (
   FROM rk JOIN sz3 USING (first_label))"""
 
 
+def stored_splits(spark, sf_dir):
+    """The split lists, a stored stage (read by several branches and queries)."""
+    inputs = [os.path.join(sf_dir, f"{t}.parquet") for t in ("documents", "labels")]
+    return stage(spark, "splits", inputs, lambda: Sp.split_assign(fx.doc_labels_single(spark, sf_dir), seed=SEED),
+                 {"seed": SEED})
+
+
 def _splits(spark, sf_dir):
-    # the split lists are a stored stage (read by several branches)
-    dl = fx.doc_labels_single(spark, sf_dir)
-    return dl, materialize(Sp.split_assign(dl, seed=SEED), "splits")
+    return fx.doc_labels_single(spark, sf_dir), stored_splits(spark, sf_dir)
 
 
 @query("split_assign", f"WITH {SPLIT_SQL} SELECT doc_id, first_label, split FROM splits")
@@ -235,7 +243,7 @@ def weights_per_split(spark, sf_dir):
     post = materialize(fpost.drop("df").join(sp, "doc_id"), "split-postings")
     df = post.groupBy("split", "term").agg(F.count(F.lit(1)).alias("df"))
     n = sp.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
-    avg = P.average_length(P.doc_lengths(fx.documents(spark, sf_dir), mode="chars"))
+    avg = QT.average_chars(spark, sf_dir)
     j = post.join(df, ["split", "term"]).join(n, "split")
     tfidf = F.col("tf") * F.log10(Wt.idf_quotient(F.col("df"), F.col("n")))
     bm25 = Wt.bm25_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), avg)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from corpusmill.plans import fixtures as fx
 from corpusmill.plans import sql as q
 from corpusmill.plans.registry import query
 from corpusmill.sources.io import table
+from corpusmill.sources.stages import stage
 
 MIN_DOCUMENTS = 5          # F4: df strictly greater than this
 TOP_N_FEATURES = 10_000    # K1 cut
@@ -24,14 +27,32 @@ def _r(c):
     return F.round(c, ROUND)
 
 
+def stored(spark, sf_dir, name, builder, tables=("documents",), **params):
+    """A stage of the store whose manifest names these tables and parameters."""
+    return stage(spark, name, [os.path.join(sf_dir, f"{t}.parquet") for t in tables], builder, params)
+
+
+def stored_postings(spark, sf_dir):
+    """The index: tokenized once, whichever query comes first."""
+    return stored(spark, sf_dir, "postings", lambda: P.build_postings(fx.corpus(spark, sf_dir), keep_length=True))
+
+
+def stored_lengths(spark, sf_dir):
+    """(doc_id, length in characters) of every document, with or without terms."""
+    return stored(spark, sf_dir, "lengths", lambda: P.doc_lengths(fx.documents(spark, sf_dir), mode="chars"))
+
+
+def average_chars(spark, sf_dir):
+    return P.average_length(stored_lengths(spark, sf_dir))
+
+
 def index_stats(spark, sf_dir):
     """Shared index pieces: corpus, postings, df, N, frequent-term postings."""
     docs = fx.corpus(spark, sf_dir)
-    # tokenized once and stored in the shared checkpoint folder; every
-    # branch below (df, filters, weights, label joins) reads the stored copy
-    post = P.stored_postings(P.build_postings(docs, keep_length=True))
-    dfreq = P.doc_freq(post)
-    n = P.n_docs(fx.documents(spark, sf_dir))
+    # every branch below (df, filters, weights, label joins) reads the stored index
+    post = stored_postings(spark, sf_dir)
+    dfreq = stored(spark, sf_dir, "doc-freq", lambda: P.doc_freq(post))
+    n = P.n_docs(stored_lengths(spark, sf_dir))
     freq = P.frequent_terms(dfreq, MIN_DOCUMENTS, n)
     fpost = post.join(freq.select("term", "df"), "term")
     return docs, post, dfreq, n, freq, fpost
@@ -93,7 +114,7 @@ bm AS (
 
 def _bm25(spark, sf_dir):
     docs, post, dfreq, n, freq, fpost = index_stats(spark, sf_dir)
-    avg = P.average_length(P.doc_lengths(fx.documents(spark, sf_dir), mode="chars"))
+    avg = average_chars(spark, sf_dir)
     return Wt.bm25(fpost, freq, None, n, avg)
 
 
@@ -213,8 +234,11 @@ best AS (
 def _chi_best(spark, sf_dir):
     _, _, _, n, freq, fpost = index_stats(spark, sf_dir)
     sub = fx.doc_labels_single(spark, sf_dir).filter(F.col("level") == 3)
-    chi = S.chi_squared(fpost, freq, sub, n).withColumn("chi", F.round("chi", 4))
-    return fpost, freq, n, S.top_terms(chi, TOP_N_FEATURES, decimals=4)
+
+    def build():
+        chi = S.chi_squared(fpost, freq, sub, n).withColumn("chi", F.round("chi", 4))
+        return S.top_terms(chi, TOP_N_FEATURES, decimals=4)
+    return fpost, freq, n, stored(spark, sf_dir, "dictionary", build, ("documents", "labels"), features=TOP_N_FEATURES)
 
 
 @query("chi_top_terms", f"WITH {CHI_SQL} SELECT rank, term, df, chi FROM best WHERE rank <= {TOP_N_FEATURES}")
@@ -262,7 +286,7 @@ idx AS (SELECT fp.doc_id, dict.term_id,
 def doc_index(spark, sf_dir):
     """T11+T12: chi-selected dictionary, reduced postings, BM25 doc index."""
     fpost, freq, n, best = _chi_best(spark, sf_dir)
-    avg = P.average_length(P.doc_lengths(fx.documents(spark, sf_dir), mode="chars"))
+    avg = average_chars(spark, sf_dir)
     # the join that numbers the terms is also the one that drops the others
     w = Wt.bm25(fpost, freq, None, n, avg)
     return Wt.doc_index(w, S.term_dictionary(best)).select("doc_id", "term_id", _r(F.col("weight")).alias("weight"))

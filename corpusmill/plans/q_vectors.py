@@ -9,6 +9,7 @@ from corpusmill.operators import experiments as X
 from corpusmill.operators import vectors as V
 from corpusmill.plans import fixtures as fx
 from corpusmill.plans.registry import query
+from corpusmill.session import materialize
 from corpusmill.sources.io import table
 
 LINK_DISTANCE = 1.15   # single-link cut (vectors are unit length, typical distance 1.41)
@@ -23,6 +24,8 @@ pairs AS (SELECT a.id AS a, b.id AS b,
           FROM vecs a JOIN vecs b ON a.id < b.id),
 edges AS (SELECT a, b, dist FROM pairs WHERE dist <= {LINK_DISTANCE})"""
 
+PAIRS_SQL_CTE = f"WITH RECURSIVE {PAIRS_SQL}, ts AS (SELECT unnest([0.95, 1.05, {LINK_DISTANCE}]::DOUBLE[]) AS t),"
+
 COMPONENTS_SQL = f"""{PAIRS_SQL},
 und AS (SELECT a AS src, b AS dst FROM edges UNION ALL SELECT b, a FROM edges),
 reach AS (SELECT * FROM (WITH RECURSIVE r(src, dst) AS (
@@ -51,6 +54,21 @@ def single_link(spark, sf_dir):
     return V.connected_components(vecs.select("id"), edges)
 
 
+CUTS = [0.95, 1.05, LINK_DISTANCE]
+
+
+@query("single_link_cuts", f"""{PAIRS_SQL_CTE}
+und AS (SELECT t, a AS src, b AS dst FROM edges, ts WHERE dist <= t UNION ALL SELECT t, b, a FROM edges, ts WHERE dist <= t),
+reach AS (SELECT t, id AS src, id AS dst FROM vecs, ts
+          UNION SELECT reach.t, reach.src, u.dst FROM reach JOIN und u ON reach.t = u.t AND reach.dst = u.src)
+SELECT t, src AS id, min(dst) AS cluster FROM reach GROUP BY t, src""")
+def single_link_cuts(spark, sf_dir):
+    """The dendrogram (spanning forest up to the link distance) cut at three distances."""
+    vecs, edges = _edges(spark, sf_dir)
+    forest = materialize(V.spanning_forest(edges), "forest")
+    return V.cuts(vecs.select("id"), forest, CUTS)
+
+
 @query("cluster_profile", f"""WITH {COMPONENTS_SQL}
 SELECT c.cluster, v.label, count(*) AS n FROM comp c JOIN vecs v USING (id)
 WHERE c.cluster IN (SELECT cluster FROM comp GROUP BY cluster HAVING count(*) > 1)

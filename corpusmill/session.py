@@ -84,6 +84,15 @@ def ship_package(spark: SparkSession) -> None:
     sc._corpusmill_shipped = True
 
 
+def temporary_paths(spark: SparkSession) -> list[str]:
+    """Where :func:`materialize` has written in this session;
+    :func:`corpusmill.sources.stages.release_temporary` removes them."""
+    sc = spark.sparkContext
+    if not hasattr(sc, "_corpusmill_temporary"):
+        sc._corpusmill_temporary = []
+    return sc._corpusmill_temporary
+
+
 def materialize(df, name: str = "stage"):
     """Compute ``df`` once and cut its lineage by writing it as a Parquet
     table under the shared checkpoint folder (``spark.checkpoint.dir``), then
@@ -97,5 +106,6 @@ def materialize(df, name: str = "stage"):
     spark = df.sparkSession
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/corpusmill-{name}-{uuid.uuid4().hex}"
+    temporary_paths(spark).append(path)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

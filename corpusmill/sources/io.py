@@ -148,19 +148,6 @@ def write_parquet(df: DataFrame, path: str, partition_by=None,
     w.parquet(path)
 
 
-def stage(spark: SparkSession, path: str, builder, *, partition_by=None) -> DataFrame:
-    """Reuse a finished stage (``_SUCCESS`` marker present), else build,
-    write and re-read it.  Re-reading cuts the lineage, so a lost executor
-    later recomputes from the written files, not from the start."""
-    marker = os.path.join(path, "_SUCCESS")
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(marker)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        write_parquet(builder(), path, partition_by=partition_by)
-    return spark.read.parquet(path)
-
-
 def dense_text(df: DataFrame, vector_col: str, id_col: str | None = None,
                decimals: int = 3) -> DataFrame:
     """Vector as space-separated fixed-point text (``%.3f``)."""

@@ -1,6 +1,41 @@
 """One test per rule."""
-from corpusmill.operators.markup import (as_sentence, drawings_text, extract_paragraphs, join_single_sentences,
-                                         sentence_count)
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmill.operators import markup as Mk
+
+got = None
+
+
+@pytest.fixture(autouse=True)
+def session(spark):
+    global got
+
+    def got(c, value, kind):
+        return spark.createDataFrame([(value,)], f"x {kind}").select(c(F.col("x"))).first()[0]
+
+
+def extract_paragraphs(html):
+    from pyspark.sql import SparkSession
+    pages = SparkSession.active().createDataFrame([(1, html)], "page_id long, html string")
+    return [r["paragraph"] for r in Mk.page_paragraphs(pages).orderBy("para_no").collect()]
+
+
+def as_sentence(x):
+    return got(Mk.as_sentence, x, "string")
+
+
+def drawings_text(x):
+    return got(Mk.drawings_text, x, "array<struct<tag: string, text: string>>")
+
+
+def sentence_count(x):
+    return got(Mk.sentence_count, x, "string")
+
+
+def join_single_sentences(x):
+    return got(Mk.join_single_sentences, x, "array<string>")
+
 
 LONG = "This sentence is long enough to stand as a node of its own here."
 TWO = LONG + " " + LONG

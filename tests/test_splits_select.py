@@ -125,46 +125,6 @@ def test_split_repair_matches_sequential_loop(spark):
         assert s == cur[d], d
 
 
-def test_multilabel_repair_invariants(spark):
-    """P9 substitute: moves only leave train, never push a label below its
-    training minimum, and never increase the number of problematic labels."""
-    import math
-    from corpusmill.operators.models import repair_splits_multilabel
-    rnd = random.Random(8)
-    labels = [f"s{i}" for i in range(10)]
-    rows, split = [], {}
-    for d in range(400):
-        for lab in rnd.sample(labels, rnd.choice([1, 2, 2, 3])):
-            rows.append((d, lab))
-        split[d] = rnd.choices(["train", "validation", "test"], weights=[0.9, 0.05, 0.05])[0]
-    dl = spark.createDataFrame(rows, "doc_id long, label string")
-    sp = spark.createDataFrame(list(split.items()), "doc_id long, split string")
-    moves, left = repair_splits_multilabel(dl, sp, seed=2)
-    new = dict(split)
-    for r in moves.collect():
-        assert r["old_split"] == "train" and r["split"] in ("validation", "test")
-        new[r["doc_id"]] = r["split"]
-
-    def status(assign):
-        out = {}
-        for lab in labels:
-            docs = [d for d, x in rows if x == lab]
-            n = len(docs)
-            tr = sum(assign[d] == "train" for d in docs)
-            va = sum(assign[d] == "validation" for d in docs)
-            te = sum(assign[d] == "test" for d in docs)
-            out[lab] = (tr / n >= 0.3, va / n >= 0.15, te / n >= 0.15)
-        return out
-    before, after = status(split), status(new)
-    for lab in labels:
-        if before[lab][0]:
-            assert after[lab][0], lab
-    bad = lambda s: sum(1 for v in s.values() if not all(v))
-    assert bad(after) <= bad(before)
-    assert left.count() == bad(after)
-    assert moves.count() > 0 and not math.isnan(moves.count())
-
-
 def test_rank_in_group_hot_group_is_split(spark):
     """A group holding a third of all rows is still ranked exactly, and its
     rows are spread over many (group, hash-prefix) window partitions."""

@@ -63,16 +63,3 @@ def test_sentence_word_tokens(spark):
     # token; single letters are abbreviations too, so "(x)!" keeps its "!"
     assert out == ["see", "fig.", "num_indic", "then", "stop", ".", "numbers", "num_indic",
                    "and", "x!"]
-
-
-def test_stage_reuses_finished_output(spark, tmp_path):
-    from corpusmill.sources.io import stage
-    calls = []
-
-    def build():
-        calls.append(1)
-        return spark.range(5).withColumnRenamed("id", "x")
-    path = str(tmp_path / "st")
-    a = stage(spark, path, build)
-    b = stage(spark, path, build)
-    assert a.count() == b.count() == 5 and len(calls) == 1

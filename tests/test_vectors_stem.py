@@ -17,7 +17,7 @@ def test_epsilon_join_and_components_match_brute_force(spark):
     pts = [(i, [rnd.gauss(0, 1) for _ in range(4)]) for i in range(120)]
     df = spark.createDataFrame(pts, "id long, v array<double>")
     t = 1.0
-    got = {(r["a"], r["b"]) for r in V.epsilon_pairs(df, t, grid_dims=2, salt=3).collect()}
+    got = {(r["a"], r["b"]) for r in V.epsilon_pairs(df, t, block=16).collect()}
     expect = {(a, b) for a, va in pts for b, vb in pts
               if a < b and math.dist(va, vb) <= t}
     assert got == expect
@@ -50,19 +50,3 @@ def test_long_json_export_chunks_hot_keys(spark, tmp_path):
     assert lines == 4  # 251 rows: three chunks for each key, of which the cold one fills one
     back = io.read_long_json(spark, path, "term", "string", "doc_id", "bigint", "tf")
     assert sorted(map(tuple, back.collect())) == sorted(rows)
-
-
-def test_model_registry_skips_existing(spark, tmp_path):
-    from pyspark.ml.classification import LinearSVC
-    from pyspark.ml.linalg import Vectors, VectorUDT
-    from pyspark.sql import types as T
-
-    from corpusmill.operators.models import fit_or_load, model_name
-    schema = T.StructType([T.StructField("features", VectorUDT()), T.StructField("y", T.DoubleType())])
-    data = spark.createDataFrame([(Vectors.dense([float(i), 1.0]), float(i % 2)) for i in range(20)],
-                                 schema)
-    est = LinearSVC(featuresCol="features", labelCol="y", maxIter=5)
-    path = str(tmp_path / model_name("LinearSVC", "A-01/x", 5, 0.01))
-    m1 = fit_or_load(est, data, path)
-    m2 = fit_or_load(est.setMaxIter(1), data, path)  # loaded, not refitted
-    assert list(m1.coefficients) == list(m2.coefficients)
