@@ -141,3 +141,9 @@ def stemmed_postings(corpus: DataFrame, min_size: int = 3) -> DataFrame:
     uni = corpus.select("doc_id", stemmed_unigrams(F.col("text"), min_size).alias("u"))
     terms = uni.select("doc_id", F.explode(F.concat("u", tx.bigrams(F.col("u")))).alias("term"))
     return terms.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def digit_punct_stems(text: Column) -> Column:
+    """:func:`corpusmill.functions.text.digit_punct_tokens`, stemmed; stems that fail X14 are dropped."""
+    stems = F.pandas_udf(_stem_lists, "array<string>")(tx.digit_punct_tokens(text))
+    return F.filter(stems, tx.is_valid_stem)

@@ -188,12 +188,6 @@ def bigrams(unigrams: Column) -> Column:
                    lambda a, b: F.concat(a, _lit(" "), b)))
 
 
-def index_terms(text: Column, min_size: int = 3) -> Column:
-    """Unigrams followed by bigrams: the term list of the index tokenizer."""
-    u = index_unigrams(text, min_size)
-    return F.concat(u, bigrams(u))
-
-
 def token_bucket(tok: Column) -> Column:
     """Empty / number / stopword / word."""
     return (F.when(F.trim(tok) == "", _lit("empty"))

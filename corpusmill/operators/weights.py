@@ -85,6 +85,19 @@ def tf_rf(postings: DataFrame, rf: DataFrame, label: str) -> DataFrame:
                     (F.col("tf") * F.coalesce(F.col("rf"), F.lit(1.0))).alias("weight")))
 
 
+def tf_rf_per_split(postings: DataFrame, doc_labels: DataFrame, splits: DataFrame) -> DataFrame:
+    """Tf * rf for every split and label, with a and c counted among the split's own documents:
+    (split, label, term, doc_id, weight).  Only the (term, label) pairs of a split with a > 0 are formed; of every other
+    the weight is tf."""
+    post = postings.select("term", "doc_id", "tf").join(splits.select("doc_id", "split"), "doc_id")
+    a = post.join(doc_labels.select("doc_id", "label"), "doc_id") \
+        .groupBy("split", "term", "label").agg(F.count(F.lit(1)).alias("a"))
+    df = post.groupBy("split", "term").agg(F.count(F.lit(1)).alias("df"))
+    rf = a.join(df, ["split", "term"]).select("split", "term", "label", F.log2(
+        F.lit(2.0) + F.col("a") / F.greatest(F.lit(1), F.col("df") - F.col("a"))).alias("rf"))
+    return post.join(rf, ["split", "term"]).select("split", "label", "term", "doc_id", (F.col("tf") * F.col("rf")).alias("weight"))
+
+
 def l2_tfidf(postings: DataFrame, dfreq: DataFrame, n: Column, min_df: int = 5) -> DataFrame:
     """Smoothed idf ln((1+N)/(1+df)) + 1 on terms with df >= min_df,
     then each document vector scaled to unit l2 norm.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusmill.functions import stem as St
@@ -12,6 +14,7 @@ from corpusmill.operators import metrics as M
 from corpusmill.operators import models as Md
 from corpusmill.operators import postings as P
 from corpusmill.operators import select as S
+from corpusmill.operators import topics as Tp
 from corpusmill.operators import weights as Wt
 from corpusmill.plans import fixtures as fx
 from corpusmill.plans import q_splits as QS
@@ -20,7 +23,7 @@ from corpusmill.plans import sql as q
 from corpusmill.plans.registry import query
 from corpusmill.sources import io
 from corpusmill.sources.io import table
-from corpusmill.session import materialize
+from corpusmill.session import checkpoint_dir, materialize
 
 BLOCK_ROWS = 100_000
 SVM_ITERATIONS = 100
@@ -47,13 +50,18 @@ def _label_ids(spark, sf_dir):
     return dl, QT.stored(spark, sf_dir, "label-ids", build, ("documents", "labels"))
 
 
+def _entries(spark, sf_dir):
+    """(doc_id, indices, values): the index as one sparse vector for each document, a stored stage."""
+    return QT.stored(spark, sf_dir, "entries", lambda: Md.sparse_entries(_index(spark, sf_dir), fx.documents(spark, sf_dir)),
+                     ("documents", "labels"), features=QT.TOP_N_FEATURES)
+
+
 def _svm(spark, sf_dir):
     """(entries of all documents, weights of all labels, label ids, labels per document, splits).  The weights are a stage
     under a manifest of the input's files and the parameters (L5), so that the queries share them."""
     dl, names = _label_ids(spark, sf_dir)
     sp = QS.stored_splits(spark, sf_dir)
-    entries = QT.stored(spark, sf_dir, "entries", lambda: Md.sparse_entries(_index(spark, sf_dir), fx.documents(spark, sf_dir)),
-                        ("documents", "labels"), features=QT.TOP_N_FEATURES)
+    entries = _entries(spark, sf_dir)
 
     def build():
         known = dl.join(names, ["level", "label"]).select("doc_id", "label_id")
@@ -110,17 +118,21 @@ def svm_metrics(spark, sf_dir):
     return out
 
 
+def _topics(spark, sf_dir):
+    """(doc_id, topics) of every document: 1,000 topics fitted on the train split's BM25 vectors, a stored stage."""
+    def build():
+        entries, sp = _entries(spark, sf_dir), QS.stored_splits(spark, sf_dir)
+        train = entries.join(sp.filter(F.col("split") == "train").select("doc_id"), "doc_id")
+        return Tp.transform(entries, Tp.fit(train, QT.TOP_N_FEATURES, LDA_TOPICS, LDA_PASSES), LDA_TOPICS)
+    return QT.stored(spark, sf_dir, "topics", build, ("documents", "labels"), topics=LDA_TOPICS, passes=LDA_PASSES)
+
+
 @query("lda_topics")
 def lda_topics(spark, sf_dir):
-    """Online LDA (1,000 topics) on term counts of the selected terms, fitted on
-    the train split in full passes and applied to all three splits."""
-    fpost, _, _, best = QT._chi_best(spark, sf_dir)
-    counts = Wt.doc_index(fpost.withColumn("weight", F.col("tf").cast("double")), S.term_dictionary(best))
-    feats = materialize(Md.sparse_features(counts, fx.documents(spark, sf_dir), QT.TOP_N_FEATURES), "lda-counts")
-    _, sp = QS._splits(spark, sf_dir)
-    model = Md.lda_model(feats.join(sp.filter(F.col("split") == "train").select("doc_id"), "doc_id"),
-                         k=LDA_TOPICS, passes=LDA_PASSES)
-    return Md.strongest_topics(model, feats).join(sp.select("doc_id", "split"), "doc_id", "left")
+    """Each document's strongest topic (1-based) and its weight, in all three splits."""
+    best = _topics(spark, sf_dir).select("doc_id", F.array_position("topics", F.array_max("topics")).alias("topic"),
+                                         F.array_max("topics").cast("double").alias("weight"))
+    return best.join(QS.stored_splits(spark, sf_dir).select("doc_id", "split"), "doc_id", "left")
 
 
 @query("word2vec_docs")
@@ -179,13 +191,13 @@ p4 AS (SELECT *, least(greatest(mtr - tr, 0), greatest(te - mte, 0) - m2v, s_te
 q2 AS (SELECT * REPLACE (te - m2v - m2r AS te, va + m2v AS va, tr + m2r AS tr) FROM p4),
 p5 AS (SELECT *, least(greatest(mte - te, 0), greatest(va - mva, 0), s_va) AS m3t FROM q2),
 p6 AS (SELECT *, least(greatest(mtr - tr, 0), greatest(va - mva, 0) - m3t, s_va - m3t) AS m3r FROM p5),
-rk AS (SELECT *, row_number() OVER (PARTITION BY label, split ORDER BY {q.md5_hash(10000, "doc_id")}, doc_id) AS rank FROM one)
-SELECT doc_id, rk.label, split, CASE
+mv AS (SELECT *, row_number() OVER (PARTITION BY label, split ORDER BY {q.md5_hash(10000, "doc_id")}, doc_id) AS rank FROM one)
+SELECT doc_id, mv.label, split, CASE
     WHEN split = 'train' AND rank <= m1v THEN 'validation' WHEN split = 'train' AND rank <= m1v + m1t THEN 'test'
     WHEN split = 'test' AND rank <= m2v THEN 'validation' WHEN split = 'test' AND rank <= m2v + m2r THEN 'train'
     WHEN split = 'validation' AND rank <= m3t THEN 'test' WHEN split = 'validation' AND rank <= m3t + m3r THEN 'train'
     ELSE split END AS new_split
-FROM rk LEFT JOIN p6 ON p6.label = rk.label"""
+FROM mv LEFT JOIN p6 ON p6.label = mv.label"""
 
 
 @query("split_repair", REPAIR_SQL)
@@ -231,6 +243,21 @@ def row_blocks(spark, sf_dir):
                                   F.max("l_orderkey").alias("last_key"))
 
 
+@query("row_block_sink", f"""
+WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice,
+           row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS row_idx FROM lineitem)
+SELECT row_idx, l_orderkey, l_linenumber, l_quantity, l_extendedprice, CAST(floor(row_idx / {BLOCK_ROWS}) AS INTEGER) AS block
+FROM r WHERE floor(row_idx / {BLOCK_ROWS}) = (SELECT floor((count(*) - 1) / {BLOCK_ROWS}) FROM lineitem)""")
+def row_block_sink(spark, sf_dir):
+    """Lineitem rows with payload written by block and the last block read back from its own folder."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/corpusmill-blocks-{uuid.uuid4().hex}"
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    io.write_row_blocks(li, [F.asc("l_orderkey"), F.asc("l_linenumber")], path, BLOCK_ROWS)
+    last = spark.read.parquet(path).agg(F.max("block")).first()[0]
+    return io.read_row_blocks(spark, path, last or 0).select(
+        "row_idx", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "block")
+
+
 @query("part_sequences")
 def part_sequences(spark, sf_dir):
     """Per document a fixed-width sequence of part vectors

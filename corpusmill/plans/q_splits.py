@@ -249,3 +249,21 @@ def weights_per_split(spark, sf_dir):
     bm25 = Wt.bm25_weight(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), avg)
     return j.select("split", "term", "doc_id", "tf", F.round(tfidf, ROUND).alias("tfidf"),
                     F.round(bm25, ROUND).alias("bm25"))
+
+
+@query("tf_rf_per_split", f"""WITH {q.FREQ}, {SPLIT_SQL},
+sp AS MATERIALIZED (SELECT s.split, d.lang AS label, p.term, p.doc_id, p.tf FROM fpost p JOIN splits s USING (doc_id)
+                    JOIN documents d USING (doc_id)),
+a AS (SELECT split, term, label, count(*) AS a FROM sp GROUP BY split, term, label),
+c AS (SELECT split, term, count(*) AS df FROM sp GROUP BY split, term),
+rf AS (SELECT split, term, label, log2(2 + a / greatest(1, df - a)) AS rf FROM a JOIN c USING (split, term))
+SELECT sp.split, rf.label, sp.term, sp.doc_id, round(sp.tf * rf.rf, 6) AS weight
+FROM sp JOIN rf ON rf.split = sp.split AND rf.term = sp.term""")
+def tf_rf_per_split(spark, sf_dir):
+    """Tf-rf of the frequent terms for every split and section, counted inside the split."""
+    from corpusmill.operators import weights as Wt
+    from corpusmill.plans import q_text as QT
+    dl, sp = _splits(spark, sf_dir)
+    fpost = QT.index_stats(spark, sf_dir)[5]
+    out = Wt.tf_rf_per_split(fpost, dl.filter(F.col("level") == 1), sp)
+    return out.withColumn("weight", F.round("weight", ROUND))

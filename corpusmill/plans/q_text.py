@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions import stem as St
 from corpusmill.functions import text as tx
 from corpusmill.operators import postings as P
 from corpusmill.operators import select as S
@@ -15,7 +17,9 @@ from corpusmill.plans import fixtures as fx
 from corpusmill.plans import sql as q
 from corpusmill.plans.registry import query
 from corpusmill.sources.io import table
+from corpusmill.session import checkpoint_dir
 from corpusmill.sources.stages import stage
+from corpusmill.streaming import incremental as Inc
 
 MIN_DOCUMENTS = 5          # F4: df strictly greater than this
 TOP_N_FEATURES = 10_000    # K1 cut
@@ -164,10 +168,10 @@ def bm25(spark, sf_dir):
     return _bm25(spark, sf_dir).select("term", "doc_id", _r(F.col("weight")).alias("weight"))
 
 
-RF_SQL = f"""{q.FREQ}, {q.DOC_LABELS_SINGLE},
-a AS (SELECT fp.term, dl.label, count(*) AS a FROM fpost fp JOIN doc_labels dl USING (doc_id)
-      WHERE dl.level = 1 GROUP BY fp.term, dl.label),
-rf AS (SELECT a.term, a.label, a.a, f.df - a.a AS c,
+RF_SQL = f"""{q.FREQ},
+a AS MATERIALIZED (SELECT fp.term, dl.label, count(*) AS a
+      FROM fpost fp JOIN (SELECT doc_id, lang AS label FROM documents) dl USING (doc_id) GROUP BY fp.term, dl.label),
+rf AS MATERIALIZED (SELECT a.term, a.label, a.a, f.df - a.a AS c,
               log2(2 + a.a / greatest(1, f.df - a.a)) AS rf
        FROM a JOIN freq f USING (term))"""
 
@@ -265,7 +269,7 @@ def term_dictionary(spark, sf_dir):
 
 
 @query("dictionary_postings", f"""WITH {CHI_SQL}
-SELECT term, doc_id, tf FROM fpost WHERE term IN (SELECT term FROM best WHERE rank <= {TOP_N_FEATURES})""")
+SELECT fp.term, fp.doc_id, fp.tf FROM fpost fp JOIN (SELECT term FROM best WHERE rank <= {TOP_N_FEATURES}) USING (term)""")
 def dictionary_postings(spark, sf_dir):
     """Postings of the selected terms (left semi join)."""
     fpost, _, _, best = _chi_best(spark, sf_dir)
@@ -377,6 +381,40 @@ def context_pairs(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("n"))
 
 
+# The window of a target, 1 to CONTEXT_WINDOW, drawn by a hash of its document and position.
+REDUCED_SQL = q.md5_hash(7, "doc_id", "i")
+
+
+@query("context_pairs_reduced", f"""
+WITH t AS (SELECT doc_id, {q.plain_tokens('text')} AS toks FROM documents),
+e AS (SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS i FROM t),
+w AS (SELECT toks, i, 1 + ascii(substr({REDUCED_SQL}, 1, 1)) % {CONTEXT_WINDOW} AS b FROM e),
+p AS (SELECT toks[i] AS target, toks[j] AS context
+      FROM (SELECT toks, i, unnest(range(greatest(1, i - b), least(len(toks), i + b) + 1)) AS j FROM w)
+      WHERE j <> i)
+SELECT target, context, count(*) AS n FROM p GROUP BY target, context""")
+def context_pairs_reduced(spark, sf_dir):
+    """W5, reduced window: each target's own window is drawn from 1..w by a hash.  As in
+    :func:`context_pairs`, pairs are shifted zips inside the row; those beyond the target's window are dropped there."""
+    docs = fx.corpus(spark, sf_dir)
+    t = docs.select("doc_id", tx.plain_tokens(F.col("text")).alias("toks"))
+    drawn = F.transform("toks", lambda x, i: F.struct(x.alias("word"), (
+        F.lit(1) + F.ascii(F.md5(F.concat_ws(":", F.lit("7"), F.col("doc_id").cast("string"), (i + 1).cast("string"))))
+        % CONTEXT_WINDOW).alias("b")))
+    t = t.select(drawn.alias("toks"))
+    toks, n = F.col("toks"), F.size("toks")
+    parts = []
+    for o in range(1, CONTEXT_WINDOW + 1):
+        m = F.greatest(n - o, F.lit(0))
+        head, tail = F.slice(toks, 1, m), F.slice(toks, 1 + o, m)
+        for a, b in ((head, tail), (tail, head)):
+            pairs = F.zip_with(a, b, lambda x, y: F.struct(x["word"].alias("target"), y["word"].alias("context"), x["b"].alias("b")))
+            parts.append(F.filter(pairs, lambda p, o=o: p["b"] >= o))
+    e = t.select(F.explode(F.concat(*parts)).alias("p"))
+    return e.groupBy(F.col("p.target").alias("target"), F.col("p.context").alias("context")) \
+        .agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("natural_sort", """
 WITH u AS (SELECT DISTINCT url FROM pages),
 k AS (SELECT url, array_to_string(list_transform(regexp_extract_all(url, '[0-9]+|[^0-9]+'),
@@ -411,6 +449,22 @@ def tokens_nodigits(spark, sf_dir):
     return P.token_table(docs, tx.digit_punct_tokens(F.col("text")))
 
 
+@query("tokens_nodigits_stemmed")
+def tokens_nodigits_stemmed(spark, sf_dir):
+    """X12 with its stem step: the tokens of ``tokens_nodigits`` as Porter stems, valid ones only."""
+    return P.token_table(fx.corpus(spark, sf_dir), St.digit_punct_stems(F.col("text")))
+
+
+@query("incremental_doc_freq", f"WITH {q.DFREQ} SELECT term, df FROM dfreq")
+def incremental_doc_freq(spark, sf_dir):
+    """2.13: the documents' files ingested by a stream, one file an epoch, compacted, and df read from the sums."""
+    base = f"{checkpoint_dir(spark).rstrip('/')}/corpusmill-ingest-{uuid.uuid4().hex}"
+    Inc.start_ingest(spark, os.path.join(sf_dir, "documents.parquet"), f"{base}/index", f"{base}/checkpoint",
+                     max_files=1).awaitTermination()
+    Inc.compact(spark, f"{base}/index")
+    return Inc.read_df(spark, f"{base}/index")
+
+
 @query("tokens_words", f"""
 WITH t AS (SELECT doc_id, list_filter({q.stripped_list('text')}, lambda s: length(s) >= 3
              AND NOT list_contains({q.STOP}, s)) AS toks FROM documents)

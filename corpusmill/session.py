@@ -93,7 +93,7 @@ def temporary_paths(spark: SparkSession) -> list[str]:
     return sc._corpusmill_temporary
 
 
-def materialize(df, name: str = "stage"):
+def materialize(df, name: str = "stage", partition_by: str | None = None):
     """Compute ``df`` once and cut its lineage by writing it as a Parquet
     table under the shared checkpoint folder (``spark.checkpoint.dir``), then
     reading it back.
@@ -107,5 +107,7 @@ def materialize(df, name: str = "stage"):
     base = checkpoint_dir(spark).rstrip("/")
     path = f"{base}/corpusmill-{name}-{uuid.uuid4().hex}"
     temporary_paths(spark).append(path)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    # with the schema given, a table without rows or partitions is read all the same
+    return spark.read.schema(df.schema).parquet(path) if partition_by else spark.read.parquet(path)

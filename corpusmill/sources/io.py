@@ -162,6 +162,21 @@ def row_blocks(df: DataFrame, row_index_col: str, block_rows: int = 100_000) ->
     return df.withColumn("block", F.floor(F.col(row_index_col) / block_rows).cast("long"))
 
 
+def write_row_blocks(df: DataFrame, order_cols, path: str, block_rows: int = 100_000, index_col: str = "row_idx") -> None:
+    """S13 sink: the rows with their payload, numbered in this order and written in one folder for each block of
+    ``block_rows`` rows.  Every block is one task's, so it is one file, and no task holds more than
+    the blocks that are hashed to it."""
+    from corpusmill.operators.select import global_rank
+    ranked = row_blocks(global_rank(df, order_cols, index_col, start=0), index_col, block_rows)
+    ranked.repartition("block").sortWithinPartitions("block", index_col) \
+        .write.mode("overwrite").partitionBy("block").parquet(path)
+
+
+def read_row_blocks(spark: SparkSession, path: str, first: int, last: int | None = None) -> DataFrame:
+    """S13 source: the rows of a range of blocks; only their folders are listed and read."""
+    return spark.read.parquet(path).filter(F.col("block").between(first, first if last is None else last))
+
+
 # Fixed value: distance written for an unreachable point by the reference.
 UNREACHABLE_DISTANCE = 100.0
 

@@ -73,43 +73,58 @@ def _folder(spark: SparkSession) -> str:
     return f"{(shared or checkpoint_dir(spark)).rstrip('/')}/{FOLDER}"
 
 
-def _read(spark: SparkSession, path: str) -> dict | None:
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """The contents of a small JSON file, None if there is none."""
     p, fs = _fs(spark, path)
     return json.loads(spark.read.text(path, wholetext=True).first()[0]) if fs.exists(p) else None
 
 
+def write_once(spark: SparkSession, path: str, content: dict) -> None:
+    """Write a small JSON file unless there is one; the first writer wins."""
+    p, fs = _fs(spark, path)
+    try:
+        out = fs.create(p, False)
+    except Exception:       # noqa: BLE001 - another session was first
+        if not fs.exists(p):
+            raise
+        return
+    out.write(json.dumps(content, sort_keys=True).encode())
+    out.close()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if it does not exist."""
+    p, fs = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p, fs = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def stage(spark: SparkSession, name: str, inputs: list[str], builder: Callable[[], DataFrame], params: dict | None = None,
           partition_by=None) -> DataFrame:
     """The stored table of this stage if its manifest matches, else ``builder()`` written and reread."""
     want = manifest(spark, name, inputs, params or {})
     folder = f"{_folder(spark)}/{name}-{hashlib.sha1(json.dumps(want, sort_keys=True).encode()).hexdigest()}"
     at = f"{folder}/{MANIFEST}"
-    found = _read(spark, at)
+    found = read_json(spark, at)
     if found is None or {k: v for k, v in found.items() if k != "data"} != want:
         data = f"{folder}/{uuid.uuid4().hex}"
         writer = builder().write.mode("errorifexists")
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(data)
-        p, fs = _fs(spark, at)
-        try:
-            out = fs.create(p, False)
-            out.write(json.dumps({**want, "data": data}, sort_keys=True).encode())
-            out.close()
-        except Exception:       # noqa: BLE001 - another session was first
-            if not fs.exists(p):
-                raise
-        found = _read(spark, at)
+        write_once(spark, at, {**want, "data": data})
+        found = read_json(spark, at)
     return spark.read.parquet(found["data"])
 
 
 def stages(spark: SparkSession) -> list[dict]:
     """The manifests of all finished stages, each with its ``folder``."""
-    p, fs = _fs(spark, _folder(spark))
-    if not fs.exists(p):
-        return []
     out = []
-    for s in fs.listStatus(p):
-        at = s.getPath().toString()
-        found = _read(spark, f"{at}/{MANIFEST}")
+    for n in names(spark, _folder(spark)):
+        at = f"{_folder(spark)}/{n}"
+        found = read_json(spark, f"{at}/{MANIFEST}")
         if found is not None:
             out.append({**found, "folder": at})
     return out
@@ -120,8 +135,7 @@ def release(spark: SparkSession, everything: bool = False) -> list[str]:
     gone = []
     for s in stages(spark):
         if everything or s["code"] != code_digest() or any(listing(spark, p) != list(v) for p, v in s["inputs"].items()):
-            p, fs = _fs(spark, s["folder"])
-            fs.delete(p, True)
+            delete(spark, s["folder"])
             gone.append(s["stage"])
     return sorted(gone)
 
@@ -130,8 +144,7 @@ def release_temporary(spark: SparkSession) -> int:
     """Remove the tables that :func:`corpusmill.session.materialize` wrote in this session; returns their number."""
     paths = temporary_paths(spark)
     for path in paths:
-        p, fs = _fs(spark, path)
-        fs.delete(p, True)
+        delete(spark, path)
     n = len(paths)
     paths.clear()
     return n

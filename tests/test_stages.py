@@ -69,3 +69,17 @@ def test_release_temporary(spark):
     assert St.release_temporary(spark) == 1
     p, fs = St._fs(spark, path)
     assert not fs.exists(p)
+
+
+def test_row_blocks_are_pruned(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from corpusmill.sources import io
+    path = str(tmp_path / "blocks")
+    df = spark.range(0, 1050, 1, 7).select((1050 - F.col("id")).alias("k"), F.hash("id").alias("payload"))
+    io.write_row_blocks(df, [F.asc("k")], path, block_rows=100)
+    got = io.read_row_blocks(spark, path, 3)
+    assert [r["row_idx"] for r in got.orderBy("row_idx").collect()] == list(range(300, 400))
+    assert got.filter("k = row_idx + 1").count() == 100
+    plan = got._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(block" in plan
+    assert io.read_row_blocks(spark, path, 9, 10).count() == 150
