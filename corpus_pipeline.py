@@ -13,6 +13,12 @@ columns of their input:
 * pieces: texts are encoded to piece ids and decoded again; the result has
   doc_id, ids and decoded.
 
+Defined cases: null and empty texts fail the base rules and go in the first
+stage; null ids, sources and languages are values like others; of rows that repeat an
+id and a text one stays, of equal texts under several ids that of the least id (a null id
+is least); extra columns pass through every stage but the last; an empty table gives an empty
+result with the same columns; a text of any length is read whole.
+
 :func:`run` writes each stage as Parquet under the shared checkpoint folder
 and hands the reread table to the next, so a lost executor repeats a stage
 at most.
