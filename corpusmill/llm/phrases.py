@@ -6,18 +6,19 @@ those into words ``[^\\x20\\x09]+``.  Counts are per language.
 1. A block of texts is one byte array with one space between words.  Prefix
    polynomials over it give the Rabin-Karp fingerprint of every n-gram by one
    subtraction and one product (numpy, modulo 2^64; the language and n are
-   mixed in).  A block counts its own fingerprints first.
-2. For n = 1, 2, ... the shuffle sums the counts of equal fingerprints.  An
-   n-gram is only sent when both (n-1)-grams in it may be frequent: those with
+   mixed in), and a second one to another base.  A block counts its own fingerprints first.
+2. For n = 1, 2, ... the shuffle aggregates the fingerprints: the count, the least block that has one (the
+   occurrence pointer; the place in the block is found again from the fingerprint) and the least and
+   greatest second fingerprint.  An n-gram is only sent when both (n-1)-grams in it may be frequent: those with
    ``min_count`` are set in a bitmap of fixed size (``filter_bits``), which the
-   tasks get.  A bit set by another fingerprint only lets an n-gram
+   tasks get (compressed: a bitmap with few bits is small).  A bit set by another fingerprint only lets an n-gram
    through that is dropped later, so nothing frequent is lost at any size.
-3. A last pass looks at the n-grams whose bit is set.  In a block, each fingerprint
-   has a pointer to its first occurrence; all its other occurrences are
-   compared byte by byte with the text there, and those that differ are
-   pulled apart.  Only the texts at the pointers are materialised.  The
-   shuffle sums by language and text, so collisions, within a block or between
-   blocks, cannot change a count.
+3. A last pass materialises the frequent phrases only: a second bitmap is set for (fingerprint, block) of their
+   pointers, and a block sends the texts whose bit is set.  Within a block all occurrences of such a
+   fingerprint are compared byte by byte with the text at its first one.  Where two second fingerprints,
+   or two texts, were found under one fingerprint, every block sends its texts with their counts, which are then
+   summed by text: collisions are told apart by the text.  If a pointer leads to no text, since
+   the input was split in another way, all texts are sent.
 4. Cuts are scored in exact integers (decimals of 38 digits), phrases inside
    longer ones are dropped, and the best of each language are found in two rounds.
 
@@ -29,15 +30,17 @@ with the longest text).  Other columns are not read.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import text_of
 from corpusmill.operators.ranking import top_k
-from corpusmill.session import materialize
+from corpusmill.session import materialize, ship_package
 
-BASE = 0x9E3779B97F4A7C15       # any odd number
+BASE, OTHER = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F      # any odd numbers
 BREAKS = b".,;:!?\n\x0b\x0c\r"  # fixed values of the contract
 SPACES = b" \t"
 
@@ -49,15 +52,16 @@ _KIND[list(BREAKS)] = 2
 
 
 class _Powers:
-    """Powers of BASE and of its inverse modulo 2^64, as far as needed."""
+    """Powers of a base and of its inverse modulo 2^64, as far as needed; ``bits`` of a fingerprint are kept."""
 
-    def __init__(self):
+    def __init__(self, base: int = BASE, bits: int = 64):
+        self.base, self.mask = base, np.uint64((1 << bits) - 1)
         self.up = self.down = np.ones(1, np.uint64)
 
     def to(self, n: int):
         if len(self.up) <= n:
-            inverse = pow(BASE, -1, 1 << 64)
-            self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, BASE, np.uint64)])
+            inverse = pow(self.base, -1, 1 << 64)
+            self.up = np.cumprod(np.r_[np.uint64(1), np.full(n, self.base, np.uint64)])
             self.down = np.cumprod(np.r_[np.uint64(1), np.full(n, inverse, np.uint64)])
         return self.up, self.down
 
@@ -94,6 +98,7 @@ class Block:
         length = stop - first
         self.start = np.cumsum(length + 1) - (length + 1)
         self.end = self.start + length
+        self.prefix: dict = {}
 
     def fingerprints(self, n: int, seed: np.ndarray, powers: _Powers) -> np.ndarray:
         """Fingerprints of the n-grams that start at each word but the last n - 1;
@@ -101,14 +106,14 @@ class Block:
         m = len(self.start) - n + 1
         if m <= 0:
             return np.zeros(0, np.uint64)
-        if not hasattr(self, "prefix"):
-            up, down = powers.to(len(self.text))
-            self.up = up
-            self.prefix = np.r_[np.uint64(0), np.cumsum((self.text.astype(np.uint64) + np.uint64(1))
-                                                        * down[1:len(self.text) + 1])]
+        up, down = powers.to(len(self.text))
+        if powers.base not in self.prefix:
+            self.prefix[powers.base] = np.r_[np.uint64(0), np.cumsum((self.text.astype(np.uint64) + np.uint64(1))
+                                                                     * down[1:len(self.text) + 1])]
+        prefix = self.prefix[powers.base]
         s, e = self.start[:m], self.end[n - 1:]
-        h = (self.prefix[e] - self.prefix[s]) * self.up[e]
-        return _mix(h + _mix(seed[self.row[:m]] + np.uint64(n)))
+        h = (prefix[e] - prefix[s]) * up[e]
+        return _mix(h + _mix(seed[self.row[:m]] + np.uint64(n))) & powers.mask
 
     def whole(self, n: int) -> np.ndarray:
         """Whether the n words from each word on are in one piece."""
@@ -136,6 +141,10 @@ def _is_set(filter_: np.ndarray, fp: np.ndarray) -> np.ndarray:
     return (filter_[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def _opened(filters) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(f), np.uint8) for f in filters.value] if filters else []
+
+
 def _blocks(batch, size: int):
     """Blocks of about ``size`` bytes of the (lang, seed, text) batch."""
     text = batch.column(2)
@@ -151,36 +160,80 @@ def _blocks(batch, size: int):
         at = to
 
 
-def _sums(fps: list, counts: list):
-    fp, count = np.concatenate(fps), np.concatenate(counts)
-    fp, inverse = np.unique(fp, return_inverse=True)
-    return fp, np.bincount(inverse, count, len(fp)).astype(np.int64)
+COUNT = 24      # bits of a count next to the block's number
+
 
+def _grouped(fp: np.ndarray, check: np.ndarray, count: np.ndarray | None = None) -> tuple:
+    """Distinct (fp, check) with their counts."""
+    got, first, inverse = np.unique(fp, return_index=True, return_inverse=True)
+    if (check[first][inverse] != check).any():
+        order = np.lexsort((check, fp))
+        fp, check = fp[order], check[order]
+        count = None if count is None else count[order]
+        new = np.r_[True, (fp[1:] != fp[:-1]) | (check[1:] != check[:-1])]
+        first, inverse = np.flatnonzero(new), np.cumsum(new) - 1
+        got = fp[first]
+    return got, check[first], np.bincount(inverse, count, len(got)).astype(np.int64)
 
-def _count(n: int, filters, block: int, hold: int):
-    """(fp, c): the n-gram counts of a task's texts."""
+
+def _number(batch_no: int) -> int:
+    """A block's number: that of its task and of the block in it."""
+    from pyspark import TaskContext
+    return (TaskContext.get().partitionId() << 16) + min(batch_no, (1 << 16) - 1)
+
+
+def _count(n: int, filters, block: int, hold: int, fp_bits: int):
+    """(fp, v, k): the n-grams of a task's texts; v is a block's number and the count, k the second fingerprint."""
     def run(batches):
         import pyarrow as pa
-        powers, given = _Powers(), [np.frombuffer(f, np.uint8) for f in (filters.value if filters else [])]
-        fps, counts, held = [], [], 0
+        powers, other = _Powers(bits=fp_bits), _Powers(OTHER)
+        given = _opened(filters)
+        held: list = []
+        no = 0
+
+        def rows(at, fp, k, c):
+            over = (1 << COUNT) - 1
+            while len(fp):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(fp.view(np.int64)), pa.array((at << COUNT) + np.minimum(c, over)), pa.array(k.view(np.int32))],
+                    ["fp", "v", "k"])
+                more = c > over
+                at, fp, k, c = at[more], fp[more], k[more], c[more] - over
+
+        def merged():
+            at, fp, k, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            fp, k, c, at = _least(fp, k, c, at)
+            return at, fp, k, c
         for batch in batches:
             for b, seed, _ in _blocks(batch, block):
-                fp, c = np.unique(b.candidates(n, seed, powers, given)[1], return_counts=True)
-                fps.append(fp)
-                counts.append(c)
-                held += len(fp)
-                if held > hold:
-                    fp, c = _sums(fps, counts)
-                    fps, counts, held = [fp], [c], len(fp)
-                    if held > hold // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(c)], ["fp", "c"])
-                        fps, counts, held = [], [], 0
+                at, fp = b.candidates(n, seed, powers, given)
+                k = (b.fingerprints(n, seed, other)[at] >> np.uint64(32)).astype(np.uint32)
+                fp, k, c = _grouped(fp, k)
+                held.append((np.full(len(fp), _number(no), np.int64), fp, k, c))
+                no += 1
+                if sum(len(x[1]) for x in held) > hold:
+                    held.append(merged())
+                    if len(held[0][1]) > hold // 2:
+                        yield from rows(*held.pop())
         if held:
-            fp, c = _sums(fps, counts)
-            yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(c)], ["fp", "c"])
+            yield from rows(*merged())
     return run
 
 
+def _least(fp, k, c, at) -> tuple:
+    """Sums of the counts of equal (fp, k) and their least block."""
+    order = np.argsort(fp, kind="stable")       # blocks stay in order
+    fp, k, c, at = fp[order], k[order], c[order], at[order]
+    new = np.r_[True, fp[1:] != fp[:-1]] if len(fp) else np.zeros(0, bool)
+    if (k != k[np.flatnonzero(new)][np.cumsum(new) - 1]).any():
+        order = np.lexsort((at, k, fp))
+        fp, k, c, at = fp[order], k[order], c[order], at[order]
+        new = np.r_[True, (fp[1:] != fp[:-1]) | (k[1:] != k[:-1])]
+    first = np.flatnonzero(new)
+    return fp[first], k[first], np.add.reduceat(c, first) if len(first) else c, at[first]
+
+
 def _same_text(text: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray,
                chunk: int = 1 << 22) -> np.ndarray:
     """Whether span i has the bytes of span ``other[i]``."""
@@ -202,9 +255,9 @@ def _same_text(text: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.n
 
 
 def read_phrases(block: Block, at: np.ndarray, fp: np.ndarray, n: int) -> tuple:
-    """(first words, counts) of the distinct n-grams at words ``at`` with
+    """(first words, counts, fingerprints) of the distinct n-grams at words ``at`` with
     fingerprints ``fp``, told apart by their text."""
-    out_at, out_c = [], []
+    out_at, out_c, out_fp = [], [], []
     while len(at):
         fp, first, inverse = np.unique(fp, return_index=True, return_inverse=True)
         pointer = first[inverse]
@@ -212,26 +265,34 @@ def read_phrases(block: Block, at: np.ndarray, fp: np.ndarray, n: int) -> tuple:
             & (block.row_key[block.row[at]] == block.row_key[block.row[at[pointer]]])
         out_at.append(at[first])
         out_c.append(np.bincount(inverse[same], minlength=len(fp)))
+        out_fp.append(fp)
         at, fp = at[~same], fp[inverse[~same]]      # another text under the same fingerprint
     if not out_at:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_at), np.concatenate(out_c)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(out_at), np.concatenate(out_c), np.concatenate(out_fp)
+
 
+def _owned(fp: np.ndarray, number: int) -> np.ndarray:
+    """A fingerprint of (fingerprint, block)."""
+    return _mix(fp ^ _mix(np.full(1, number, np.uint64)))
 
-def _materialise(words: int, filters, block: int, hold: int):
-    """(lang, n, phrase, c) of the n-grams that may be frequent, and for each
-    language a row with n = 0 and the number of its words."""
+
+def _materialise(words: int, filters, owners, torn, block: int, hold: int, fp_bits: int):
+    """(fp, lang, n, phrase, c, torn): the texts that the pointers lead to, those of colliding fingerprints in every
+    block, and for each language a row with n = 0 and the number of its words.  ``owners`` None: all texts."""
     def run(batches):
         import pyarrow as pa
-        powers, given = _Powers(), [np.frombuffer(f, np.uint8) for f in filters.value]
+        powers, given, apart = _Powers(bits=fp_bits), _opened(filters), _opened(torn)
+        mine = _opened(owners) if owners else None
 
         def rows(found):
             keys = list(found)
             return pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-                 pa.array([k[2] for k in keys], pa.binary()), pa.array(list(found.values()), pa.int64())],
-                ["lang", "n", "phrase", "c"])
+                [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string()),
+                 pa.array([k[2] for k in keys], pa.int32()), pa.array([k[3] for k in keys], pa.binary()),
+                 pa.array(list(found.values()), pa.int64())], ["fp", "lang", "n", "phrase", "c"])
         found: dict = {}
+        no = 0
         for batch in batches:
             names = batch.column(0).to_pylist()
             for b, seed, base in _blocks(batch, block):
@@ -239,17 +300,21 @@ def _materialise(words: int, filters, block: int, hold: int):
                 known = {x: i for i, x in enumerate(dict.fromkeys(langs))}
                 b.row_key = np.array([known[x] for x in langs], np.int32)
                 for lang, i in known.items():
-                    key = (lang, 0, b"")
+                    key = (0, lang, 0, b"")
                     found[key] = found.get(key, 0) + int((b.row_key[b.row] == i).sum())
                 raw = b.text.tobytes()
                 for n in range(1, words + 1):
                     at, fp = b.candidates(n, seed, powers, given)
                     some = _is_set(given[n - 1], fp)
-                    at, c = read_phrases(b, at[some], fp[some], n)
-                    for i, k, row, s, e in zip(at.tolist(), c.tolist(), b.row[at].tolist(), b.start[at].tolist(),
-                                               b.end[at + n - 1].tolist(), strict=True):
-                        key = (langs[row], n, raw[s:e])
+                    if mine is not None:
+                        some &= _is_set(mine[n - 1], _owned(fp, _number(no))) | _is_set(apart[n - 1], fp)
+                    at, fp = at[some], fp[some]
+                    at, c, fp = read_phrases(b, at, fp, n)
+                    for f, i, k, row, s, e in zip(fp.view(np.int64).tolist(), at.tolist(), c.tolist(), b.row[at].tolist(),
+                                                  b.start[at].tolist(), b.end[at + n - 1].tolist(), strict=True):
+                        key = (f, langs[row], n, raw[s:e])
                         found[key] = found.get(key, 0) + k
+                no += 1
                 if len(found) > hold:
                     yield rows(found)
                     found = {}
@@ -258,8 +323,8 @@ def _materialise(words: int, filters, block: int, hold: int):
     return run
 
 
-def _bitmap(counts: DataFrame, min_count: int, bits: int) -> bytes:
-    """A bit for every fingerprint with ``min_count`` occurrences."""
+def _bitmap(bits_of: DataFrame, bits: int) -> bytes:
+    """A bit for every ``fp`` of the table."""
     chunk_bits = min(bits, 1 << 15)
     bit = F.col("fp").bitwiseAND(F.lit(bits - 1))
 
@@ -269,33 +334,70 @@ def _bitmap(counts: DataFrame, min_count: int, bits: int) -> bytes:
         got[pdf["bit"].to_numpy() % chunk_bits] = 1
         return pd.DataFrame({"chunk": [int(pdf["bit"].iloc[0]) // chunk_bits],
                              "data": [np.packbits(got, bitorder="little").tobytes()]})
-    frequent = counts.groupBy("fp").agg(F.sum("c").alias("c")).filter(F.col("c") >= min_count)
-    rows = frequent.select(bit.alias("bit")).withColumn("chunk", F.floor(F.col("bit") / chunk_bits)) \
+    rows = bits_of.select(bit.alias("bit")).withColumn("chunk", F.floor(F.col("bit") / chunk_bits)) \
         .groupBy("chunk").applyInPandas(chunk, "chunk long, data binary").collect()
     out = np.zeros(bits // 8, np.uint8)
     for r in rows:
         out[r["chunk"] * chunk_bits // 8:(r["chunk"] + 1) * chunk_bits // 8] = np.frombuffer(r["data"], np.uint8)
-    return out.tobytes()
+    return zlib.compress(out.tobytes(), 1)      # mostly zeros as long as few bits are set
+
+
+def _owner_bits(frequent: DataFrame) -> DataFrame:
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            fp = np.asarray(batch.column(0)).view(np.uint64)
+            at = np.asarray(batch.column(1)).astype(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(_mix(fp ^ _mix(at)).view(np.int64))], ["fp"])
+    return frequent.select("fp", "at").mapInArrow(run, "fp long")
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", words: int = 3, min_count: int = 10,
-                  filter_bits: int = 1 << 27, block: int = 4 << 20, hold: int = 2 << 20) -> DataFrame:
+                  filter_bits: int = 1 << 27, block: int = 1 << 20, hold: int = 1 << 20,
+                  fp_bits: int = 64) -> DataFrame:
     """(lang, n, phrase, c) of all phrases of up to ``words`` words that occur
     ``min_count`` times in their language, and with n = 0 the number of all words
-    of each language.  ``filter_bits`` is a power of two; a filter of an eighth of
-    as many bytes goes to every task for each n."""
+    of each language.  ``filter_bits`` is a power of two; three filters of an eighth of
+    as many bytes (compressed on the way) go to every task for each n."""
     spark = docs.sparkSession
+    ship_package(spark)
+    give = spark.sparkContext.broadcast
     name = F.coalesce(F.col(lang).cast("string"), F.lit("und"))
     src = docs.select(name.alias("lang"), F.xxhash64(name).alias("seed"), text_of(F.col(text)).alias("text"))
-    filters: list[bytes] = []
+    filters, owners, torn = [], [], []
+    tables = None
     for n in range(1, words + 1):
-        given = spark.sparkContext.broadcast(filters) if filters else None
-        counts = src.mapInArrow(_count(n, given, block, hold), "fp long, c long")
-        filters.append(_bitmap(counts, min_count, filter_bits))
-    given = spark.sparkContext.broadcast(filters)
-    found = src.mapInArrow(_materialise(words, given, block, hold // 4), "lang string, n int, phrase binary, c long")
-    total = found.groupBy("lang", "n", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("c").alias("c"))
-    return materialize(total.filter((F.col("c") >= min_count) | (F.col("n") == 0)), "phrases")
+        # summed per task already: shuffled as they are, summed once behind the shuffle
+        given = give(filters) if filters else None
+        counts = src.mapInArrow(_count(n, given, block, hold, fp_bits),
+                                "fp long, v long, k int").repartition("fp")
+        frequent = counts.groupBy("fp").agg(
+            F.sum(F.col("v").bitwiseAND(F.lit((1 << COUNT) - 1))).alias("c"), F.min(F.shiftright("v", COUNT)).alias("at"),
+            (F.min("k") != F.max("k")).alias("torn")).filter(F.col("c") >= min_count)
+        frequent = materialize(frequent, "frequent")
+        if given:
+            given.destroy()
+        filters.append(_bitmap(frequent, filter_bits))
+        owners.append(_bitmap(_owner_bits(frequent), filter_bits))
+        torn.append(_bitmap(frequent.filter("torn"), min(filter_bits, 1 << 20)))     # hardly any
+        own = frequent.select("fp", F.lit(n).alias("n"), "c", "torn")
+        tables = own if tables is None else tables.unionByName(own)
+
+    def read(owners):
+        return materialize(src.mapInArrow(_materialise(words, give(filters), owners, give(torn), block, hold // 2, fp_bits),
+                                          "fp long, lang string, n int, phrase binary, c long"), "texts")
+    texts = read(give(owners))
+    several = texts.filter("n > 0").join(tables.filter("not torn"), ["fp", "n"]).groupBy("fp", "n") \
+        .agg(F.count_distinct("lang", "phrase").alias("texts")).filter("texts > 1")
+    if tables.join(texts, ["fp", "n"], "left_anti").limit(1).count() or several.limit(1).count():
+        texts = read(None)
+        tables = tables.withColumn("torn", F.lit(True))
+    texts = texts.withColumn("phrase", F.col("phrase").cast("string"))
+    totals = texts.filter("n = 0").groupBy("lang", "n", "phrase").agg(F.sum("c").alias("c"))
+    found = texts.filter("n > 0").withColumnRenamed("c", "seen").join(tables, ["fp", "n"])
+    whole = found.filter("not torn").select("lang", "n", "phrase", "c").distinct()
+    apart = found.filter("torn").groupBy("lang", "n", "phrase").agg(F.sum("seen").alias("c")).filter(F.col("c") >= min_count)
+    return materialize(totals.unionByName(whole).unionByName(apart), "phrases")
 
 
 def _part(words: Column, first, n) -> Column:

@@ -70,11 +70,24 @@ def test_empty(spark, empty):
     assert run(spark, [("en", None), (None, "")]) == []
 
 
+def test_collisions_between_blocks_are_told_apart_by_text(spark):
+    """First fingerprints of 7 bits: nearly all collide, in a block and between blocks."""
+    rows = corpus()
+    assert run(spark, rows, min_count=10, block=300, fp_bits=7) == brute(rows, 3, 10, 40, 50)
+
+
+def test_lost_pointers_fall_back_to_all_texts(spark, monkeypatch):
+    rows = corpus()
+    real = P._owner_bits
+    monkeypatch.setattr(P, "_owner_bits", lambda t: real(t.withColumn("at", P.F.lit(99).cast("long"))))
+    assert run(spark, rows, min_count=10, filter_bits=1 << 16) == brute(rows, 3, 10, 40, 50)
+
+
 def test_colliding_fingerprints_are_told_apart():
     text = b"ab cd ab cd xy zz ab"
     b = P.Block(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     b.row_key = np.zeros(1, np.int32)
-    at, c = P.read_phrases(b, np.arange(7), np.full(7, 5, np.uint64), 1)
+    at, c, _ = P.read_phrases(b, np.arange(7), np.full(7, 5, np.uint64), 1)
     got = {b.text[b.start[i]:b.end[i]].tobytes(): k for i, k in zip(at.tolist(), c.tolist(), strict=True)}
     assert got == {b"ab": 3, b"cd": 2, b"xy": 1, b"zz": 1}
 
