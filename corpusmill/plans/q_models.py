@@ -111,9 +111,11 @@ def svm_metrics(spark, sf_dir):
     out = None
     for level in (1, 2, 3):
         p = preds.filter(F.col("level") == level)
-        row = M.prf_micro(p).select("precision_micro", "recall_micro", "f1_micro") \
-            .join(M.coverage_error(p, p.select(F.countDistinct("doc_id")).scalar())) \
-            .join(M.topn_share(p)).withColumn("level", F.lit(level))
+        parts = [M.prf_micro(p).select("precision_micro", "recall_micro", "f1_micro"),
+                 M.coverage_error(p, p.select(F.countDistinct("doc_id")).scalar()), M.topn_share(p)]
+        row, *more = [x.withColumn("level", F.lit(level)) for x in parts]      # one row each
+        for x in more:
+            row = row.join(x, "level")
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -245,14 +247,14 @@ def row_blocks(spark, sf_dir):
 
 @query("row_block_sink", f"""
 WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice,
-           row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS row_idx FROM lineitem)
+           row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_quantity, l_extendedprice) - 1 AS row_idx FROM lineitem)
 SELECT row_idx, l_orderkey, l_linenumber, l_quantity, l_extendedprice, CAST(floor(row_idx / {BLOCK_ROWS}) AS INTEGER) AS block
 FROM r WHERE floor(row_idx / {BLOCK_ROWS}) = (SELECT floor((count(*) - 1) / {BLOCK_ROWS}) FROM lineitem)""")
 def row_block_sink(spark, sf_dir):
     """Lineitem rows with payload written by block and the last block read back from its own folder."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/corpusmill-blocks-{uuid.uuid4().hex}"
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    io.write_row_blocks(li, [F.asc("l_orderkey"), F.asc("l_linenumber")], path, BLOCK_ROWS)
+    io.write_row_blocks(li, [F.asc(c) for c in li.columns], path, BLOCK_ROWS)
     last = spark.read.parquet(path).agg(F.max("block")).first()[0]
     return io.read_row_blocks(spark, path, last or 0).select(
         "row_idx", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "block")

@@ -381,6 +381,11 @@ def context_pairs(spark, sf_dir):
         .agg(F.count(F.lit(1)).alias("n"))
 
 
+def _at_least(offset: int):
+    """Of one argument only: a second one would be the element's index."""
+    return lambda p: p["b"] >= offset
+
+
 # The window of a target, 1 to CONTEXT_WINDOW, drawn by a hash of its document and position.
 REDUCED_SQL = q.md5_hash(7, "doc_id", "i")
 
@@ -409,7 +414,7 @@ def context_pairs_reduced(spark, sf_dir):
         head, tail = F.slice(toks, 1, m), F.slice(toks, 1 + o, m)
         for a, b in ((head, tail), (tail, head)):
             pairs = F.zip_with(a, b, lambda x, y: F.struct(x["word"].alias("target"), y["word"].alias("context"), x["b"].alias("b")))
-            parts.append(F.filter(pairs, lambda p, o=o: p["b"] >= o))
+            parts.append(F.filter(pairs, _at_least(o)))
     e = t.select(F.explode(F.concat(*parts)).alias("p"))
     return e.groupBy(F.col("p.target").alias("target"), F.col("p.context").alias("context")) \
         .agg(F.count(F.lit(1)).alias("n"))
@@ -459,7 +464,8 @@ def tokens_nodigits_stemmed(spark, sf_dir):
 def incremental_doc_freq(spark, sf_dir):
     """2.13: the documents' files ingested by a stream, one file an epoch, compacted, and df read from the sums."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/corpusmill-ingest-{uuid.uuid4().hex}"
-    Inc.start_ingest(spark, os.path.join(sf_dir, "documents.parquet"), f"{base}/index", f"{base}/checkpoint",
+    # a pattern, so that the table may be one file or a folder
+    Inc.start_ingest(spark, os.path.join(sf_dir, "documents.parque[t]"), f"{base}/index", f"{base}/checkpoint",
                      max_files=1).awaitTermination()
     Inc.compact(spark, f"{base}/index")
     return Inc.read_df(spark, f"{base}/index")
