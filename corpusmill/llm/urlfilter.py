@@ -11,8 +11,8 @@ that accept it in sequence: exact for every key of the universe, with no join.
 
 Each level's bits are one array of longs (a scalar subquery in the probing
 plan).  Their number follows from the number of keys that a level encodes, so
-the size is known before the first bit is set; above ``max_filter_bytes`` the
-membership is answered by a hash join with the listed keys instead.
+the size is known before the first bit is set.  Keys are dealt by a hash to as many parts as keep a
+part's cascade within ``max_filter_bytes``; each part has a cascade of its own, and its rows are judged by it alone.
 
 Defined cases: null url or url without ``://``: host and path are empty and
 the key is empty.  Repeated pages are each judged.  Null keys are never
@@ -73,25 +73,25 @@ def _accepts(key: Column, words: Column, level: int, hashes: int, bits: int) ->
     return ok
 
 
-def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = 1 / 256,
-                  rate: float = 1 / 16, max_filter_bytes: int = 64 << 20):
+def filter_bytes(n: int, first_rate: float = 1 / 256) -> int:
+    """About the size of a cascade over ``n`` listed keys: the first level and as much again for all later ones."""
+    return 2 * math.ceil(n * max(1, round(-math.log2(first_rate))) / math.log(2) / 8)
+
+
+def build_cascade(listed: DataFrame, universe: DataFrame, first_rate: float = 1 / 256, rate: float = 1 / 16):
     """Levels ``(level, hashes, bits, words DataFrame of one array)`` over the
-    distinct keys (column ``key``) of ``listed`` and ``universe``; None when
-    the filter would exceed ``max_filter_bytes``."""
+    distinct keys (column ``key``) of ``listed`` and ``universe``."""
     spark = listed.sparkSession
     inside = materialize(listed.filter("key is not null").select("key").distinct(), "listed")
     outside = universe.filter("key is not null").select("key").distinct() \
         .join(inside, "key", "left_anti")
-    levels, used, level = [], 0, 1
+    levels, level = [], 1
     encode, other = inside, outside
     n = encode.count()
     while n:
         p = first_rate if level == 1 else rate
         hashes = max(1, round(-math.log2(p)))
         bits = 64 * max(1, math.ceil(n * hashes / math.log(2) / 64))
-        used += bits // 8
-        if used > max_filter_bytes:
-            return None
         at = encode.select(F.explode(F.array(*_positions(F.col("key"), level, hashes, bits))).alias("p"))
         words = at.groupBy(F.shiftrightunsigned("p", 6).alias("id")).agg(F.bit_or(F.expr(
             "shiftleft(1L, cast(p & 63 as int))")).alias("w"))
@@ -121,7 +121,9 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", rules=
                max_filter_bytes: int = 64 << 20) -> DataFrame:
     """``pages`` plus host, path, rule and verdict.
 
-    ``listed`` has one column ``key`` of blocked ``host + path`` keys."""
+    ``listed`` has one column ``key`` of blocked ``host + path`` keys.  Keys are dealt by a hash to as many parts as keep
+    a part's cascade within about ``max_filter_bytes``; with more than one, the rows are written by part, and
+    each part is judged by a cascade of its own, so no task holds more than one part's filter."""
     base = pages.drop(*[c for c in pages.columns
                         if c.lower() in ("host", "path", "rule", "verdict") and c != url_col])
     u = F.col(url_col)
@@ -129,17 +131,25 @@ def judge_urls(pages: DataFrame, listed: DataFrame, url_col: str = "url", rules=
         else base.withColumnRenamed(url_col, "_url").withColumns({"host": host_of(F.col("_url")),
                                                                   "path": path_of(F.col("_url"))})
     key = F.concat("host", "path")
-    levels = build_cascade(listed, base.select(key.alias("key")), max_filter_bytes=max_filter_bytes)
-    rule, action = rule_verdicts(F.col("host"), F.col("path"), rules)
-    if levels is None:
-        (k, hit) = fresh(base, "_key", "_hit")
-        known = listed.filter("key is not null").select(F.col("key").alias(k)).distinct() \
-            .withColumn(hit, F.lit(True))
-        base = base.withColumn(k, key).join(known, k, "left")
-        blocked = F.coalesce(F.col(hit), F.lit(False))
-    else:
-        k, hit = None, None
-        blocked = listed_by_cascade(key, levels)
-    out = base.withColumns({"rule": rule, "verdict": F.coalesce(
-        action, F.when(blocked, F.lit("block")).otherwise(F.lit("allow")))})
-    return out.drop(k, hit) if k else out
+    listed = listed.filter("key is not null").select("key").distinct()
+
+    def judged(rows: DataFrame, mine: DataFrame) -> DataFrame:
+        levels = build_cascade(mine, rows.select(key.alias("key")))
+        rule, action = rule_verdicts(F.col("host"), F.col("path"), rules)
+        return rows.withColumns({"rule": rule, "verdict": F.coalesce(action, F.when(
+            listed_by_cascade(key, levels), F.lit("block")).otherwise(F.lit("allow")))})
+    listed = materialize(listed, "listed-keys")
+    parts = max(1, math.ceil(filter_bytes(listed.count()) / max_filter_bytes))
+    if parts == 1:
+        return judged(base, listed)
+    (part,) = fresh(base, "_part")
+
+    def part_of(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c, F.lit(0)), F.lit(parts)).cast("int")
+    base = materialize(base.withColumn(part, part_of(key)), "url-parts", partition_by=part)
+    listed = listed.withColumn("part", part_of(F.col("key")))
+    out = None
+    for i in range(parts):
+        got = judged(base.filter(F.col(part) == i), listed.filter(F.col("part") == i).drop("part")).drop(part)
+        out = got if out is None else out.unionByName(got)
+    return out
