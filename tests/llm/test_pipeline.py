@@ -46,3 +46,19 @@ def test_stages(spark):
 
 def test_run_is_its_stages(spark):
     assert corpus_pipeline.run(spark, SF_SMALL).columns == ["doc_id", "ids", "decoded"]
+
+
+def test_empty_and_odd_documents(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, kept boolean"
+    prose = " ".join(f"word{i % 97} and{i}" for i in range(60)) + "."
+    rows = [(1, None, "en", "a", 0), (2, "", "en", None, 0), (None, prose, None, None, None), (4, prose, "en", "a", 5),
+            (4, prose, "en", "a", 5), (5, prose[::-1], "en", "a", 5)]
+    for name, part in (("none", []), ("odd", rows)):
+        at = str(tmp_path / name)
+        spark.createDataFrame([(*r, "x", True) for r in part], schema).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, None), (2, "not in there at all")], "item_id long, text string") \
+            .write.parquet(f"{at}/benchmark.parquet")
+        out = corpus_pipeline.run(spark, at).collect()
+        assert [r["doc_id"] for r in sorted(out, key=lambda r: r["doc_id"] or 0)] == ([None, 5] if part else [])
+        if part:
+            assert out[0]["decoded"] and {r["decoded"] for r in out} == {prose, prose[::-1]}
