@@ -6,7 +6,7 @@ from tests.conftest import SF_SMALL
 from corpusmill.plans import load_all
 
 QUERIES = load_all()[0]
-SKIP = {"svm_margins", "svm_training_error", "svm_coverage_error", "lda_topics", "word2vec_docs", "bisecting_kmeans",
+SKIP = {"svm_margins", "svm_training_error", "svm_coverage_error", "svm_metrics", "lda_topics", "word2vec_docs", "bisecting_kmeans",
         "part_sequences", "split_repair_multilabel", "split_repair_leftovers"}  # these run jobs inside the call
 
 
