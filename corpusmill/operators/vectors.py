@@ -121,7 +121,86 @@ def close_pairs(ids_a, a: np.ndarray, ids_b, b: np.ndarray, t: float):
     return i[ok], j[ok], dist[ok]
 
 
-def _pairs(t: float):
+def least_forest(a: np.ndarray, b: np.ndarray, dist: np.ndarray) -> np.ndarray:
+    """Which of the edges are in their minimum spanning forest, by distance, then ends: Boruvka rounds on arrays."""
+    order = np.lexsort((b, a, dist))
+    names, ends = np.unique(np.concatenate([a[order], b[order]]), return_inverse=True)
+    u, v = ends[:len(a)], ends[len(a):]
+    every, keep, left = np.arange(len(names)), np.zeros(len(a), bool), np.arange(len(a))
+    root = every
+    while True:
+        apart = root[u[left]] != root[v[left]]
+        left = left[apart]
+        if not len(left):
+            return keep
+        best = np.full(len(names), len(a))
+        for side in (u, v):
+            np.minimum.at(best, root[side[left]], left)
+        has = np.flatnonzero(best < len(a))
+        edge = best[has]
+        keep[order[edge]] = True
+        parent = every.copy()
+        parent[has] = np.where(root[u[edge]] == has, root[v[edge]], root[u[edge]])
+        parent = np.where((parent[parent] == every) & (every < parent), every, parent)     # the only cycles have two nodes
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        root = parent[root]
+
+
+def _nearest(ends: np.ndarray, dist: np.ndarray, k: int) -> np.ndarray:
+    """Which edges are among the ``k`` least of their end, or as near as rounding of a cosine to six digits may hide."""
+    order = np.lexsort((dist, ends))
+    e, d = ends[order], dist[order]
+    first = np.flatnonzero(np.r_[True, e[1:] != e[:-1]])
+    size = np.diff(np.r_[first, len(e)])
+    ok = np.empty(len(e), bool)
+    ok[order] = d * d <= np.repeat(d[first + np.minimum(size, k) - 1] ** 2, size) + 4e-6
+    return ok
+
+
+def forest_only(a, b, dist):
+    """Of a group's pairs the edges of its own minimum spanning forest: those of all groups have the forest and the
+    components of all pairs."""
+    return least_forest(a, b, dist)
+
+
+def nearest_only(k: int):
+    """Of a group's pairs those that are among the k nearest of either end in the group."""
+    def keep(a, b, dist):
+        return _nearest(a, dist, k) | _nearest(b, dist, k) if len(a) else np.zeros(0, bool)
+    return keep
+
+
+MEETING = 1024      # rows a side of one product
+HELD = 1 << 20      # pairs of a group that are held before the keeper sorts some out
+
+
+def _met(ids_a, a, ids_b, b, t: float, keeper):
+    """(index in a, index in b, distance) of a group's pairs, product after product; all at once and only those that
+    ``keeper`` keeps, if there is one."""
+    held = [np.zeros(0, int), np.zeros(0, int), np.zeros(0)]
+    new: list = []
+    for at in range(0, len(a), MEETING):
+        for to in range(0, len(b), MEETING):
+            i, j, d = close_pairs(ids_a[at:at + MEETING], a[at:at + MEETING], ids_b[to:to + MEETING], b[to:to + MEETING], t)
+            if not keeper:
+                yield i + at, j + to, d
+                continue
+            new.append((i + at, j + to, d))
+            if sum(len(x[2]) for x in new) >= HELD:
+                held = _kept(ids_a, ids_b, held, new, keeper)
+                new = []
+    if keeper:
+        yield _kept(ids_a, ids_b, held, new, keeper)
+
+
+def _kept(ids_a, ids_b, held, new, keeper):
+    i, j, d = (np.concatenate([x, *(n[c] for n in new)]) for c, x in enumerate(held))
+    ok = keeper(ids_a[i], ids_b[j], d)
+    return [i[ok], j[ok], d[ok]]
+
+
+def _pairs(t: float, keeper=None):
     """Pairs of each group of adjacent rows with equal (cell, lo, hi)."""
     def run(batches):
         import pyarrow as pa
@@ -133,12 +212,13 @@ def _pairs(t: float):
             for side in (False, True):
                 parts = held.get(side)
                 if not parts:
-                    return None
+                    return
                 sides.append((pa.concat_arrays([p[0] for p in parts]), np.concatenate([p[1] for p in parts])))
             (ids_a, a), (ids_b, b) = sides
-            i, j, d = close_pairs(ids_a.to_numpy(zero_copy_only=False), a, ids_b.to_numpy(zero_copy_only=False), b, t)
-            return pa.RecordBatch.from_arrays([ids_a.take(pa.array(i)), ids_b.take(pa.array(j)), pa.array(d)],
-                                              ["a", "b", "dist"])
+            numbers = [ids.to_numpy(zero_copy_only=False) for ids in (ids_a, ids_b)]
+            for i, j, d in _met(numbers[0], a, numbers[1], b, t, keeper):
+                yield pa.RecordBatch.from_arrays([ids_a.take(pa.array(i)), ids_b.take(pa.array(j)), pa.array(d)],
+                                                 ["a", "b", "dist"])
         for batch in batches:
             keys = np.stack([np.asarray(batch.column(c)) for c in range(4)], axis=1).astype(np.int64)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
@@ -147,29 +227,33 @@ def _pairs(t: float):
                     continue
                 mine = tuple(keys[lo, :3].tolist())
                 if key is not None and mine != key:
-                    if (got := close()) is not None:
-                        yield got
+                    yield from close()
                     held = {}
                 key = mine
                 part = batch.slice(lo, hi - lo)
                 held.setdefault(bool(keys[lo, 3]), []).append((part.column(4), _matrix(part.column(5))))
-        if key is not None and (got := close()) is not None:
-            yield got
+        if key is not None:
+            yield from close()
     return run
 
 
-def epsilon_pairs(vecs: DataFrame, t: float, sample: int = 4096, block: int = 1024) -> DataFrame:
+def epsilon_pairs(vecs: DataFrame, t: float, sample: int = 4096, block: int | None = None, keeper=None) -> DataFrame:
     """C4: every pair (a < b) with euclidean distance <= t, exactly once,
-    with its distance.  ``vecs`` has (id, v array<double>) of one length, without nulls."""
+    with its distance.  ``vecs`` has (id, v array<double>) of one length, without nulls.
+
+    A cell has at most 16 blocks of a side up to a million vectors, so that each vector is shuffled a bounded number of times;
+    ``block`` sets their rows.  With a ``keeper`` (:func:`forest_only`, :func:`nearest_only`) each group of blocks
+    returns the pairs that it keeps."""
     spark = vecs.sparkSession
     ship_package(spark)
     kind = vecs.schema["id"].dataType.simpleString()
     n = vecs.count()
     if n < 2:
         return vecs.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("dist")).limit(0)
+    block = block or min(max(MEETING, -(-n // 16)), 1 << 16)
     cells = spark.sparkContext.broadcast(choose_cells(_sample(vecs, n, sample), n, t))
     placed = materialize(vecs.select("id", "v").mapInArrow(
-        _placed(cells, t, block), f"id {kind}, v array<double>, cell int, home boolean"), "cells")
+        _placed(cells, t, MEETING), f"id {kind}, v array<double>, cell int, home boolean"), "cells")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count_if("home") / block).alias("b"), F.ceil(F.count("id") / block).alias("a"))
     both = placed.join(F.broadcast(sizes), "cell")      # a row per cell: at most ``most`` of them
     number = F.xxhash64("id")
@@ -183,7 +267,7 @@ def epsilon_pairs(vecs: DataFrame, t: float, sample: int = 4096, block: int = 10
     rows = side(both, "a", "b", False).unionByName(side(both.filter("home"), "b", "a", True))
     keys = ["cell", "lo", "hi"]
     return rows.repartition(*keys).sortWithinPartitions(*keys, "side").mapInArrow(
-        _pairs(t), f"a {kind}, b {kind}, dist double")
+        _pairs(t, keeper), f"a {kind}, b {kind}, dist double")
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -231,7 +315,7 @@ def cosine_neighbours(vecs: DataFrame, min_cos: float, k: int) -> DataFrame:
     sphere: cos >= c  <=>  |a - b| <= sqrt(2 - 2c))."""
     unit = vecs.select("id", normalize(F.col("v")).alias("v"))
     t = (2.0 - 2.0 * min_cos) ** 0.5
-    pairs = epsilon_pairs(unit, t).withColumn("cos", F.lit(1.0) - F.col("dist") * F.col("dist") / 2.0)
+    pairs = epsilon_pairs(unit, t, keeper=nearest_only(k)).withColumn("cos", F.lit(1.0) - F.col("dist") * F.col("dist") / 2.0)
     both = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "cos").unionByName(
         pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "cos"))
     both = both.withColumn("cos", F.round("cos", 6))

@@ -36,9 +36,14 @@ reach AS (SELECT * FROM (WITH RECURSIVE r(src, dst) AS (
 comp AS (SELECT src AS id, min(dst) AS cluster FROM reach GROUP BY src)"""
 
 
-def _edges(spark, sf_dir):
+def _edges(spark, sf_dir, keeper=None):
     vecs = fx.vectors(spark, sf_dir)
-    return vecs, V.epsilon_pairs(vecs.select("id", "v"), LINK_DISTANCE)
+    return vecs, V.epsilon_pairs(vecs.select("id", "v"), LINK_DISTANCE, keeper=keeper)
+
+
+def _forest_edges(spark, sf_dir):
+    """The vectors and, of all pairs, enough to have the components at every distance."""
+    return _edges(spark, sf_dir, V.forest_only)
 
 
 @query("pair_distances", f"WITH {PAIRS_SQL} SELECT a, b, round(dist, 6) AS dist FROM edges")
@@ -50,7 +55,7 @@ def pair_distances(spark, sf_dir):
 @query("single_link", f"WITH {COMPONENTS_SQL} SELECT id, cluster FROM comp")
 def single_link(spark, sf_dir):
     """Single-link clusters cut at the link distance."""
-    vecs, edges = _edges(spark, sf_dir)
+    vecs, edges = _forest_edges(spark, sf_dir)
     return V.connected_components(vecs.select("id"), edges)
 
 
@@ -64,7 +69,7 @@ reach AS (SELECT t, id AS src, id AS dst FROM vecs, ts
 SELECT t, src AS id, min(dst) AS cluster FROM reach GROUP BY t, src""")
 def single_link_cuts(spark, sf_dir):
     """The dendrogram (spanning forest up to the link distance) cut at three distances."""
-    vecs, edges = _edges(spark, sf_dir)
+    vecs, edges = _forest_edges(spark, sf_dir)
     forest = materialize(V.spanning_forest(edges), "forest")
     return V.cuts(vecs.select("id"), forest, CUTS)
 
@@ -75,7 +80,7 @@ WHERE c.cluster IN (SELECT cluster FROM comp GROUP BY cluster HAVING count(*) >
 GROUP BY c.cluster, v.label""")
 def cluster_profile(spark, sf_dir):
     """Label counts of every non-singleton cluster."""
-    vecs, edges = _edges(spark, sf_dir)
+    vecs, edges = _forest_edges(spark, sf_dir)
     comp = V.connected_components(vecs.select("id"), edges)
     multi = comp.groupBy("cluster").count().filter(F.col("count") > 1).select("cluster")
     return (comp.join(multi, "cluster", "left_semi").join(vecs.select("id", "label"), "id")
