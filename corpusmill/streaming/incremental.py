@@ -48,7 +48,9 @@ def add_batch(batch: DataFrame, epoch: int, index_path: str) -> None:
     if epoch <= generation(spark, index_path)["covered"] or epoch in committed(spark, index_path):
         return
     folder = f"{index_path}/epochs/{epoch}"
-    build_postings(batch.select("doc_id", "text")).write.mode("overwrite").parquet(f"{folder}/postings")
+    # dealt by document, so that the texts are shuffled and not the postings
+    docs = batch.select("doc_id", "text").repartition(2 * spark.sparkContext.defaultParallelism, "doc_id")
+    build_postings(docs).write.mode("overwrite").parquet(f"{folder}/postings")
     post = spark.read.schema(POSTINGS).parquet(f"{folder}/postings")
     doc_freq(post).write.mode("overwrite").parquet(f"{folder}/df")
     write_once(spark, f"{index_path}/commits/{epoch}", {"epoch": epoch})
