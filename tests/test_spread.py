@@ -62,3 +62,34 @@ def test_training_tasks_and_topic_blocks_do_not_grow_with_the_documents(spark):
     assert len(training.select(F.input_file_name()).distinct().collect()) <= 2 * cores
     blocks, n = Tp.in_blocks(entries, rows=2)
     assert n == cores and blocks.count() == 300 and blocks.filter(f"block >= {n}").count() == 0
+
+
+def test_tasks_grow_with_the_bytes_of_the_table(spark, tmp_path, monkeypatch):
+    rows = [(i, f"alpha beta word{i} alpha") for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/a b/documents.parquet")
+    docs = fx.documents(spark, f"{tmp_path}/a b")
+    assert fx.parts(docs) == 2 * spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(fx, "PART_BYTES", 512)
+    n = fx.parts(docs)
+    assert n > 16 and fx.corpus(spark, f"{tmp_path}/a b").rdd.getNumPartitions() == n
+
+
+def test_doc_freq_is_the_same_in_any_number_of_tasks(spark):
+    post = spark.createDataFrame([(f"t{i % 5}", i) for i in range(23)] + [("t0", None)], "term string, doc_id long")
+    want = sorted(map(tuple, P.doc_freq(post).collect()))
+    assert want[0] == ("t0", 6) and sorted(map(tuple, P.doc_freq(post, 7).collect())) == want
+    plan = P.doc_freq(post, 7)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_frequent_terms_need_no_join_of_the_postings(spark, tmp_path, monkeypatch):
+    """min_df_terms and chi_old read the term counts alone."""
+    from corpusmill.plans import q_text as QT
+    made = []
+    real = QT.stored
+    monkeypatch.setattr(QT, "stored", lambda s, d, name, *a, **k: made.append(name) or real(s, d, name, *a, **k))
+    rows = [(i, "alpha beta") for i in range(8)] + [(8, "gamma"), (None, "alpha")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["term"]: r["df"] for r in QT.min_df_terms(spark, str(tmp_path)).collect()}
+    assert got == {"alpha": 9, "beta": 8, "alpha beta": 8} and "frequent-postings" not in made
+    assert QT.index_stats(spark, str(tmp_path))[5].count() == 25 and "frequent-postings" in made
