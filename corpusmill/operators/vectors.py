@@ -239,21 +239,22 @@ def _pairs(t: float, keeper=None):
 
 def epsilon_pairs(vecs: DataFrame, t: float, sample: int = 4096, block: int | None = None, keeper=None) -> DataFrame:
     """C4: every pair (a < b) with euclidean distance <= t, exactly once,
-    with its distance.  ``vecs`` has (id, v array<double>) of one length, without nulls.
+    with its distance.  ``vecs`` has (id, v array<double> or array<float>) of one length, without nulls; four-byte
+    components are shuffled as such and computed as eight-byte ones.
 
-    A cell has at most 16 blocks of a side up to a million vectors, so that each vector is shuffled a bounded number of times;
+    A cell has at most 16 blocks of a side up to two million vectors, so that each vector is shuffled a bounded number of times;
     ``block`` sets their rows.  With a ``keeper`` (:func:`forest_only`, :func:`nearest_only`) each group of blocks
     returns the pairs that it keeps."""
     spark = vecs.sparkSession
     ship_package(spark)
-    kind = vecs.schema["id"].dataType.simpleString()
+    kind, numbers = (vecs.schema[c].dataType.simpleString() for c in ("id", "v"))
     n = vecs.count()
     if n < 2:
         return vecs.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("dist")).limit(0)
-    block = block or min(max(MEETING, -(-n // 16)), 1 << 16)
+    block = block or min(max(MEETING, -(-n // 16)), 1 << 17)
     cells = spark.sparkContext.broadcast(choose_cells(_sample(vecs, n, sample), n, t))
     placed = materialize(vecs.select("id", "v").mapInArrow(
-        _placed(cells, t, MEETING), f"id {kind}, v array<double>, cell int, home boolean"), "cells")
+        _placed(cells, t, MEETING), f"id {kind}, v {numbers}, cell int, home boolean"), "cells")
     sizes = placed.groupBy("cell").agg(F.ceil(F.count_if("home") / block).alias("b"), F.ceil(F.count("id") / block).alias("a"))
     both = placed.join(F.broadcast(sizes), "cell")      # a row per cell: at most ``most`` of them
     number = F.xxhash64("id")

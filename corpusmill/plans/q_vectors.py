@@ -37,8 +37,12 @@ comp AS (SELECT src AS id, min(dst) AS cluster FROM reach GROUP BY src)"""
 
 
 def _edges(spark, sf_dir, keeper=None):
+    # the components as they are stored: half the bytes to shuffle, if they are four-byte ones
     vecs = fx.vectors(spark, sf_dir)
-    return vecs, V.epsilon_pairs(vecs.select("id", "v"), LINK_DISTANCE, keeper=keeper)
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    if own.schema["v"].dataType.simpleString() != "array<float>":
+        own = vecs.select("id", "v")
+    return vecs, V.epsilon_pairs(own, LINK_DISTANCE, keeper=keeper)
 
 
 def _forest_edges(spark, sf_dir):

@@ -100,3 +100,24 @@ def test_spanning_forest_and_cuts_equal_union_find(spark, seed):
 
 def test_forest_of_no_edges(spark):
     assert V.spanning_forest(spark.createDataFrame([], "a long, b long, dist double")).collect() == []
+
+
+def test_four_byte_components_give_the_pairs_of_their_eight_byte_values(spark):
+    x = clustered().astype(np.float32)
+    large = frame(spark, x.astype(float))
+    small = large.selectExpr("id", "cast(v as array<float>) v")
+    a, b = (V.epsilon_pairs(d, 0.25, block=64) for d in (large, small))
+    assert "array<float>" in [f.dataType.simpleString() for f in small.schema]
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_stored_components_are_shuffled_as_they_are(spark, tmp_path, monkeypatch):
+    from corpusmill.plans import q_vectors as QV
+    seen = []
+    real = V.epsilon_pairs
+    monkeypatch.setattr(V, "epsilon_pairs", lambda d, *a, **k: seen.append(d.schema["v"].dataType.simpleString()) or real(d, *a, **k))
+    for kind in ("float", "double"):
+        rows = spark.createDataFrame([(i, [float(i == j) for j in range(4)], 0) for i in range(4)], f"vec_id long, embedding array<{kind}>, label int")
+        rows.write.parquet(f"{tmp_path}/{kind}/embeddings.parquet")
+        assert QV.single_link(spark, f"{tmp_path}/{kind}").count() == 4
+    assert seen == ["array<float>", "array<double>"]
