@@ -38,6 +38,8 @@ import re
 import tempfile
 import uuid
 import zlib
+from collections import defaultdict
+from itertools import count, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -47,6 +49,7 @@ from corpusmill.session import checkpoint_dir, materialize
 
 END = b"\n"               # the end token; no word holds a newline
 CODE_STEP = 12 / 65535    # log10 probabilities from 0 down to -12
+PROBABILITY = 10.0 ** (np.arange(65536) * -CODE_STEP)     # by code
 
 
 # ---- Elias-Fano -----------------------------------------------------------
@@ -89,6 +92,24 @@ def ef_build(values: np.ndarray, universe: int) -> dict:
             "high": unary, "zeros": zeros.astype(np.uint32 if len(unary) < 1 << 26 else np.int64)}
 
 
+_BYTES = np.uint64(0x0101010101010101)
+_TOPS = np.uint64(0x8080808080808080)
+#: Position of the k-th set bit of each byte.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint8).ravel()
+
+
+def _select(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Position of the r-th set bit (from 0) of each word: its byte by the running counts of bytes, then a table."""
+    s = x - ((x >> np.uint64(1)) & np.uint64(0x5555555555555555))
+    s = (s & np.uint64(0x3333333333333333)) + ((s >> np.uint64(2)) & np.uint64(0x3333333333333333))
+    s = ((s + (s >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _BYTES     # byte i: set bits of bytes 0 to i
+    full = (((r * _BYTES) | _TOPS) - s) & _TOPS                                     # bytes whose count is at most r
+    place = np.minimum(np.bitwise_count(full), 7).astype(np.uint64) * np.uint64(8)
+    within = r - ((s << np.uint64(8)) >> place & np.uint64(0xFF))
+    byte = (x >> place) & np.uint64(0xFF)
+    return (place + _IN_BYTE[(byte << np.uint64(3) | (within & np.uint64(7))).astype(np.int64)]).astype(np.int64)
+
+
 class EliasFano:
     """Queries over the arrays of :func:`ef_build`, in memory or mapped."""
 
@@ -98,21 +119,30 @@ class EliasFano:
 
     def _zero(self, k: np.ndarray) -> np.ndarray:
         """Bit position of the k-th zero, -1 for k = -1."""
-        j = np.searchsorted(self.zeros, k, "right") - 1
-        j = np.clip(j, 0, len(self.high) - 1)
-        r = k - self.zeros[j].astype(np.int64)
-        x, pos = ~self.high[j], np.zeros(len(k), np.int64)
-        for s in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(x & np.uint64((1 << s) - 1)).astype(np.int64)
-            go = r >= c
-            r = np.where(go, r - c, r)
-            x = np.where(go, x >> np.uint64(s), x)
-            pos += s * go
-        return np.where(k < 0, -1, 64 * j + pos)
+        at = np.maximum(k, 0)
+        # in the directory's own type, or it would be copied whole to that of k
+        j = np.searchsorted(self.zeros[:len(self.high)], at.astype(self.zeros.dtype), "right") - 1
+        r = (at - self.zeros[j]).astype(np.uint64)
+        return np.where(k < 0, -1, 64 * j + _select(~self.high[j], r))
+
+    def _run(self, at: np.ndarray) -> np.ndarray:
+        """Number of ones from bit ``at`` to the next zero."""
+        out = np.zeros(len(at), np.int64)
+        todo = np.arange(len(at))
+        while len(todo):
+            pos = at[todo] + out[todo]
+            left = 64 - (pos & 63)
+            x = ~self.high[pos >> 6] >> (pos & 63).astype(np.uint64)
+            ones = np.minimum(np.bitwise_count((x & -x) - np.uint64(1)).astype(np.int64), left)
+            out[todo] += ones
+            todo = todo[ones == left]
+        return out
 
     def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = np.minimum(h, self.buckets)
-        return self._zero(h - 1) + 1 - h, np.where(h >= self.buckets, self.n, self._zero(h) - h)
+        start = self._zero(h - 1) + 1
+        lo = start - h
+        return lo, lo + self._run(start)
 
     def successor(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first element >= q, whether it equals q)."""
@@ -135,14 +165,7 @@ class EliasFano:
         """Elements by index (a successor search over the ones)."""
         ones = 64 * np.arange(len(self.zeros)) - self.zeros.astype(np.int64)
         j = np.searchsorted(ones, i, "right") - 1
-        r, x, pos = i - ones[j], np.array(self.high[j]), np.zeros(len(i), np.int64)
-        for s in (32, 16, 8, 4, 2, 1):
-            c = np.bitwise_count(x & np.uint64((1 << s) - 1)).astype(np.int64)
-            go = r >= c
-            r = np.where(go, r - c, r)
-            x = np.where(go, x >> np.uint64(s), x)
-            pos += s * go
-        high = (64 * j + pos - i).astype(np.uint64)
+        high = (64 * j + _select(np.array(self.high[j]), (i - ones[j]).astype(np.uint64)) - i).astype(np.uint64)
         return (high << np.uint64(self.bits)) | _unpack(self.low, i, self.bits)
 
 
@@ -195,7 +218,7 @@ def map_arrays(uri: str) -> dict:
             os.replace(temp, path)
     with open(path, "rb") as f:
         head = f.readline()
-    raw = np.memmap(path, np.uint8, "r")
+    raw = np.asarray(np.memmap(path, np.uint8, "r"))       # a plain view: slices of a memmap cost more
     out = {}
     for name, kind, n, at in json.loads(head):
         start = len(head) + at
@@ -216,6 +239,11 @@ def _mix(keys: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
 
 
+def _by_shard(shard: np.ndarray) -> np.ndarray:
+    """Stable order by shard; two-byte numbers are sorted by their digits."""
+    return np.argsort(shard.astype(np.uint16) if not len(shard) or shard.max() < 1 << 16 else shard, kind="stable")
+
+
 def _planes(values: np.ndarray) -> bytes:
     """Byte planes, compressed: small numbers cost what their low bytes do."""
     v = np.ascontiguousarray(values)
@@ -268,17 +296,17 @@ class Model:
         return (counts + 1) / (self.tokens + self.words + 1)
 
     def lookup(self, level: int, context: np.ndarray, word: np.ndarray):
-        """(node or -1, log10 probability, count) of (context node, word)."""
+        """(node or -1, probability, count) of (context node, word)."""
         node = np.full(len(context), -1, np.int64)
-        logp, count = np.zeros(len(context)), np.zeros(len(context), np.int64)
+        p, count = np.ones(len(context)), np.zeros(len(context), np.int64)
         known = np.flatnonzero((context >= 0) & (word >= 0))
         if not len(known) or level not in self.shards:
-            return node, logp, count
+            return node, p, count
         keys = context[known].astype(np.uint64) * np.uint64(self.words + 1) + word[known].astype(np.uint64)
         keys, back = np.unique(keys, return_inverse=True)
         shard = (_mix(keys) % np.uint64(self.shards[level])).astype(np.int64)
-        u_node, u_logp, u_count = np.full(len(keys), -1, np.int64), np.zeros(len(keys)), np.zeros(len(keys), np.int64)
-        order = np.argsort(shard, kind="stable")
+        u_node, u_p, u_count = np.full(len(keys), -1, np.int64), np.ones(len(keys)), np.zeros(len(keys), np.int64)
+        order = _by_shard(shard)
         cuts = np.searchsorted(shard[order], np.arange(self.shards[level] + 1))
         for s in range(self.shards[level]):
             at = order[cuts[s]:cuts[s + 1]]
@@ -286,7 +314,8 @@ class Model:
                 continue
             f = self._file(level, s)
             q = keys[at]
-            ctx, w = q // np.uint64(self.words + 1), q % np.uint64(self.words + 1)
+            ctx = q // np.uint64(self.words + 1)
+            w = q - ctx * np.uint64(self.words + 1)
             first = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])     # keys are sorted
             rank, here = f["contexts"].successor(ctx[first])
             times = np.diff(np.r_[first, len(ctx)])
@@ -295,11 +324,11 @@ class Model:
             i, same = f["children"].successor(rank.astype(np.uint64) * np.uint64(self.words + 1) + w)
             at, i = at[same], i[same]
             u_node[at] = i + self.bases[level][s]
-            u_logp[at] = f["codes"][i].astype(np.float64) * -CODE_STEP
+            u_p[at] = PROBABILITY[f["codes"][i]]
             if "counts" in f:
                 u_count[at] = f["counts"][i]
-        node[known], logp[known], count[known] = u_node[back], u_logp[back], u_count[back]
-        return node, logp, count
+        node[known], p[known], count[known] = u_node[back], u_p[back], u_count[back]
+        return node, p, count
 
     def walk(self, ids: np.ndarray, counts: np.ndarray, first: np.ndarray, upto: int):
         """For every position: p(word | longest context of < upto words), and
@@ -312,8 +341,8 @@ class Model:
         seen = np.r_[0, counts[:-1]] if len(ids) else counts
         seen[first] = self.docs
         for level in range(2, upto + 1):
-            node, logp, count = self.lookup(level, context, ids)
-            p = np.where(node >= 0, 10.0 ** logp, self.mu * p / (seen + self.mu))
+            node, own, count = self.lookup(level, context, ids)
+            p = np.where(node >= 0, own, self.mu * p / (seen + self.mu))
             context = np.r_[-1, node[:-1]] if len(ids) else ids
             context[first] = -1
             seen = np.r_[0, count[:-1]] if len(ids) else counts
@@ -323,41 +352,46 @@ class Model:
 
 # ---- blocks of documents --------------------------------------------------
 
-class _Local(dict):
-    def __missing__(self, w):
-        n = self[w] = len(self)
-        return n
+def _numbering() -> defaultdict:
+    """Numbers words in the order in which they are asked for."""
+    return defaultdict(count().__next__)
 
 
 def split_text(text: str | None) -> list[bytes]:
     """Lower-cased words and the end token.  On bytes, lower() touches A-Z only
     and split() cuts at 0x20 and 0x09-0x0D only."""
-    return [*(text or "").encode().lower().split(), END]
+    return _split_bytes(text.encode() if text else b"")
+
+
+def _split_bytes(text: bytes | None) -> list[bytes]:
+    words = text.lower().split() if text else []
+    words.append(END)
+    return words
 
 
 def _blocks(batches, block_tokens: int):
     """(rows before the text column, words table, word numbers, tokens per text)."""
-    table, arrays, sizes, rows, total = _Local(), [], [], [], 0
+    table, arrays, sizes, rows, total = _numbering(), [], [], [], 0
     for batch in batches:
-        text = batch.column(batch.num_columns - 1)
+        text = batch.column(batch.num_columns - 1).cast("binary")      # the bytes as they are
         others = [batch.column(i) for i in range(batch.num_columns - 1)]
         for at in range(0, batch.num_rows, 64):
             for t in text.slice(at, 64).to_pylist():
-                w = split_text(t)
+                w = _split_bytes(t)
                 arrays.append(np.fromiter(map(table.__getitem__, w), np.int64, len(w)))
                 sizes.append(len(w))
                 total += len(w)
             rows.append([c.slice(at, 64) for c in others])
             if total >= block_tokens:
                 yield rows, table, np.concatenate(arrays), np.array(sizes)
-                table, arrays, sizes, rows, total = _Local(), [], [], [], 0
+                table, arrays, sizes, rows, total = _numbering(), [], [], [], 0
     if sizes:
         yield rows, table, np.concatenate(arrays), np.array(sizes)
 
 
 def _hashes(words) -> np.ndarray:
     import xxhash
-    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), np.uint64, len(words))
 
 
 def _firsts(sizes: np.ndarray) -> np.ndarray:
@@ -387,7 +421,7 @@ def _count_grams(model: Model, level: int, block_tokens: int, shards: int):
             keys = context[at].astype(np.uint64) * np.uint64(model.words + 1) + ids[at].astype(np.uint64)
             keys, n = np.unique(keys, return_counts=True)
             shard = (_mix(keys) % np.uint64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
+            order = _by_shard(shard)
             cuts = np.searchsorted(shard[order], np.arange(shards + 1))
             out = []
             for s in range(shards):
@@ -481,8 +515,8 @@ def _lower(self, level: int, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     if level == 2:
         return self.unigram(self.counts_of(1, word)[1])
     short = self.suffix(level - 1, ctx)
-    node, logp, _ = self.lookup(level - 1, short, word)
-    return np.where(node >= 0, 10.0 ** logp, self.unigram(self.counts_of(1, word)[1]))
+    node, p, _ = self.lookup(level - 1, short, word)
+    return np.where(node >= 0, p, self.unigram(self.counts_of(1, word)[1]))
 
 
 Model.counts_of, Model.gram, Model.suffix, Model.lower = _counts_of, _gram, _suffix, _lower
@@ -554,10 +588,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
         import pyarrow as pa
         for rows, table, numbers, sizes in _blocks(batches, block_tokens):
             ids, counts = model.word_ids(_hashes(table))
+            alone = np.log10(model.unigram(counts))[numbers]       # once for each word of the block
             ids, counts = ids[numbers], counts[numbers]
             p, _, _ = model.walk(ids, counts, _firsts(sizes), model.order)
             at = np.cumsum(sizes) - sizes
-            base = np.add.reduceat(np.log10(model.unigram(counts)), at)
+            base = np.add.reduceat(alone, at)
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([r[0] for r in rows]), pa.array(sizes),
                  pa.array(np.add.reduceat((counts > 0).astype(np.int64), at)), pa.array(base),

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusmill.llm.ngramlm import EliasFano, ef_build, score, split_text, train
+from corpusmill.llm.ngramlm import EliasFano, _by_shard, _select, ef_build, score, split_text, train
 from corpusmill.llm.queries import QUERIES
 
 
@@ -104,3 +104,25 @@ def test_empty(empty, docs):
     model = train(empty)
     assert score(empty, model).count() == 0
     assert all(r["n_known"] == 0 and r["base_score"] == 0 for r in score(docs, model).collect())
+
+
+def test_select_and_runs_in_long_and_empty_words():
+    """Set bits of every word, runs of ones over several words, and a search that does not copy its directory."""
+    rng = np.random.default_rng(3)
+    for v in [0xFFFFFFFFFFFFFFFF, 1, 1 << 63, 0x8000000000000001, *(int(x) for x in rng.integers(0, 1 << 63, 40))]:
+        bits = [i for i in range(64) if v >> i & 1]
+        assert _select(np.full(len(bits), v, np.uint64), np.arange(len(bits), dtype=np.uint64)).tolist() == bits
+    for n, universe in ((0, 1), (1, 1), (1, 1 << 40), (900, 3), (700, 700), (5000, 1 << 20), (3000, 1 << 60)):
+        v = np.sort(rng.integers(0, universe, n, dtype=np.uint64))
+        e = EliasFano(ef_build(v, universe))
+        q = np.unique(np.r_[v, rng.integers(0, universe + 3, 500, dtype=np.uint64), np.uint64(universe + 5), np.uint64(0)])
+        lo, same = e.successor(q)
+        assert lo.tolist() == np.searchsorted(v, q).tolist() and same.tolist() == np.isin(q, v).tolist()
+        if n:
+            assert e.at(np.arange(n)).tolist() == v.tolist()
+
+
+def test_shards_beyond_two_bytes_are_ordered():
+    for shard in ([], [3, 0, 3, 1], [70_000, 4464, 70_000, 0, 65_535]):
+        got = _by_shard(np.array(shard, np.int64))
+        assert got.tolist() == sorted(range(len(shard)), key=lambda i: shard[i])
