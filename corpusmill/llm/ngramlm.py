@@ -38,8 +38,7 @@ import re
 import tempfile
 import uuid
 import zlib
-from collections import defaultdict
-from itertools import count, repeat
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -352,41 +351,59 @@ class Model:
 
 # ---- blocks of documents --------------------------------------------------
 
-def _numbering() -> defaultdict:
-    """Numbers words in the order in which they are asked for."""
-    return defaultdict(count().__next__)
-
-
 def split_text(text: str | None) -> list[bytes]:
     """Lower-cased words and the end token.  On bytes, lower() touches A-Z only
     and split() cuts at 0x20 and 0x09-0x0D only."""
-    return _split_bytes(text.encode() if text else b"")
-
-
-def _split_bytes(text: bytes | None) -> list[bytes]:
-    words = text.lower().split() if text else []
-    words.append(END)
-    return words
+    return [*(text or "").encode().lower().split(), END]
+
+
+def _words(text) -> tuple:
+    """(words of all texts of an Arrow column, tokens of each text), as by :func:`split_text` without the ends, which
+    are counted only.  Arrow's split leaves an empty word where a text begins or ends with a space."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(text, "")))
+    flat = lists.flatten()
+    full = np.asarray(pc.binary_length(flat)) > 0
+    upto = np.r_[0, np.cumsum(full)]
+    ends = np.r_[0, np.cumsum(np.asarray(pc.list_value_length(lists)))]
+    return flat.filter(pa.array(full)), np.diff(upto[ends]) + 1
+
+
+def _numbered(words: list, sizes: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """(different words and the end token, number of the word at each token)."""
+    import pyarrow as pa
+    coded = pa.concat_arrays(words).dictionary_encode()
+    table = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+    numbers = np.full(int(sizes.sum()), len(table) - 1, np.int64)
+    inside = np.ones(len(numbers), bool)
+    inside[np.cumsum(sizes) - 1] = False
+    numbers[inside] = np.asarray(coded.indices)
+    del coded
+    words.clear()
+    pa.default_memory_pool().release_unused()       # a worker would keep the memory of its largest block
+    return table, numbers
 
 
 def _blocks(batches, block_tokens: int):
     """(rows before the text column, words table, word numbers, tokens per text)."""
-    table, arrays, sizes, rows, total = _numbering(), [], [], [], 0
+    words, sizes, rows, total = [], [], [], 0
     for batch in batches:
-        text = batch.column(batch.num_columns - 1).cast("binary")      # the bytes as they are
+        text = batch.column(batch.num_columns - 1)
         others = [batch.column(i) for i in range(batch.num_columns - 1)]
         for at in range(0, batch.num_rows, 64):
-            for t in text.slice(at, 64).to_pylist():
-                w = _split_bytes(t)
-                arrays.append(np.fromiter(map(table.__getitem__, w), np.int64, len(w)))
-                sizes.append(len(w))
-                total += len(w)
+            w, n = _words(text.slice(at, 64))
+            words.append(w)
+            sizes.append(n)
+            total += int(n.sum())
             rows.append([c.slice(at, 64) for c in others])
             if total >= block_tokens:
-                yield rows, table, np.concatenate(arrays), np.array(sizes)
-                table, arrays, sizes, rows, total = _numbering(), [], [], [], 0
-    if sizes:
-        yield rows, table, np.concatenate(arrays), np.array(sizes)
+                sizes = np.concatenate(sizes)
+                yield rows, *_numbered(words, sizes), sizes
+                words, sizes, rows, total = [], [], [], 0
+    if rows:
+        sizes = np.concatenate(sizes)
+        yield rows, *_numbered(words, sizes), sizes
 
 
 def _hashes(words) -> np.ndarray:
@@ -405,7 +422,7 @@ def _count_words(block_tokens):
         import pyarrow as pa
         for _, table, numbers, _ in _blocks(batches, block_tokens):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([w.decode() for w in table]), pa.array(np.bincount(numbers, minlength=len(table)))],
+                [pa.array(table, pa.binary()).cast(pa.string()), pa.array(np.bincount(numbers, minlength=len(table)))],
                 ["word", "n"])
     return run
 

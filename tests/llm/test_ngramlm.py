@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusmill.llm.ngramlm import EliasFano, _by_shard, _select, ef_build, score, split_text, train
+from corpusmill.llm.ngramlm import EliasFano, _blocks, _by_shard, _select, ef_build, score, split_text, train
 from corpusmill.llm.queries import QUERIES
 
 
@@ -126,3 +126,20 @@ def test_shards_beyond_two_bytes_are_ordered():
     for shard in ([], [3, 0, 3, 1], [70_000, 4464, 70_000, 0, 65_535]):
         got = _by_shard(np.array(shard, np.int64))
         assert got.tolist() == sorted(range(len(shard)), key=lambda i: shard[i])
+
+
+def test_blocks_hold_the_words_of_each_text():
+    """Numbered tokens are those of split_text for nulls, empty texts, spaces at the ends and any block size."""
+    import pyarrow as pa
+    texts = ["AÄb \x0b\x0c\r\n c d\x1c", None, "", "  ", "\n", " lead", "trail\t", "same Same SAME", "x y\u0085z w", "\x00 \x1f İ"] * 15
+    batch = pa.record_batch({"id": list(range(len(texts))), "text": pa.array(texts, pa.string())})
+    for size in (1, 40, 1 << 20):
+        got, ids = [], []
+        for rows, table, numbers, sizes in _blocks([batch.slice(0, 70), batch.slice(70, 0), batch.slice(70)], size):
+            ids += [x for r in rows for x in r[0].to_pylist()]
+            assert len(set(table)) == len(table) and len(numbers) == sizes.sum()
+            words = [table[i] for i in numbers]
+            ends = [0, *sizes.cumsum().tolist()]
+            got += [words[a:b] for a, b in zip(ends, ends[1:])]
+        assert ids == list(range(len(texts))) and got == [split_text(t) for t in texts]
+    assert list(_blocks([batch.slice(0, 0)], 5)) == []
