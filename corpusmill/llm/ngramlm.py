@@ -5,11 +5,12 @@ The model is interpolated with a Dirichlet prior at every order:
 unigram.  Level 1 maps word hashes to ids and counts; level k holds the k-grams
 as (node of the first k-1 words, last word).
 
-* Every sequence is Elias-Fano coded: low bits packed, high bits in unary with
-  a directory of zeros.  A level shard has its contexts, the monotone
-  pointers to each context's children, and the children as
-  ``context rank * words + word``.  A query finds its context by successor
-  search, then its word by successor search among that context's children.
+* Monotone sequences are Elias-Fano coded: low bits packed, high bits in unary
+  with a directory of zeros.  A level shard has its contexts, the monotone
+  pointers to each context's children (in unary), and the children's words,
+  packed and ascending under each context.  A query finds its context by
+  successor search, then its word by interpolation search between that
+  context's two pointers.
 * Smoothed log10 probabilities are quantised to 16 bits.
 * A level is cut into shards by a hash of the key, so the children of a word
   that makes up a third of the corpus lie in all shards.  A shard is one file
@@ -37,7 +38,6 @@ import os
 import re
 import tempfile
 import uuid
-import zlib
 from itertools import repeat
 
 import numpy as np
@@ -69,16 +69,62 @@ def _unpack(data: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
         return np.zeros(len(at), np.uint64)
     pos = at.astype(np.uint64) * np.uint64(bits)
     word, off = (pos >> np.uint64(6)).astype(np.int64), pos & np.uint64(63)
-    out = data[word] >> off
-    over = np.flatnonzero(off + np.uint64(bits) > 64)
-    out[over] |= data[word[over] + 1] << (np.uint64(64) - off[over])
+    # the next word's bits, shifted in two steps: none of them where off is 0
+    out = (data.take(word) >> off) | (data.take(word + 1) << (np.uint64(63) - off) << np.uint64(1))
     return out & np.uint64((1 << bits) - 1)
 
 
-def ef_build(values: np.ndarray, universe: int) -> dict:
+def _search(data: np.ndarray, bits: int, lo: np.ndarray, hi: np.ndarray, want: np.ndarray):
+    """(index of the first packed value >= want in lo..hi, whether it is equal); each range is ascending."""
+    out, same = lo.copy(), np.zeros(len(lo), bool)
+    at = np.flatnonzero(lo < hi)
+    lo, hi, want = lo[at], hi[at], want[at]
+    equal = np.zeros(len(at), bool)
+    while len(at):
+        mid = (lo + hi) >> 1
+        value = _unpack(data, mid, bits)
+        less = value < want
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+        equal = np.where(less, equal, value == want)      # of the value at hi
+        more = np.flatnonzero(lo < hi)
+        if len(more) < len(at):
+            out[at], same[at] = lo, equal           # those with more to do are written again
+            at, lo, hi, want, equal = (x.take(more) for x in (at, lo, hi, want, equal))
+    return out, same
+
+
+def _among(data: np.ndarray, bits: int, size: int, lo: np.ndarray, hi: np.ndarray, want: np.ndarray):
+    """(index, whether it is there) of a packed value in lo..hi; each range is strictly ascending, below ``size``.  Ids
+    follow the words' hashes, so values are spread evenly: two of three steps go by proportion, the third halves."""
+    out, same = lo.copy(), np.zeros(len(lo), bool)
+    at = np.flatnonzero(lo < hi)
+    lo, hi, want = lo.take(at), hi.take(at), want.take(at).astype(np.int64)
+    below, above = np.full(len(at), -1), np.full(len(at), size)      # values beside the range
+    step = 0
+    while len(at):
+        step += 1
+        if step % 3:
+            mid = lo + ((want - below) * ((hi - lo) / (above - below))).astype(np.int64)
+            mid = np.minimum(mid, hi - 1)
+        else:
+            mid = (lo + hi) >> 1
+        value = _unpack(data, mid, bits).view(np.int64)
+        less = value < want
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+        more = np.flatnonzero((lo < hi) & (value != want))
+        if len(more) < len(at):
+            out[at], same[at] = mid, value == want
+            less, value = less.take(more), value.take(more)
+            at, lo, hi, want, below, above = (x.take(more) for x in (at, lo, hi, want, below, above))
+        below, above = np.where(less, value, below), np.where(less, above, value)
+    return out, same
+
+
+def ef_build(values: np.ndarray, universe: int, bits: int | None = None) -> dict:
     """Arrays of an Elias-Fano coded non-decreasing sequence of uint64."""
     n = len(values)
-    bits = max(0, min(63, int(math.log2(max(1, universe // max(1, n))))))
+    if bits is None:
+        bits = max(0, min(63, int(math.log2(max(1, universe // max(1, n))))))
     high = (values >> np.uint64(bits)).astype(np.int64)
     buckets = int(high[-1]) + 1 if n else 1
     size = n + buckets + 1
@@ -126,47 +172,53 @@ class EliasFano:
 
     def _run(self, at: np.ndarray) -> np.ndarray:
         """Number of ones from bit ``at`` to the next zero."""
-        out = np.zeros(len(at), np.int64)
-        todo = np.arange(len(at))
+        off = at & 63
+        x = ~self.high.take(at >> 6) >> off.astype(np.uint64)
+        out = np.bitwise_count((x & -x) - np.uint64(1)).astype(np.int64)
+        todo = np.flatnonzero(x == 0)               # the run goes on in the next word
+        out[todo] = 64 - off[todo]
         while len(todo):
-            pos = at[todo] + out[todo]
-            left = 64 - (pos & 63)
-            x = ~self.high[pos >> 6] >> (pos & 63).astype(np.uint64)
-            ones = np.minimum(np.bitwise_count((x & -x) - np.uint64(1)).astype(np.int64), left)
-            out[todo] += ones
-            todo = todo[ones == left]
+            x = ~self.high[(at[todo] + out[todo]) >> 6]
+            out[todo] += np.bitwise_count((x & -x) - np.uint64(1))
+            todo = todo[x == 0]
         return out
 
-    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = np.minimum(h, self.buckets)
-        start = self._zero(h - 1) + 1
-        lo = start - h
-        return lo, lo + self._run(start)
-
     def successor(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index of the first element >= q, whether it equals q)."""
         if not self.n:
             return np.zeros(len(q), np.int64), np.zeros(len(q), bool)
         h = np.minimum(q >> np.uint64(self.bits), np.uint64(self.buckets)).astype(np.int64)
-        lo, hi = self._bucket(h)
-        end, low = hi.copy(), q & np.uint64((1 << self.bits) - 1)
-        while len(todo := np.flatnonzero(lo < hi)):
-            mid = (lo[todo] + hi[todo]) >> 1
-            less = _unpack(self.low, mid, self.bits) < low[todo]
-            lo[todo] = np.where(less, mid + 1, lo[todo])
-            hi[todo] = np.where(less, hi[todo], mid)
-        same = lo < end
-        at = np.flatnonzero(same)
-        same[at] = _unpack(self.low, lo[at], self.bits) == low[at]
-        return lo, same
+        start = self._zero(h - 1) + 1
+        lo = start - h
+        return _search(self.low, self.bits, lo, lo + self._run(start), q & np.uint64((1 << self.bits) - 1))
 
-    def at(self, i: np.ndarray) -> np.ndarray:
-        """Elements by index (a successor search over the ones)."""
+    def _one(self, i: np.ndarray) -> np.ndarray:
+        """Bit position of the i-th one."""
         ones = 64 * np.arange(len(self.zeros)) - self.zeros.astype(np.int64)
         j = np.searchsorted(ones, i, "right") - 1
-        high = (64 * j + _select(np.array(self.high[j]), (i - ones[j]).astype(np.uint64)) - i).astype(np.uint64)
+        return 64 * j + _select(self.high.take(j), (i - ones.take(j)).astype(np.uint64))
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        """Elements by index (a search for the ones)."""
+        high = (self._one(i) - i).astype(np.uint64)
         return (high << np.uint64(self.bits)) | _unpack(self.low, i, self.bits)
 
+    # pointers have no low bits: a one for each context, followed by a zero for each child
+
+    def children(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first child, first child of the next context)."""
+        bit = self._one(rank)
+        lo = bit - rank
+        x = self.high.take(bit >> 6) >> (bit & 63).astype(np.uint64) >> np.uint64(1)
+        hi = lo + np.bitwise_count((x & -x) - np.uint64(1))
+        far = np.flatnonzero(x == 0)
+        if len(far):
+            hi[far] = self._one(rank[far] + 1) - (rank[far] + 1)
+        return lo, hi
+
+    def parent(self, child: np.ndarray) -> np.ndarray:
+        return self._zero(child) - child - 1
+
 
 # ---- level files ----------------------------------------------------------
 
@@ -245,13 +297,17 @@ def _by_shard(shard: np.ndarray) -> np.ndarray:
 
 def _planes(values: np.ndarray) -> bytes:
     """Byte planes, compressed: small numbers cost what their low bytes do."""
+    import pyarrow as pa
     v = np.ascontiguousarray(values)
-    return zlib.compress(v.view(np.uint8).reshape(len(v), v.itemsize).T.tobytes(), 1)
+    planes = v.view(np.uint8).reshape(len(v), v.itemsize).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(planes, asbytes=True)
 
 
 def _unplanes(data: bytes, kind) -> np.ndarray:
+    import pyarrow as pa
     size = np.dtype(kind).itemsize
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(size, -1)
+    planes = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    raw = np.frombuffer(planes, np.uint8).reshape(size, -1)
     return np.ascontiguousarray(raw.T).view(kind).ravel()
 
 
@@ -273,7 +329,7 @@ class Model:
         if at not in self._open:
             a = map_arrays(f"{self.folder}/level{level}/{shard:06d}.ef")
             own = dict(a)
-            for p in ("words", "contexts", "pointers", "children"):
+            for p in ("words", "contexts", "pointers"):
                 if f"{p}.n" in a:
                     own[p] = EliasFano(_part(a, p))
             self._open[at] = own
@@ -294,59 +350,78 @@ class Model:
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 1) / (self.tokens + self.words + 1)
 
-    def lookup(self, level: int, context: np.ndarray, word: np.ndarray):
+    def width(self) -> int:
+        """Bits of a word's id in the levels."""
+        return self.words.bit_length()
+
+    def lookup(self, level: int, context: np.ndarray, word: np.ndarray, nodes_only: bool = False):
         """(node or -1, probability, count) of (context node, word)."""
         node = np.full(len(context), -1, np.int64)
-        p, count = np.ones(len(context)), np.zeros(len(context), np.int64)
+        p, count = (None, None) if nodes_only else (np.ones(len(context)), np.zeros(len(context), np.int64))
         known = np.flatnonzero((context >= 0) & (word >= 0))
         if not len(known) or level not in self.shards:
             return node, p, count
-        keys = context[known].astype(np.uint64) * np.uint64(self.words + 1) + word[known].astype(np.uint64)
-        keys, back = np.unique(keys, return_inverse=True)
+        size = np.uint64(self.words + 1)
+        keys, back = np.unique(context[known].astype(np.uint64) * size + word[known].astype(np.uint64), return_inverse=True)
         shard = (_mix(keys) % np.uint64(self.shards[level])).astype(np.int64)
-        u_node, u_p, u_count = np.full(len(keys), -1, np.int64), np.ones(len(keys)), np.zeros(len(keys), np.int64)
         order = _by_shard(shard)
-        cuts = np.searchsorted(shard[order], np.arange(self.shards[level] + 1))
-        for s in range(self.shards[level]):
-            at = order[cuts[s]:cuts[s + 1]]
-            if not len(at):
-                continue
+        keys, shard = keys[order], shard[order]         # ascending within each shard
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        ctx = keys // size
+        w = keys - ctx * size
+        first = np.r_[True, (ctx[1:] != ctx[:-1]) | (shard[1:] != shard[:-1])]
+        u_node = np.full(len(keys), -1, np.int64)
+        u_p, u_count = (None, None) if nodes_only else (np.ones(len(keys)), np.zeros(len(keys), np.int64))
+        cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]).tolist()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            s = int(shard[a])
             f = self._file(level, s)
-            q = keys[at]
-            ctx = q // np.uint64(self.words + 1)
-            w = q - ctx * np.uint64(self.words + 1)
-            first = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])     # keys are sorted
-            rank, here = f["contexts"].successor(ctx[first])
-            times = np.diff(np.r_[first, len(ctx)])
-            rank, here = np.repeat(rank, times), np.repeat(here, times)
-            at, rank, w = at[here], rank[here], w[here]
-            i, same = f["children"].successor(rank.astype(np.uint64) * np.uint64(self.words + 1) + w)
-            at, i = at[same], i[same]
+            head = np.flatnonzero(first[a:b])
+            rank, here = f["contexts"].successor(ctx[a:b][head])
+            lo, hi = np.zeros((2, len(head)), np.int64)
+            lo[here], hi[here] = f["pointers"].children(rank[here])
+            times = np.diff(np.r_[head, b - a])
+            i, same = _among(f["children"], self.width(), self.words + 1, np.repeat(lo, times), np.repeat(hi, times), w[a:b])
+            at, i = np.flatnonzero(same) + a, i[same]
             u_node[at] = i + self.bases[level][s]
-            u_p[at] = PROBABILITY[f["codes"][i]]
-            if "counts" in f:
-                u_count[at] = f["counts"][i]
-        node[known], p[known], count[known] = u_node[back], u_p[back], u_count[back]
+            if not nodes_only:
+                u_p[at] = PROBABILITY.take(f["codes"].take(i))
+                if "counts" in f:
+                    u_count[at] = f["counts"].take(i)
+        back = place.take(back)
+        node[known] = u_node.take(back)
+        if not nodes_only:
+            p[known], count[known] = u_p.take(back), u_count.take(back)
         return node, p, count
 
-    def walk(self, ids: np.ndarray, counts: np.ndarray, first: np.ndarray, upto: int):
-        """For every position: p(word | longest context of < upto words), and
-        the context nodes of level ``upto`` (-1 unknown).  ``first`` marks the
-        first position of each text."""
+    def walk(self, ids: np.ndarray, counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """p(word | longest known context) for every position.  ``first`` marks the first position of each text."""
         p = self.unigram(counts)
         start = np.int64(self.words)                       # node of the text start
         context = np.r_[start, ids[:-1]] if len(ids) else ids
         context[first] = start
         seen = np.r_[0, counts[:-1]] if len(ids) else counts
         seen[first] = self.docs
-        for level in range(2, upto + 1):
+        for level in range(2, self.order + 1):
             node, own, count = self.lookup(level, context, ids)
             p = np.where(node >= 0, own, self.mu * p / (seen + self.mu))
             context = np.r_[-1, node[:-1]] if len(ids) else ids
             context[first] = -1
             seen = np.r_[0, count[:-1]] if len(ids) else counts
             seen[first] = 0
-        return p, context, seen
+        return p
+
+    def contexts(self, ids: np.ndarray, first: np.ndarray, level: int) -> np.ndarray:
+        """The node of the ``level - 1`` words before every position (-1 unknown or cut off by the text's start)."""
+        start = np.int64(self.words)
+        context = np.r_[start, ids[:-1]] if len(ids) else ids
+        context[first] = start
+        for below in range(2, level):
+            node = self.lookup(below, context, ids, nodes_only=True)[0]
+            context = np.r_[-1, node[:-1]] if len(ids) else ids
+            context[first] = -1
+        return context
 
 
 # ---- blocks of documents --------------------------------------------------
@@ -374,7 +449,7 @@ def _numbered(words: list, sizes: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """(different words and the end token, number of the word at each token)."""
     import pyarrow as pa
     coded = pa.concat_arrays(words).dictionary_encode()
-    table = [*coded.dictionary.cast(pa.binary()).to_pylist(), END]
+    table = [*coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), END]
     numbers = np.full(int(sizes.sum()), len(table) - 1, np.int64)
     inside = np.ones(len(numbers), bool)
     inside[np.cumsum(sizes) - 1] = False
@@ -431,9 +506,8 @@ def _count_grams(model: Model, level: int, block_tokens: int, shards: int):
     def run(batches):
         import pyarrow as pa
         for _, table, numbers, sizes in _blocks(batches, block_tokens):
-            ids, counts = model.word_ids(_hashes(table))
-            ids, counts = ids[numbers], counts[numbers]
-            _, context, _ = model.walk(ids, counts, _firsts(sizes), level - 1)
+            ids = model.word_ids(_hashes(table))[0][numbers]
+            context = model.contexts(ids, _firsts(sizes), level)
             at = np.flatnonzero(context >= 0)
             keys = context[at].astype(np.uint64) * np.uint64(model.words + 1) + ids[at].astype(np.uint64)
             keys, n = np.unique(keys, return_counts=True)
@@ -468,11 +542,10 @@ def _build_level(model: Model, level: int, last: bool):
         p = _smoothed(model, level, ctx, word.astype(np.int64), n)
         codes = np.clip(np.rint(-np.log10(p) / CODE_STEP), 0, 65535).astype(np.uint16)
         head = np.flatnonzero(np.r_[True, ctx[1:] != ctx[:-1]])
-        rank = np.repeat(np.arange(len(head)), np.diff(np.r_[head, len(ctx)])).astype(np.uint64)
         contexts = ctx[head].astype(np.uint64)
         arrays = {**_named("contexts", ef_build(contexts, int(contexts[-1]) + 1)),
-                  **_named("pointers", ef_build(np.r_[head, len(ctx)].astype(np.uint64), len(ctx) + 1)),
-                  **_named("children", ef_build(rank * size + word, len(head) * int(size))), "codes": codes}
+                  **_named("pointers", ef_build(np.r_[head, len(ctx)].astype(np.uint64), len(ctx) + 1, 0)),
+                  "children": _pack(word, model.width()), "codes": codes}
         if not last:
             arrays["counts"] = n.astype(np.uint32)
         save_arrays(f"{model.folder}/level{level}/{shard:06d}.ef", arrays)
@@ -482,61 +555,60 @@ def _build_level(model: Model, level: int, last: bool):
 
 def _smoothed(model: Model, level: int, ctx, word, n) -> np.ndarray:
     """(c(hw) + mu p(w | h')) / (c(h) + mu) for the k-grams of one shard."""
-    own, c = model.counts_of(level - 1, ctx)
-    lower = model.lower(level, own, word)
-    return (n + model.mu * lower) / (c + model.mu)
+    lower = model.lower(level, ctx, word)
+    return (n + model.mu * lower) / (model.counts_of(level - 1, ctx) + model.mu)
 
 
-def _counts_of(self, level: int, node: np.ndarray):
-    """(node, count) for nodes of a level; the start node of level 1 counts texts."""
-    out = np.zeros(len(node), np.int64)
-    uniq, back = np.unique(node, return_inverse=True)
+def _by_file(self, level: int, nodes: np.ndarray):
+    """(file, slice of the ascending nodes in it, their places in it)."""
     base = np.array(self.offsets if level == 1 else self.bases[level])
-    shard = np.searchsorted(base, uniq, "right") - 1
+    shard = np.searchsorted(base, nodes, "right") - 1
+    cuts = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]).tolist() if len(nodes) else []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        s = int(shard[a])
+        yield self._file(level, s), slice(a, b), nodes[a:b] - base[s]
+
+
+def _counts_of(self, level: int, node: np.ndarray) -> np.ndarray:
+    """Counts of the nodes of a level; the start node of level 1 counts texts."""
+    uniq, back = np.unique(node, return_inverse=True)
     got = np.zeros(len(uniq), np.int64)
-    for s in np.unique(shard):
-        at = np.flatnonzero((shard == s) & ((uniq < self.words) | (level > 1)))
-        if len(at):
-            got[at] = self._file(level, int(s))["counts"][uniq[at] - base[s]]
+    inner = int(np.searchsorted(uniq, self.words)) if level == 1 else len(uniq)
+    for f, part, i in self.by_file(level, uniq[:inner]):
+        got[part] = f["counts"][i]
     if level == 1:
-        got[uniq == self.words] = self.docs
-    out[:] = got[back]
-    return node, out
+        got[inner:] = self.docs
+    return got[back]
 
 
 def _gram(self, level: int, node: np.ndarray):
-    """(context node, word) of nodes of a level above 1."""
-    base = np.array(self.bases[level])
-    shard = np.searchsorted(base, node, "right") - 1
+    """(context node, word) of ascending nodes of a level above 1."""
     ctx, word = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64)
-    size = np.uint64(self.words + 1)
-    for s in np.unique(shard):
-        at = np.flatnonzero(shard == s)
-        f = self._file(level, int(s))
-        key = f["children"].at(node[at] - base[s])
-        ctx[at] = f["contexts"].at((key // size).astype(np.int64)).astype(np.int64)
-        word[at] = (key % size).astype(np.int64)
+    for f, part, i in self.by_file(level, node):
+        if level > 2:                   # a suffix of two words needs no more than the last
+            ctx[part] = f["contexts"].at(f["pointers"].parent(i)).astype(np.int64)
+        word[part] = _unpack(f["children"], i, self.width()).astype(np.int64)
     return ctx, word
 
 
 def _suffix(self, level: int, node: np.ndarray) -> np.ndarray:
     """Node of a level's gram without its first word, one level lower."""
-    ctx, word = self.gram(level, node)
-    if level == 2:
-        return word
-    return self.lookup(level - 1, self.suffix(level - 1, ctx), word)[0]
+    uniq, back = np.unique(node, return_inverse=True)
+    ctx, word = self.gram(level, uniq)
+    return (word if level == 2 else self.lookup(level - 1, self.suffix(level - 1, ctx), word, nodes_only=True)[0])[back]
 
 
 def _lower(self, level: int, ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
     """p(word | context without its first word)."""
     if level == 2:
-        return self.unigram(self.counts_of(1, word)[1])
-    short = self.suffix(level - 1, ctx)
-    node, p, _ = self.lookup(level - 1, short, word)
-    return np.where(node >= 0, p, self.unigram(self.counts_of(1, word)[1]))
+        return self.unigram(self.counts_of(1, word))
+    node, p, _ = self.lookup(level - 1, self.suffix(level - 1, ctx), word)
+    if len(other := np.flatnonzero(node < 0)):
+        p[other] = self.unigram(self.counts_of(1, word[other]))
+    return p
 
 
-Model.counts_of, Model.gram, Model.suffix, Model.lower = _counts_of, _gram, _suffix, _lower
+Model.by_file, Model.counts_of, Model.gram, Model.suffix, Model.lower = _by_file, _counts_of, _gram, _suffix, _lower
 
 
 def train(docs: DataFrame, text: str = "text", order: int = 2, mu: float = 50.0, folder: str | None = None,
@@ -587,8 +659,8 @@ def train(docs: DataFrame, text: str = "text", order: int = 2, mu: float = 50.0,
             if k not in n:
                 save_arrays(f"{model.folder}/level{level}/{k:06d}.ef", {
                     **_named("contexts", ef_build(np.empty(0, np.uint64), 1)),
-                    **_named("pointers", ef_build(np.zeros(1, np.uint64), 1)),
-                    **_named("children", ef_build(np.empty(0, np.uint64), 1)), "codes": np.empty(0, np.uint16),
+                    **_named("pointers", ef_build(np.zeros(1, np.uint64), 1, 0)),
+                    "children": _pack(np.empty(0, np.uint64), model.width()), "codes": np.empty(0, np.uint16),
                     **({} if level == order else {"counts": np.empty(0, np.uint32)})})
         model.bases[level] = [sum(n.get(i, 0) for i in range(k)) for k in range(shards)]
         model.shards[level] = shards
@@ -607,7 +679,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text: str = "te
             ids, counts = model.word_ids(_hashes(table))
             alone = np.log10(model.unigram(counts))[numbers]       # once for each word of the block
             ids, counts = ids[numbers], counts[numbers]
-            p, _, _ = model.walk(ids, counts, _firsts(sizes), model.order)
+            p = model.walk(ids, counts, _firsts(sizes))
             at = np.cumsum(sizes) - sizes
             base = np.add.reduceat(alone, at)
             yield pa.RecordBatch.from_arrays(

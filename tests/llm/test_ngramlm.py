@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusmill.llm.ngramlm import EliasFano, _blocks, _by_shard, _select, ef_build, score, split_text, train
+from corpusmill.llm.ngramlm import (EliasFano, _among, _blocks, _by_shard, _pack, _planes, _select, _unplanes, ef_build,
+                                     score, split_text, train)
 from corpusmill.llm.queries import QUERIES
 
 
@@ -143,3 +144,33 @@ def test_blocks_hold_the_words_of_each_text():
             got += [words[a:b] for a, b in zip(ends, ends[1:])]
         assert ids == list(range(len(texts))) and got == [split_text(t) for t in texts]
     assert list(_blocks([batch.slice(0, 0)], 5)) == []
+
+
+def test_children_are_searched_between_their_contexts_pointers():
+    """Pointers give each context's range (of one child, or of more than a word of bits) and each child's context; a
+    word of another context's range is not found, however unevenly the words lie."""
+    rng = np.random.default_rng(5)
+    sizes = np.r_[rng.integers(1, 4, 300), 1, 500, 1, 64, 63, 65, 1, rng.integers(1, 200, 20)]
+    heads = np.r_[0, sizes.cumsum()]
+    pointers = EliasFano(ef_build(heads.astype(np.uint64), int(heads[-1]) + 1, 0))
+    rank = rng.permutation(len(sizes))
+    lo, hi = pointers.children(rank)
+    assert pointers.bits == 0 and lo.tolist() == heads[rank].tolist() and hi.tolist() == heads[rank + 1].tolist()
+    assert pointers.parent(np.arange(heads[-1])).tolist() == np.repeat(np.arange(len(sizes)), sizes).tolist()
+    for top in (600, 5000):
+        own = [np.sort(rng.choice(top if i % 2 else 550, n, replace=False)) for i, n in enumerate(sizes)]
+        own[301] = np.r_[np.arange(499), top]                            # all but one at the lower end
+        bits = (top + 1).bit_length()
+        data = _pack(np.concatenate(own).astype(np.uint64), bits)
+        r = np.r_[rng.integers(0, len(sizes), 4000), np.repeat(301, 600)]
+        want = np.r_[rng.integers(0, top + 1, 4000), np.arange(600)]
+        at, there = _among(data, bits, top + 1, heads[r], heads[r + 1], want.astype(np.uint64))
+        exp = [int(w) in set(own[x].tolist()) for x, w in zip(r, want, strict=True)]
+        assert there.tolist() == exp
+        assert np.concatenate(own)[at[there]].tolist() == want[there].tolist()
+        assert (heads[r] <= at)[there].all() and (at < heads[r + 1])[there].all()
+
+
+def test_planes_come_back():
+    for values in ([], [7], [1, 1 << 40, 3, 0] * 50):
+        assert _unplanes(_planes(np.array(values, np.uint64)), np.uint64).tolist() == values
