@@ -4,6 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from corpusmill.llm.queries import QUERIES
 from corpusmill.llm.repeats import RunLengthIndex, remove_repeats, repeated_spans, suffix_array
 
 
@@ -60,3 +61,24 @@ def test_documents_equal_brute_force(docs, rows, key_bytes, length):
 
 def test_empty(empty):
     assert remove_repeats(empty).count() == 0
+
+
+def test_planted_passages_go_from_400_bytes_on(spark, tmp_path):
+    """Passages of over 50 words in two documents: the query removes those of 400 bytes or more, and no shorter one."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    texts, long = [], {}
+    for i in range(24):
+        passage = " ".join(word(5 if i % 2 else 8) for _ in range(52 + i))      # 311 bytes and more, 476 and more
+        for j in range(2):
+            long[len(texts)] = len(passage) >= 400
+            texts.append(" ".join([*(word(6) for _ in range(40 + i + j)), passage, *(word(6) for _ in range(30))]))
+    texts += [" ".join(word(6) for _ in range(120)) for _ in range(10)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string") \
+        .write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in QUERIES["op5_repeats"](spark, str(tmp_path)).collect()}
+    masks = brute([t.encode() for t in texts], 400)
+    assert {True, False} == set(long.values())
+    for i, m in enumerate(masks):
+        assert (got[i]["n_bytes"], got[i]["n_removed"]) == (len(texts[i]), int(m.sum()))
+        assert got[i]["repeats"] == long.get(i, False)
