@@ -73,8 +73,8 @@ def token_batches(spark, sf_dir):
     b = d.select("doc_id", F.explode(Pt.token_batches(F.col("toks"), BATCH_TOKENS)).alias("b"))
     return b.select("doc_id", F.col("b.batch_no").alias("batch_no"),
                     F.size("b.tokens").alias("n_tokens"),
-                    F.element_at("b.tokens", 1).alias("first_token"),
-                    F.element_at("b.tokens", -1).alias("last_token"))
+                    F.try_element_at("b.tokens", F.lit(1)).alias("first_token"),     # none in a batch without tokens
+                    F.try_element_at("b.tokens", F.lit(-1)).alias("last_token"))
 
 
 PARTS_SQL = f"""t AS (SELECT doc_id, {q.plain_tokens('text')} AS toks, {PARAS_SQL} AS ps FROM documents),
