@@ -154,16 +154,16 @@ def bisecting_kmeans(spark, sf_dir):
 @query("stemmed_postings")
 def stemmed_postings(spark, sf_dir):
     """Postings keyed by Porter stems and pairs of them."""
-    return St.stemmed_postings(fx.corpus(spark, sf_dir))
+    return St.stemmed_postings(fx.corpus(spark, sf_dir), parts=fx.parts(fx.documents(spark, sf_dir)))
 
 
 @query("stemmed_tfidf")
 def stemmed_tfidf(spark, sf_dir):
     """V1 into T3: tf-idf weights of the frequent stemmed terms."""
-    post = materialize(St.stemmed_postings(fx.corpus(spark, sf_dir)), "stemmed-postings")
-    n = P.n_docs(fx.documents(spark, sf_dir))
-    freq = P.frequent_terms(P.doc_freq(post), QT.MIN_DOCUMENTS, n)
-    w = Wt.tfidf(post.join(freq.select("term", "df"), "term"), freq, n)
+    docs = fx.documents(spark, sf_dir)
+    n, parts = P.n_docs(docs), fx.parts(docs)
+    fpost = P.frequent_postings(St.stemmed_postings(fx.corpus(spark, sf_dir), parts=parts), parts, QT.MIN_DOCUMENTS, n)
+    w = Wt.tfidf(fpost, None, n)
     return w.select("term", "doc_id", F.round("weight", 6).alias("weight"))
 
 
